@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,12 +142,29 @@ def repeats(groups: np.ndarray, texts: list[bytes], length: int) -> Iterator[lis
         yield [(own[i], offset[i], size) for i in range(first, last + 1)]
 
 
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first, end) in order, those that overlap or touch joined."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def spans_of(groups: np.ndarray, texts: list[bytes], ids: list[tuple[int, int, int]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, tag, first, end) of all but the earliest place of each maximal repeat; ids: id, tag and place of each text."""
+    """(id, tag, first, end) of all but the earliest place of each maximal repeat, joined text by text; ids: id, tag and place of each."""
+    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for places in repeats(groups, texts, length):
-        found = sorted((*ids[t][:2], ids[t][2] + start, size) for t, start, size in places)
-        for i, tag, start, size in found[1:]:
-            yield i, tag, start, start + size
+        first = min((*ids[t][:2], ids[t][2] + start) for t, start, _ in places)
+        for t, start, size in places:
+            if (*ids[t][:2], ids[t][2] + start) != first:
+                spans[t].append((start, start + size))
+    for t, found in spans.items():
+        i, tag, lo = ids[t]
+        for a, b in union(found):
+            yield i, tag, lo + a, lo + b
 
 
 def _batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
@@ -290,16 +308,6 @@ def _later():
     return run
 
 
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or []):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
-
-
 def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(id, tag, lo, hi) of byte spans of (id, tag, data) documents: together they cover just what op2 removes.
 
@@ -333,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         for datas, spans in batches:
             kept, removed = [], []
             for d, s in zip(datas.to_pylist(), spans.to_pylist(), strict=True):
-                gone = _merged(s)
+                gone = union([(x["lo"], x["hi"]) for x in s or []])
                 ends = [0, *(x for pair in gone for x in pair), len(d)]
                 kept.append(b"".join(d[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
                 removed.append([{"lo": a, "hi": b} for a, b in gone])
