@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
         inside = items.where(F.col("range") == over["range"]).withColumn("at", _place(F.col("pass")))
         inside = inside.withColumn("run", F.sum("size").over(Window.orderBy("at").rowsBetween(*_UP_TO_HERE)) + over["before"])
         end = inside.where(F.col("run") <= budget).agg(F.max("at").alias("at")).first()["at"]
-        within = lambda c: (_place(c) <= F.struct(*[F.lit(x) for x in end])) if end else F.lit(False)
+        within = lambda c: (_place(c) <= F.struct(*[F.lit(x) for x in end]).cast("struct<f:double,key:string,i:bigint,s:string,size:bigint,c:int>")) if end else F.lit(False)
         early = lambda c: (_range(c) < over["range"]) | ((_range(c) == over["range"]) & within(c))
         taken = sum(F.when(early(F.lit(c)), 1).otherwise(0) for c in range(most))
     return placed.withColumn("copies", F.when(real, taken).otherwise(0)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
