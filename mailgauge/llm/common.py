@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, computed once, to be broadcast if it has at most ``most_rows`` rows and joined by a shuffle otherwise."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable over ``edges`` (a, b); nodes without an edge are absent.
 
