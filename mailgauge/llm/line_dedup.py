@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgauge.llm.common import BLANKS, NO_ID, ascii_lower, table
+from mailgauge.llm.common import BLANKS, NO_ID, ascii_lower, cut, table
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,6 +32,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .groupBy("__h", "__g").agg(F.count("*").alias("__n"), F.max("__id").alias("__last"))
         .where(F.col("__n") >= min_docs)
     )
+    # Computed once: the join then meets both sides' own shuffles, whose hot partitions Spark splits.
+    shared = cut(shared)
     gone = hashed.join(shared, ["__h", "__g"]).where("__id <> __last").groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__gone"))
     out = docs.withColumns({"__id": ident, "__row": row}).join(gone, ["__id", "__row"], "left")
     out = out.withColumns({"__lines": F.split(text, "\n", -1)})
