@@ -18,21 +18,32 @@ SEED, BITS = 42, 64
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(data: bytes, width: int) -> int:
-    """The SimHash of a text, in UTF-8, over its ``width``-word shingles; 0 without words."""
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of each ``width``-word shingle of a text in UTF-8, A-Z lower-cased, repeats included; fewer words make one."""
     words = data.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
-    n = max(1, len(words) - width + 1)
     last = ends[width - 1 :].tolist() or [len(joined)]
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)), "<u8", len(last))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes have; 0 of none. Counted in blocks, so memory doesn't grow with the text."""
     count = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + (1 << 16))], last[at : at + (1 << 16)], strict=True)], "<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(count * 2 > n, bitorder="little").tobytes(), "little")
+    for at in range(0, len(hashes), 1 << 16):
+        count += _bits(hashes[at : at + (1 << 16)]).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(count * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(data: bytes, width: int) -> int:
+    return simhash(shingle_hashes(data, width))
+
+
+def _bits(fp: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -46,10 +57,6 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.arrow_udf(run, "long")(text).alias("fp"))
 
 
-def _bits(fp: np.ndarray) -> np.ndarray:
-    return np.unpackbits(fp.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
 def bit_partitions(classes: DataFrame, m: int) -> list[list[int]]:
     """The 64 bits in ``m`` parts of one size, correlated bits together, by their correlation over all fingerprints."""
 
@@ -234,15 +241,86 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, m: int =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component; of rows that repeat an id, the one of the smallest text."""
-    groups = near_duplicates(docs.select("doc_id", "text"), width, distance)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
-    out = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).join(first, "__id", "left_semi")
-    again = docs.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+#: Bands of smallest hashes, and hashes a band: 99.9 % of pairs at a similarity of 0.8 share one.
+BANDS, ROWS = 20, 5
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash of the ROWS smallest values, each under a hash function of its own, of each of BANDS bands."""
+    odd = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    hashes = np.unique(hashes)
+    for at in range(0, len(hashes), 4096):
+        x = (hashes[at : at + 4096, None] ^ (hashes[at : at + 4096, None] >> np.uint64(31))) * odd
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    mixed = least.reshape(BANDS, ROWS)
+    out = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        out = (out ^ mixed[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def jaccard(a: bytes, b: bytes, width: int) -> float:
+    x, y = (set(shingle_hashes(t, width).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """Rows of ``docs`` but for all of each group of near-duplicates except the one of the smallest id.
+
+    Groups are what links connect: equal texts, SimHash fingerprints of ``width``-word shingles within
+    ``distance`` bits, and texts whose shingle sets have a Jaccard similarity of ``similarity`` or more. Pairs
+    at 0.8 differ in up to a quarter of the bits, too many for the pigeonhole search, so candidates for
+    those links share a band of smallest hashes and are verified on their whole texts: in each bucket every
+    text with two leaders, other ones in each band by a hash of their ids, so a bucket makes at most twice as many pairs as it has texts.
+
+    Null text counts as empty; texts without words are alike. Null ids rank below all. Of rows that repeat an id
+    and stay, the one of the smallest hash of its text stays. Extra columns pass through.
+    """
+    made = "fp long, bands array<long>"
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            fps, keys = [], []
+            for t in texts.to_pylist():
+                h = shingle_hashes(t, width)
+                fps.append(simhash(h))
+                keys.append(bands(h) if len(h) else np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "bands"])
+
+    ident, data = F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary")
+    own = docs.select(ident, F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.arrow_udf(run, made)(data).alias("m"))
+    own = cut(own.select("id", "t", "u", "m.*"))
+    # A row a text; then a row a fingerprint. Both take part under their smallest id.
+    texts = cut(own.groupBy("t", "u").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    classes = cut(texts.groupBy("fp").agg(F.min("rep").alias("rep")))
+    alike = texts.alias("x").join(classes.alias("y"), "fp").where("x.rep <> y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    keyed = texts.select("rep", F.posexplode("bands").alias("band", "key"))
+    drawn = F.struct(F.xxhash64("band", "rep").alias("h"), "rep")
+    leaders = keyed.groupBy("band", "key").agg(F.array(F.min(drawn), F.max(drawn)).alias("leads"), F.count("*").alias("n")).where("n > 1")
+    leaders = cut(leaders.select("band", "key", F.explode("leads").alias("lead")).select("band", "key", F.col("lead.rep").alias("lead")))
+    pairs = keyed.join(leaders, ["band", "key"]).where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    body = docs.select(ident, data.alias("data"), F.xxhash64("text").alias("t"))
+    whole = body.join(texts.select(F.col("rep").alias("id"), "t"), ["id", "t"], "left_semi").dropDuplicates(["id"])
+    sides = pairs.join(whole.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
+
+    def rate(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for xs, ys in batches:
+            yield pa.array([jaccard(x, y, width) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.float64())
+
+    near = sides.where(F.arrow_udf(rate, "double")("x", "y") >= similarity).select("a", "b")
+    roots = components(links(classes, distance).unionAll(alike).unionAll(near))
+    # Ids that go: those of texts under another id, and those whose component has a smaller one.
+    gone = roots.where("node <> root").select(F.col("node").alias("id"))
+    copies = own.join(texts.select("t", "u", "rep"), ["t", "u"]).where("id <> rep").select("id", "t", "u")
+    out = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NO_ID)), "__t": F.xxhash64("text"), "__u": F.xxhash64(F.lit(1), "text")})
+    copies = copies.select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("u").alias("__u")).distinct()
+    out = out.join(copies, ["__id", "__t", "__u"], "left_anti").join(gone.select(F.col("id").alias("__id")), "__id", "left_anti")
+    again = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"))
     if not again.isEmpty():
-        place = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text"))
-        twice = out.join(again, "__id", "left_semi").withColumn("__n", place).where("__n = 1").drop("__n")
+        first = F.row_number().over(Window.partitionBy("__id").orderBy("__t", "__u"))
+        twice = out.join(again, "__id", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
         out = out.join(again, "__id", "left_anti").unionByName(twice)
     return out.select(docs.columns)
 
