@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,21 @@ from mailgauge.functions import lexicon as L
 CUES = {"urgency": L.URGENCY, "threat": L.THREAT, "payment": L.PAYMENT, "credential": L.CREDENTIAL, "action": L.ACTION, "takeover": L.TAKEOVER}
 
 
+def certain_words(pattern: str) -> str:
+    """The longest plain text that every match of a pattern contains, empty if there is none."""
+    bare = re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\][?*+]?|\\.[?*+]?|[^\\]\?", "\n", pattern)
+    return max(re.split(r"[^a-z ]+", bare), key=len)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches; a plain search for what its matches must contain comes first, as it is far cheaper."""
+    word = certain_words(pattern)
+    return (text.contains(word) & text.rlike(pattern)) if word else text.rlike(pattern)
+
+
 def pattern_hits(text: Column, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns match, each once."""
-    return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
+    return sum((matches(text, p).cast("int") for p in patterns), F.lit(0))
 
 
 def keyword_hits(text: Column, words: tuple[str, ...]) -> Column:
@@ -51,17 +65,26 @@ def impersonation(lowered: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(lowered.contains(n), F.lit(label)) for n, label in L.IMPERSONATION])))
 
 
-def highlights(raw: Column, most: int = 4) -> Column:
+def highlights(raw: Column, low: Column, most: int = 4) -> Column:
     """The first sentences or lines with a cue of urgency, threat or credentials, each cut to 180 characters."""
-    cue = "|".join(f"(?:{p})" for p in L.URGENCY + L.THREAT + L.CREDENTIAL)
+    cues = L.URGENCY + L.THREAT + L.CREDENTIAL
+    pattern = "|".join(f"(?:{p})" for p in cues)
     blocks = F.transform(F.split(raw, r"(?<=[.!?])\s+|\n+"), lambda b: F.trim(b))
-    return F.transform(F.slice(F.filter(blocks, lambda b: F.lower(b).rlike(cue)), 1, most), lambda b: F.substring(b, 1, 180))
+    found = F.transform(F.slice(F.filter(blocks, lambda b: F.lower(b).rlike(pattern)), 1, most), lambda b: F.substring(b, 1, 180))
+    # A text without a cue has no sentence with one; most texts aren't split at all.
+    return F.when(pattern_hits(low, cues) > 0, found).otherwise(F.array().cast("array<string>"))
+
+
+def cue_text(subject: Column, text: Column, body: Column) -> Column:
+    """What cues are looked for in: subject, text and body, a line each."""
+    return F.trim(F.concat_ws("\n", subject, text, body))
+
 
+def nlp_cues(subject: Column, raw: Column, low: Column) -> list[Column]:
+    """Shares of three hits capped at 1, keyword hits, impersonation and highlights; ``raw``: the cue text, ``low``: in lower case.
 
-def nlp_cues(subject: Column, text: Column, body: Column) -> list[Column]:
-    """Hit counts, shares of three capped at 1, keyword hits, impersonation and highlights of a message."""
-    raw = F.trim(F.concat_ws("\n", subject, text, body))
-    low = F.lower(raw)
+    Both should be columns computed before, as dozens of searches read them.
+    """
     share = lambda n: F.least(F.lit(1.0), n / F.lit(3.0))
     out = [share(pattern_hits(low, p)).alias(name) for name, p in CUES.items()]
     return [
@@ -69,12 +92,12 @@ def nlp_cues(subject: Column, text: Column, body: Column) -> list[Column]:
         share(subject_points(subject)).alias("subject_risk"),
         keyword_hits(low, L.KEYWORDS).alias("keyword_hits"),
         impersonation(low).alias("impersonation"),
-        highlights(raw).alias("highlights"),
+        highlights(raw, low).alias("highlights"),
     ]
 
 
-def spam_score(subject: Column, text: Column, url_count: Column) -> Column:
-    low = F.lower(F.concat_ws("\n", subject, text))
+def spam_score(low: Column, url_count: Column) -> Column:
+    """0 to 10 from the lower-case cue text and the number of URLs."""
     points = keyword_hits(low, L.PROMO) + pattern_hits(low, L.PROMO_PATTERNS) + (bang_count(low) >= 3).cast("int") + (url_count >= 2).cast("int")
     return F.least(F.lit(10), points)
 

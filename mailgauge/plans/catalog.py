@@ -58,7 +58,8 @@ def url_obfuscation(spark, sf_dir):
 
 
 def _cues(spark, sf_dir):
-    return P.barrier(mail(spark, sf_dir), c=F.struct(*T.nlp_cues(F.col("subject"), F.col("text"), F.lit(""))))
+    m = P.barrier(mail(spark, sf_dir), raw=T.cue_text(F.col("subject"), F.col("text"), F.lit("")))
+    return P.barrier(P.barrier(m, low=F.lower("raw")), c=F.struct(*T.nlp_cues(F.col("subject"), F.col("raw"), F.col("low"))))
 
 
 def nlp_cues(spark, sf_dir):

@@ -27,10 +27,11 @@ def barrier(df: DataFrame, **cols: Column) -> DataFrame:
 def signals(mail: DataFrame, p: S.Policy = S.Policy()) -> DataFrame:
     """``mail`` (email_id, subject, text, sender, reply_to, auth, received, attachment) plus urls, cues, header, url_signals, files."""
     name = F.trim(F.col("attachment"))
-    out = barrier(mail, urls=U.extract_urls(F.col("text")))
+    out = barrier(mail, urls=U.extract_urls(F.col("text")), raw=T.cue_text(F.col("subject"), F.col("text"), F.lit("")))
+    out = barrier(out, low=F.lower("raw"))
     return barrier(
         out,
-        cues=F.struct(*T.nlp_cues(F.col("subject"), F.col("text"), F.lit(""))),
+        cues=F.struct(*T.nlp_cues(F.col("subject"), F.col("raw"), F.col("low"))),
         header=H.header_signals(F.col("auth"), F.col("received"), F.col("sender"), F.col("reply_to")),
         url_signals=F.transform("urls", lambda u: U.url_signal(u, p.high_domain)),
         files=F.filter(F.array(A.signal(name)), lambda s: s["filename"] != ""),
@@ -60,7 +61,7 @@ def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy
         out = out.withColumn("scored", F.col("first"))
     score, chain = F.col("scored.risk_score"), S.chain_flags(F.col("urls"), F.filter(F.array(F.trim("attachment")), lambda x: x != ""), F.lit(""))
     verdict, final = V.final_verdict(score, p)
-    spam = T.spam_score(F.col("subject"), F.col("text"), F.size("urls"))
+    spam = T.spam_score(F.col("low"), F.size("urls"))
     n_urls, n_files = F.size("url_signals"), F.size("files")
     out = barrier(out, risk_score=final, route=F.col("scored.route"), path=V.path_of(F.col("scored.route")), verdict=verdict, spam_score=spam, indicators=F.array_distinct(F.concat("scored.reasons", chain)))
     return out.select(
