@@ -117,7 +117,7 @@ def evaluate(spark, sf_dir):
 
 
 def sampled_allow(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("email_id"), V.sampled(F.col("doc_id").cast("string"), 0.25, "argis").alias("sampled"))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("email_id"), V.sampled(F.col("doc_id").cast("string"), 0.25, "sample").alias("sampled"))
 
 
 def evidence_top(spark, sf_dir):

@@ -125,7 +125,6 @@ _TEXT = f"""least(55, trunc(urgency * 14.0 + threat * 16.0 + payment * 9.0 + cre
    + CASE WHEN {words("lower(array_to_string(highlights, ' '))", L.PHISHING_WORDS)} > 0 THEN 8 ELSE 0 END)"""
 _SPAM_TEXT = "lower(subject || chr(10) || text)"
 SPAM = f"least(10, {words(_SPAM_TEXT, L.PROMO)} + {matches(_SPAM_TEXT, L.PROMO_PATTERNS)} + CAST({count(_SPAM_TEXT, '!')} >= 3 AS INTEGER) + CAST(n_urls >= 2 AS INTEGER))"
-CONFIDENCE = "(round(35 + {x} * 0.55 - 1e-9) / 100)"
 TRIAGE = SIGNALS + "," + CUES + "," + HEADERS + "," + FILES + f""",
 by_mail AS (SELECT email_id, count(*) AS n_urls, sum({_URL_EACH}) AS own, least(24, sum(CASE WHEN login THEN 8 ELSE 0 END)) AS login_points,
    least(20, sum(CASE WHEN brand = '' THEN 0 ELSE trunc(similarity * 100 / 2)::INTEGER END)) AS brand_points, max(least(100, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END * 14)) AS url_component, max(domain_risk) AS domain_component,
@@ -165,7 +164,7 @@ SQL = {
     "evaluate": W + TRIAGE + """, p AS (SELECT t.verdict = 'phishing' AS p, l.toxic = 1 AS t FROM triage t JOIN labels l ON t.email_id = l.doc_id),
       n AS (SELECT count(*) AS total, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE NOT p AND NOT t) AS tn, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn FROM p)
       SELECT total, tp, tn, fp, fn, (tp + tn) / total AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM n""",
-    "sampled_allow": "SELECT doc_id AS email_id, (('0x' || sha256('argis|' || doc_id)[1:8])::BIGINT)::DOUBLE / 4294967295.0::DOUBLE < 0.25 AS sampled FROM documents",
+    "sampled_allow": "SELECT doc_id AS email_id, (('0x' || sha256('sample|' || doc_id)[1:8])::BIGINT)::DOUBLE / 4294967295.0::DOUBLE < 0.25 AS sampled FROM documents",
     "evidence_top": W + TRIAGE + """, r AS (SELECT s.email_id, t.path, s.url, row_number() OVER (PARTITION BY s.email_id ORDER BY (CASE WHEN flags = '' THEN 0 ELSE 1 END) DESC, (CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END) DESC, signal_risk + CASE WHEN short THEN 14.5 ELSE 0 END DESC, pos) AS place FROM signals s JOIN triage t USING (email_id))
       SELECT email_id, CAST(place AS INTEGER) AS place, url, 'evd_' || lpad(CAST(place AS VARCHAR), 4, '0') AS evidence_id FROM r WHERE place <= CASE path WHEN 'FAST' THEN 2 WHEN 'STANDARD' THEN 4 ELSE 6 END""",
     "redact": "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b([a-z0-9._%+-]{1,2})[a-z0-9._%+-]{0,62}@([a-z0-9.-]+\\.[a-z]{2,})\\b', '\\1***@\\2', 'g'), '\\b[A-Za-z0-9_-]{30,}\\b', '<redacted-token>', 'g') AS redacted FROM documents",
@@ -177,3 +176,12 @@ SQL = {
     "flag_sets": W + SIGNALS + ", f AS (SELECT email_id, unnest(string_split(flags, ',')) AS flag FROM signals WHERE flags <> '') SELECT email_id, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags, bool_or(flag IN ('shortlink', 'brand-spoof')) AS risky FROM f GROUP BY email_id",
     "fuzzy_match": f"WITH n AS (SELECT DISTINCT host FROM (SELECT lower(regexp_extract(url, '://(?:www\\.)?([^./?#]+)', 1)) AS host FROM pages)), r AS (SELECT host, b, 1 - levenshtein(host, b)::DOUBLE / greatest(length(host), length(b), 1) AS s FROM n, (SELECT unnest([{', '.join(map(q, L.BRANDS))}]) AS b)), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY s DESC, b) AS i FROM r) SELECT host AS name, round(s, 6) AS similarity, CASE WHEN s >= 0.4 THEN b END AS match FROM k WHERE i = 1",
 }
+#: A score's confidence, to two places, by score.
+_BY_SCORE = [round(0.35 + r / 100.0 * 0.55, 2) for r in range(101)]
+SQL["confidence"] = W + TRIAGE + f""", c AS (SELECT email_id, [{', '.join(f'{x}::DOUBLE' for x in _BY_SCORE)}][risk_score + 1] - least(0.2::DOUBLE, (email_id % 3) * 0.05::DOUBLE) AS c, verdict = 'benign' AND risk_score >= 20 AS unsure FROM triage)
+  SELECT email_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round_even((CASE WHEN unsure THEN least(c, 0.62::DOUBLE) ELSE c END) * 100, 0) / 100)) AS confidence FROM c"""
+_LOW = "lower(text)"
+SQL["route_heuristic"] = W + SIGNALS + f""", u AS (SELECT email_id, count(*) AS n, count(*) FILTER (WHERE odd) AS odd FROM signals GROUP BY email_id),
+  m AS (SELECT mail.email_id, coalesce(n, 0) AS n, coalesce(odd, 0) AS odd, attachment <> '' AS f, least(4, {words(_LOW, L.ROUTER_TOKENS)}) + least(3, {words(_LOW, L.ROUTER_URGENCY)}) + least(3, {matches(_LOW, L.ROUTER_ACTIONS)}) AS said FROM mail LEFT JOIN u USING (email_id)),
+  p AS (SELECT *, said + least(4, odd * 2) + CASE WHEN n >= 3 THEN 2 ELSE 0 END + CASE WHEN f THEN 2 ELSE 0 END + CASE WHEN f AND n > 0 THEN 1 ELSE 0 END AS points FROM m)
+  SELECT email_id, CASE WHEN odd >= 2 OR (f AND n > 0 AND odd > 0) OR points >= 8 THEN 'DEEP' WHEN points >= 3 OR odd > 0 OR f OR n >= 2 THEN 'STANDARD' ELSE 'FAST' END AS path FROM p"""
