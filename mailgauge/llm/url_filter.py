@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgauge.llm.common import ascii_lower, table
+from mailgauge.llm.common import ascii_lower, cut, table
 
 #: Fixed values: (verdict, host, path) of the query's rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -79,12 +79,27 @@ class Segmenter:
         return out + ["/" + w for run in _LETTERS.findall(path.lower()) for w in self(run)]
 
 
+def most_frequent(counts: DataFrame, name: str, most: int) -> list:
+    """The ``most`` rows of (name, n, ...) of the largest n, by n and name.
+
+    A histogram of n, of a bounded number of cells, tells from which count on rows can be among them, so only
+    those are sorted, however many partitions there are.
+    """
+    counts = cut(counts)
+    cell = F.floor(F.log2("n") * 16)
+    floor, seen = 0, 0
+    for r in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        floor, seen = r["cell"], seen + r["count"]
+        if seen >= most:
+            break
+    return counts.where(cell >= floor).orderBy(F.desc("n"), name).limit(most).collect()
+
+
 def word_counts(pages: DataFrame, html_col: str = "html", most: int = WORDS) -> dict[str, int]:
     """Counts of the ``most`` frequent words of up to LONGEST letters in all pages' texts; those counts alone reach the driver."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col(html_col), F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).where(F.length("w").between(1, LONGEST))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return {r.w: r.n for r in top.collect()}
+    return {r.w: r.n for r in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), "w", most)}
 
 
 def learn(urls: DataFrame, segmenter: Segmenter, most: int = TOKENS) -> tuple[dict[str, float], float]:
@@ -107,8 +122,9 @@ def learn(urls: DataFrame, segmenter: Segmenter, most: int = TOKENS) -> tuple[di
 
     rows = urls.mapInArrow(run, "token string, bad boolean, n long")
     by = rows.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
+    by = cut(by.withColumn("n", F.col("bad") + F.col("good")))
     pages = by.where("token = ''").first()
-    top = by.where("token <> ''").orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(most).collect()
+    top = most_frequent(by.where("token <> ''"), "token", most)
     if not pages or not pages.bad or not pages.good:
         return {}, -math.inf
     bad, good = sum(r.bad for r in top) + len(top) + 1, sum(r.good for r in top) + len(top) + 1

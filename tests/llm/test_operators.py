@@ -387,3 +387,10 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_most_frequent(spark):
+    rows = [(f"w{i:03d}", n) for i, n in enumerate([1] * 50 + [2] * 30 + [1000, 999, 5, 5, 5, 70])]
+    got = [tuple(r) for r in url_filter.most_frequent(spark.createDataFrame(rows, "w string, n long"), "w", 8)]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:8]
+    assert url_filter.most_frequent(spark.createDataFrame([], "w string, n long"), "w", 8) == []
