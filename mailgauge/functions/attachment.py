@@ -1,11 +1,16 @@
-"""Attachment signals from names and bytes: built-in column expressions only."""
+"""Attachment signals from names and bytes: built-in column expressions, but for members of archives."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
+from mailgauge.functions.decode import arrow_struct, urls_in
 from mailgauge.functions.text import keyword_hits
 from mailgauge.functions.url import any_of, confidence, extract_urls
 
@@ -26,6 +31,12 @@ def name_risk(name: Column) -> Column:
     return F.when(kind == "low_risk", 8).when(kind == "macro_risk", 55).when(kind == "high_risk", 70).otherwise(10)
 
 
+def mime_type(name: Column) -> Column:
+    """The MIME type of a name's suffix by a fixed list, whatever the host's; empty for others."""
+    known = F.create_map(*[F.lit(x) for pair in L.MIME_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, suffix(name)), F.lit(""))
+
+
 def signal(name: Column) -> Column:
     """The signal of a file name: classes, flags in order and confidence."""
     end, kind = suffix(name), classify(name)
@@ -36,6 +47,7 @@ def signal(name: Column) -> Column:
     return F.struct(
         name.alias("filename"),
         kind.alias("class"),
+        mime_type(name).alias("mime"),
         archive.alias("is_archive"),
         program.alias("is_executable_like"),
         macro.alias("macro_suspected"),
@@ -84,3 +96,71 @@ def image_score(name: Column, ocr_text: Column, has_qr: Column) -> Column:
 def audio_score(name: Column, transcript: Column) -> Column:
     low = F.lower(F.coalesce(transcript, F.lit("")))
     return F.least(F.lit(100), keyword_hits(F.lower(name), L.AUDIO_NAME_HINTS) * 10 + keyword_hits(low, L.AUDIO_TEXT_HINTS) * 15)
+
+
+def zip_members(data: bytes | None) -> dict:
+    """What an archive's member names and XML parts tell; an archive that can't be read tells nothing."""
+    out = {"macro_like": False, "entries": [], "urls": [], "risk_score": 0}
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(data or b""))
+    except (zipfile.BadZipFile, ValueError):
+        return out
+    found = []
+    for name in archive.namelist():
+        low = name.lower()
+        if "vba" in low:
+            out["entries"].append(name)
+        if low.endswith((".xml", ".rels")):
+            try:
+                found += urls_in(archive.read(name).decode("utf-8", "ignore"))
+            except Exception:  # an encrypted or broken member
+                continue
+    out["macro_like"], out["urls"] = bool(out["entries"]), list(dict.fromkeys(found))
+    out["risk_score"] = 40 * out["macro_like"] + min(20, 4 * len(found))
+    return out
+
+
+_TEXTS = pa.list_(pa.string())
+
+
+def zip_column(data: Column) -> Column:
+    return arrow_struct(zip_members, {"macro_like": pa.bool_(), "entries": _TEXTS, "urls": _TEXTS, "risk_score": pa.int32()})(data)
+
+
+def html_score(impersonation: Column, url_count: Column) -> Column:
+    return F.least(F.lit(100), (impersonation * 0.8).cast("int") + F.least(F.lit(20), url_count * 3))
+
+
+def report(name: Column, data: Column, kind: Column, page_score: Column, zipped: Column, ocr_text: Column, qr_urls: Column, transcript: Column) -> Column:
+    """The report of one attachment, a struct; ``data`` is null where only the name is known.
+
+    ``kind`` is its magic_type, ``page_score`` the impersonation score of an HTML page, ``zipped`` what
+    zip_column gives; texts and codes found in pictures and recordings come as columns.
+    """
+    clean, none = F.trim(F.coalesce(name, F.lit(""))), F.array().cast("array<string>")
+    base, risk = F.substring_index(clean, "/", -1), classify(name)
+    text = F.decode(data, "ISO-8859-1")
+    found = extract_urls(F.when(kind == "html", F.decode(data, "UTF-8")).otherwise(text))
+    urls = F.when(kind.isin("pdf", "html", "unknown"), found).when(kind == "zip", zipped["urls"]).when(kind == "image", F.array_distinct(qr_urls))
+    urls = F.when(data.isNotNull() & (clean != ""), F.coalesce(urls, none)).otherwise(none)
+    deep = (
+        F.when(kind == "pdf", pdf_score(data)).when(kind == "zip", zipped["risk_score"]).when(kind == "ole", ole_score(data)).when(kind == "html", html_score(page_score, F.size(found)))
+        .when(kind == "image", image_score(base, ocr_text, F.size(qr_urls) > 0)).when(kind == "audio", audio_score(base, transcript)).otherwise(F.least(F.lit(40), F.size(found) * 8))
+    )
+    known = data.isNotNull()
+    score = F.when(clean == "", 0).when(~known, name_risk(name)).otherwise(F.least(F.lit(100), F.greatest(name_risk(name), F.coalesce(deep, F.lit(0)))))
+    tests = [
+        ("empty_attachment_name", clean == ""),
+        (F.concat(F.lit("filename_risk:"), risk), clean != ""),
+        ("extension_high_risk", (clean != "") & ~known & risk.isin("high_risk", "macro_risk")),
+        ("attachment_high_risk", known & (score >= 60)),
+        ("attachment_contains_url", F.size(urls) > 0),
+        ("social_engineering_filename", known & clean.rlike("(?i)invoice|payment|login|verify")),
+    ]
+    return F.struct(
+        clean.alias("name"),
+        F.when(clean == "", "unknown").when(~known, "filename_only").otherwise(kind).alias("type"),
+        score.alias("risk_score"),
+        F.array_compact(F.array(*[F.when(t, n if isinstance(n, Column) else F.lit(n)) for n, t in tests])).alias("indicators"),
+        urls.alias("extracted_urls"),
+    )

@@ -138,8 +138,8 @@ _HIDDEN = {"params": pa.int32(), "flags": _LIST, "nested": _LIST}
 _NAMES = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean", _LIST: "array<string>"}
 
 
-def arrow_struct(f: Callable[[str | None], dict | None], fields: dict[str, pa.DataType]) -> Callable[[Column], Column]:
-    """A column function that calls ``f`` on each string of an Arrow batch and gives a struct."""
+def arrow_struct(f: Callable[..., dict | None], fields: dict[str, pa.DataType]) -> Callable[[Column], Column]:
+    """A column function that calls ``f`` on each value of an Arrow batch and gives a struct."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:

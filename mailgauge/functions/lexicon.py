@@ -130,6 +130,11 @@ EXPECTED_SUFFIXES = {
     "image": (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp"),
     "audio": (".wav", ".mp3", ".m4a", ".ogg", ".flac"),
 }
+MIME_TYPES = {
+    ".pdf": "application/pdf", ".zip": "application/zip", ".doc": "application/msword", ".xls": "application/vnd.ms-excel", ".ppt": "application/vnd.ms-powerpoint", ".htm": "text/html", ".html": "text/html",
+    ".txt": "text/plain", ".csv": "text/csv", ".xml": "text/xml", ".json": "application/json", ".js": "text/javascript", ".exe": "application/octet-stream", ".tar": "application/x-tar",
+    ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp", ".wav": "audio/x-wav", ".mp3": "audio/mpeg", ".eml": "message/rfc822",
+}
 IMAGE_NAME_HINTS = ("invoice", "login", "verify", "qr", "payment", "account", "microsoft", "bank")
 IMAGE_TEXT_HINTS = ("password", "verify", "urgent", "scan qr", "login", "account suspended")
 IMAGE_BRANDS = ("microsoft", "paypal", "apple", "google", "bank")

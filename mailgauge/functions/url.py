@@ -129,3 +129,34 @@ def url_signal(url: Column, high_domain: int = 35) -> Column:
         F.array_distinct(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags]))).alias("risk_flags"),
         F.when(short, confidence(total, 0.08)).otherwise(confidence(total)).alias("confidence"),
     )
+
+
+#: Private, local and reserved IPv4 ranges, as first number and bits of their prefix.
+PRIVATE_RANGES = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+
+
+def ipv4(host: Column) -> Column:
+    """The number of a dotted IPv4 address, null for anything else."""
+    part = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
+    whole = rf"^{part}\.{part}\.{part}\.{part}$"
+    n = sum((F.regexp_extract(host, whole, i + 1).try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long"))
+    return F.when(host.rlike(whole), n)
+
+
+def private_address(host: Column) -> Column:
+    """Whether a host is a literal IPv4 address that isn't public; names aren't looked up."""
+    n = ipv4(host)
+    tests = []
+    for first, bits in PRIVATE_RANGES:
+        low = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(first.split(".")))
+        tests.append(n.between(low, low + 2 ** (32 - bits) - 1))
+    return F.coalesce(any_of(tests), F.lit(False))
+
+
+def fetch_refusal(url: Column) -> Column:
+    """Why a URL may not be fetched, null if nothing but its name's address is left to check."""
+    scheme, host = F.lower(F.regexp_extract(F.trim(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)), hostname(F.trim(url))
+    return F.when(~scheme.isin("http", "https"), "unsupported_scheme").when(host == "", "missing_host").when(private_address(host), "private_network_blocked")

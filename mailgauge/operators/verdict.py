@@ -95,8 +95,27 @@ def invoke_judge(route: Column, has_content: Column, key: Column, mode: str = "n
     return has_content & F.lit(remote) & ((F.lower(F.trim(route)) != "allow") | allowed)
 
 
+def _path_like(name: Column) -> Column:
+    return F.lower(name).startswith("file://") | name.isin(".", "..") | name.startswith("~") | name.rlike(r"[/\\]")
+
+
 def input_error(raw: Column) -> Column:
-    """The reason to refuse a raw request text, null if there is none: blank, a bare file path, or JSON that names one."""
+    """The code for which a request's text is refused, null if it isn't: JSON that names a file to read, or attachments
+    that aren't objects of a plain name. Text that isn't a JSON object is never refused here."""
     t = F.trim(F.coalesce(raw, F.lit("")))
-    path = t.rlike(r"^(?:[A-Za-z]:\\|\.{0,2}/|~/)\S*$") | t.rlike(r"^\S+\.(?i:eml|msg|txt|json)$")
-    return F.when(t == "", "empty_input").when(t.startswith("{") & F.get_json_object(t, "$.eml_path").isNotNull(), "eml_path_not_allowed").when(path, "path_like_input")
+    v = F.when(t.startswith("{") & t.endswith("}"), F.try_parse_json(t))
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    string = lambda x, path: F.when(kind(F.try_variant_get(x, path, "variant")) == "STRING", F.try_variant_get(x, path, "string"))
+    given = F.try_variant_get(v, "$.attachments", "variant")
+    items = F.try_variant_get(v, "$.attachments", "array<variant>")
+
+    def item_error(x: Column) -> Column:
+        name = F.trim(F.coalesce(string(x, "$.name"), string(x, "$.filename"), F.lit("")))
+        plain = kind(x).startswith("OBJECT") & (name != "")
+        return F.when(~plain, "invalid_attachment_schema").when(_path_like(name), "unsafe_attachment_path")
+
+    first = F.get(F.filter(F.transform(items, item_error), lambda x: x.isNotNull()), F.lit(0))
+    listed = kind(given).startswith("ARRAY")
+    path = F.coalesce(F.trim(string(v, "$.eml_path")), F.lit("")) != ""
+    code = F.when(path, "unsupported_eml_path").when((kind(given) != "VOID") & ~listed, "invalid_attachment_schema").when(listed, first)
+    return F.when(v.isNotNull() & kind(v).startswith("OBJECT"), code)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailgauge.functions import attachment as A
 from mailgauge.functions import decode, html, lexicon as L
 from mailgauge.functions import header as H
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
+from mailgauge.operators import context as C
 from mailgauge.operators import evidence as E
 from mailgauge.operators import score as S
+from mailgauge.operators import stages as G
 from mailgauge.operators import traffic as X
 from mailgauge.operators import verdict as V
 from mailgauge.plans import triage as P
-from mailgauge.plans.mail import mail, mail_pages
+from mailgauge.plans.mail import FETCHED, mail, mail_files, mail_pages, requests
 from mailgauge.sources.messages import parse_messages
 
 
@@ -76,8 +79,6 @@ def header_signals(spark, sf_dir):
 
 
 def attachment_signals(spark, sf_dir):
-    from mailgauge.functions import attachment as A
-
     m = P.barrier(mail(spark, sf_dir).where("attachment <> ''"), a=A.signal(F.col("attachment")))
     return m.select("email_id", "attachment", "a.class", F.col("a.is_archive").alias("archive"), F.col("a.is_executable_like").alias("program"), F.col("a.macro_suspected").alias("macro"), _joined("a.risk_flags").alias("file_flags"))
 
@@ -206,7 +207,109 @@ def fuzzy_match(spark, sf_dir):
     return X.best_match(names, list(L.BRANDS), cutoff=0.4).withColumn("similarity", F.round("similarity", 6))
 
 
+def _reports(spark, sf_dir):
+    """Reports of invented attachments; none of them is an archive or a page."""
+    f = mail_files(spark, sf_dir).withColumn("data", F.col("content").cast("binary"))
+    f = P.barrier(f, kind=A.magic_type(F.col("data"), F.trim("name")))
+    nothing = F.lit(None).cast("struct<risk_score:int,urls:array<string>>")
+    r = A.report(F.col("name"), F.col("data"), F.col("kind"), F.lit(0), nothing, F.col("ocr_text"), F.filter(F.array("qr_url"), lambda u: u != ""), F.col("transcript"))
+    return P.barrier(f, r=r).select("email_id", "pos", "r.*")
+
+
+def attachment_reports(spark, sf_dir):
+    return _reports(spark, sf_dir).select("email_id", "pos", "name", "type", "risk_score", _joined("indicators").alias("indicators"), F.size("extracted_urls").alias("n_urls"))
+
+
+def attachment_bundle(spark, sf_dir):
+    return E.summarize_reports(_reports(spark, sf_dir)).select("email_id", "total", "risky_count", _joined("risky").alias("risky"), F.size("extracted_urls").alias("n_urls"))
+
+
+def attachment_enriched(spark, sf_dir):
+    r = _reports(spark, sf_dir).where("name <> ''").withColumn("macro_like", F.col("type") == "ole")
+    s = r.select("email_id", "pos", "name", A.signal(F.col("name")).alias("s")).select("email_id", "pos", "name", "s.risk_flags", "s.confidence")
+    e = E.enriched_flags(E.enrich_attachments(s, r))
+    return e.select("email_id", "pos", "name", "type", "extension_mismatch", _joined("risk_flags").alias("flags"))
+
+
+def fetch_policy(spark, sf_dir):
+    return mail_urls(spark, sf_dir).select("email_id", "pos", U.fetch_refusal(F.col("url")).alias("refused"), U.private_address(U.hostname(F.col("url"))).alias("private"))
+
+
+def input_check(spark, sf_dir):
+    return requests(spark, sf_dir).select("doc_id", V.input_error(F.col("raw")).alias("error"))
+
+
+def keyword_scan(spark, sf_dir):
+    m = P.barrier(mail(spark, sf_dir), k=G.keyword_scan(F.col("text")))
+    return m.select("email_id", "k.is_suspicious", _joined("k.matches").alias("matches"), F.col("k.count").alias("n"))
+
+
+def stage_chain(spark, sf_dir):
+    return G.fixed_chain().chain(mail(spark, sf_dir)).select("email_id", "pre_score.risk_score", "pre_score.route", F.size("urls").alias("urls"))
+
+
+def score_bands(spark, sf_dir):
+    score, verdict = (F.col("doc_id") % 101).cast("int"), F.get(F.array(*map(F.lit, ("benign", "suspicious", "phishing"))), (F.col("doc_id") % 3).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", V.verdict_of(score).alias("verdict"), V.clamp(score, verdict).alias("clamped"))
+
+
+def judge_gate(spark, sf_dir):
+    gate = V.invoke_judge(F.col("route"), F.size("urls") > 0, F.col("email_id").cast("string"), "sampled", 0.25, "gate")
+    return _triage(spark, sf_dir).select("email_id", gate.alias("asked"))
+
+
+def _context(spark, sf_dir):
+    return C.with_refs(C.judge_context(_triage(spark, sf_dir)))
+
+
+def judge_context(spark, sf_dir):
+    size = lambda c: F.size(f"selected_{c}")
+    top = F.coalesce(F.get("selected_domain_reports", F.lit(0))["domain"], F.lit(""))
+    return _context(spark, sf_dir).select("email_id", "path", size("url_signals").alias("urls"), size("attachment_signals").alias("files"), size("domain_reports").alias("domains"), top.alias("top_domain"), F.size("precheck_summary.suspicious_urls").alias("odd"), F.size("nlp_summary.highlights").alias("highlights"))
+
+
+def evidence_refs(spark, sf_dir):
+    return _context(spark, sf_dir).select("email_id", F.explode("evidence_refs").alias("r")).select("email_id", "r.evidence_id", "r.evidence_path", "r.category")
+
+
+def evidence_resolve(spark, sf_dir):
+    """Paths asked for, old names among them, to the evidence of the path or its nearest parent."""
+    known = evidence_refs(spark, sf_dir).select("email_id", F.col("evidence_path").alias("path"), "evidence_id")
+    paths = F.array(*map(F.lit, ("url_signals[0].risk_flags", "nlp_summary.urgency", "domain_reports[0]", "attachment_signals[3]", "nothing.at.all")))
+    asked = mail(spark, sf_dir).select("email_id", F.explode(paths).alias("path"))
+    return E.resolve(asked, known, C.current_path).select("email_id", "path", F.coalesce("evidence_id", F.lit("")).alias("evidence_id"))
+
+
+def _fetched(spark):
+    """A row a page: a table of fixed size."""
+    pages = spark.createDataFrame(list(FETCHED), "url string, html string").withColumn("f", html.features_column(F.col("html")))
+    return pages.select("url", F.struct("f", html.web_signal("f", F.lit("ok"), F.lit(False)).alias("w")).alias("page"))
+
+
+def web_join(spark, sf_dir):
+    p = P.pages_of(P.signals(mail(spark, sf_dir)), _fetched(spark))
+    return p.select("email_id", "pos", "url", F.col("page").isNotNull().alias("fetched"), F.coalesce("page.f.forms", F.lit(0)).alias("forms"), F.coalesce("page.f.passwords", F.lit(0)).alias("passwords"))
+
+
+def triage_web(spark, sf_dir):
+    """The triage with pages fetched before; a page counts where the first score's gate asks for it."""
+    m = mail(spark, sf_dir)
+    web = P.pages_of(P.signals(m), _fetched(spark)).where("page is not null").groupBy("email_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "page.w"))), lambda x: x["w"]).alias("web_signals"))
+    return P.triage(m, web, fetch=True).select("email_id", "raw_score", "risk_score", "route", "verdict", F.col("web_admission.status").alias("web_status"))
+
+
+def run_metrics(spark, sf_dir):
+    truth = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("email_id"), F.when(F.col("toxic") == 1, "phishing").otherwise("benign").alias("truth"))
+    provider = F.when(F.col("email_id") % 10 == 0, "local:fallback").otherwise("local").alias("provider")
+    both = _triage(spark, sf_dir).select("email_id", F.col("verdict").alias("predicted"), "risk_score", provider).join(truth, "email_id")
+    return E.run_metrics(both).select("total", "tp", "fp", "specificity", "mean_risk", "fallback_rate")
+
+
+def balanced_sample(spark, sf_dir):
+    return E.balanced_sample(_table(spark, sf_dir, "labels"), "doc_id", "quality", 20, "balance").select("doc_id", "quality")
+
+
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, html_features, web_signals, hidden_links, text_layers, message_parse, flag_sets, traffic_entropy, rate_spike, beacon_cv, fuzzy_match)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, html_features, web_signals, hidden_links, text_layers, message_parse, flag_sets, traffic_entropy, rate_spike, beacon_cv, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

@@ -50,6 +50,41 @@ FORMS = (
 )
 PAGES_SQL = f"SELECT page_id, url, html || ' ' || {_pick(FORMS, 'page_id')} AS html FROM pages"
 
+#: Invented attachments; three documents in a row make the attachments of one message.
+NAMES = ("invoice.pdf", "macro.doc", "notes.txt", "login-bank.png", "ceo-wire.mp3", "setup.exe", "report.docm", "", "dir/payment.dat", "verify.xls", "fake.PDF", "  ")
+HEADS = ("%PDF-1.4 /JavaScript /AcroForm ", "VBA project ", "%PDF-1.7 ", "")
+READ = ("", "Scan QR and verify your password at Microsoft", "Account suspended, urgent")
+HEARD = ("", "An URGENT wire transfer, confidential", "payment today")
+MAIL_FILES_SQL = f"""
+SELECT doc_id // 3 AS email_id, doc_id % 3 AS pos, {_pick(NAMES)} AS name,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE {_pick(HEADS)} || coalesce(text, '') || ' ' || {_pick(LINKS, of=13)} END AS content,
+       {_pick(READ)} AS ocr_text, CASE WHEN doc_id % 7 = 0 THEN 'https://qr.example/x' ELSE '' END AS qr_url, {_pick(HEARD, of=5)} AS transcript
+FROM documents
+"""
+#: Raw requests, some of which are refused.
+REQUESTS = (
+    "hello", '{"text": "x", "eml_path": "/etc/mail"}', '{"text": "x", "attachments": [{"name": "a.pdf"}, {"filename": "b.txt"}]}', '{"attachments": [{"name": "ok.txt"}, {"name": "../a.txt"}]}', '{"attachments": "a.pdf"}',
+    '{"attachments": [1]}', '{"attachments": [{"name": 3, "filename": "ok.txt"}]}', '{"attachments": [{"filename": " "}, {"name": "/x"}]}', "{broken}", '{"eml_path": " ", "attachments": null}', '[{"eml_path": "x"}]', '{"eml_path": 7}',
+)
+REQUESTS_SQL = f"SELECT doc_id, {_pick(REQUESTS)} AS raw FROM documents"
+#: Pages as if fetched before, by their canonical URL.
+FETCHED = (
+    ("https://bit.ly/reset", '<title>Sign in</title><form action="/go"><input type="password" name="pw"></form> Microsoft password'),
+    ("http://secure-login-paypa1-update.xyz/verify?id=7", '<form><input type="password"><input name="otp_code"></form> PayPal: verify account, suspended'),
+    ("https://www.example.org/news?page=2&ref=x", "<p>News of the week</p>"),
+    ("https://paypal-billing.com/confirm?token=abcdef", '<iframe src="x"></iframe><form></form> invoice'),
+)
+
+
+def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql(MAIL_FILES_SQL.replace("FROM documents", "FROM {docs}").replace("doc_id // 3", "doc_id div 3"), docs=docs.select("doc_id", "text"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql(REQUESTS_SQL.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {docs}"), docs=docs.select("doc_id"))
+
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mailgauge.functions import lexicon as L
-from mailgauge.plans.mail import MAIL_SQL, PAGES_SQL
+from mailgauge.plans.mail import FETCHED, MAIL_FILES_SQL, MAIL_SQL, PAGES_SQL, REQUESTS_SQL
 
 
 def q(s: str) -> str:
@@ -185,3 +185,71 @@ SQL["route_heuristic"] = W + SIGNALS + f""", u AS (SELECT email_id, count(*) AS
   m AS (SELECT mail.email_id, coalesce(n, 0) AS n, coalesce(odd, 0) AS odd, attachment <> '' AS f, least(4, {words(_LOW, L.ROUTER_TOKENS)}) + least(3, {words(_LOW, L.ROUTER_URGENCY)}) + least(3, {matches(_LOW, L.ROUTER_ACTIONS)}) AS said FROM mail LEFT JOIN u USING (email_id)),
   p AS (SELECT *, said + least(4, odd * 2) + CASE WHEN n >= 3 THEN 2 ELSE 0 END + CASE WHEN f THEN 2 ELSE 0 END + CASE WHEN f AND n > 0 THEN 1 ELSE 0 END AS points FROM m)
   SELECT email_id, CASE WHEN odd >= 2 OR (f AND n > 0 AND odd > 0) OR points >= 8 THEN 'DEEP' WHEN points >= 3 OR odd > 0 OR f OR n >= 2 THEN 'STANDARD' ELSE 'FAST' END AS path FROM p"""
+
+
+_LINK = "'(?i)https?://[^\\s<>()\\[\\]{}\"'']+'"
+_END, _BASE = "lower(regexp_extract(clean, '[^/.][^/]*(\\.[^./]+)$', 1))", "lower(regexp_replace(clean, '^.*/', ''))"
+_ENDS = lambda k: f"{_END} IN ({', '.join(map(q, L.EXPECTED_SUFFIXES[k]))})"
+_CLASS = f"CASE WHEN clean = '' THEN 'unknown' WHEN {either(f'ends_with(lower(clean), {q(x)})' for x in L.HIGH_RISK)} THEN 'high_risk' WHEN {either(f'ends_with(lower(clean), {q(x)})' for x in L.MACROS)} THEN 'macro_risk' ELSE 'low_risk' END"
+_DEEP = f"""CASE type WHEN 'pdf' THEN least(100, 30 * {words('lower(content)', ('/javascript', '/js'))} + CASE WHEN {words('lower(content)', ('/acform', '/annots'))} > 0 THEN 20 ELSE 0 END + least(20, 4 * len(found)))
+  WHEN 'ole' THEN CASE WHEN contains(lower(content), 'vba') THEN 40 ELSE 12 END
+  WHEN 'image' THEN least(100, 6 * {words(_BASE, L.IMAGE_NAME_HINTS)} + 14 * {words('lower(ocr_text)', L.IMAGE_TEXT_HINTS)} + 8 * {words('lower(ocr_text)', L.IMAGE_BRANDS)} + CASE WHEN qr_url <> '' THEN 25 ELSE 0 END)
+  WHEN 'audio' THEN least(100, 10 * {words(_BASE, L.AUDIO_NAME_HINTS)} + 15 * {words('lower(transcript)', L.AUDIO_TEXT_HINTS)}) WHEN 'unknown' THEN least(40, 8 * len(found)) ELSE 0 END"""
+REPORTS = f"""
+raw AS ({MAIL_FILES_SQL}),
+named AS (SELECT *, trim(name) AS clean, content IS NOT NULL AS known, list_distinct(list_transform(regexp_extract_all(coalesce(content, ''), {_LINK}), lambda u: {canonical('u')})) AS found FROM raw),
+typed AS (SELECT *, {_CLASS} AS class, CASE WHEN clean = '' THEN 'unknown' WHEN NOT known THEN 'filename_only' WHEN starts_with(content, '%PDF-') THEN 'pdf' {' '.join(f"WHEN {_ENDS(k)} THEN {q(k)}" for k in ('pdf', 'image', 'audio', 'zip', 'ole', 'html'))} ELSE 'unknown' END AS type FROM named),
+listed AS (SELECT *, CASE WHEN clean = '' OR NOT known THEN [] WHEN type IN ('pdf', 'unknown') THEN found WHEN type = 'image' AND qr_url <> '' THEN [qr_url] ELSE [] END AS urls, CASE class WHEN 'low_risk' THEN 8 WHEN 'macro_risk' THEN 55 WHEN 'high_risk' THEN 70 ELSE 10 END AS by_name FROM typed),
+rated AS (SELECT *, CAST(CASE WHEN clean = '' THEN 0 WHEN NOT known THEN by_name ELSE least(100, greatest(by_name, {_DEEP})) END AS INTEGER) AS risk_score FROM listed),
+reports AS (SELECT email_id, pos, clean AS name, type, risk_score, class, urls, array_to_string(list_filter([CASE WHEN clean = '' THEN 'empty_attachment_name' ELSE 'filename_risk:' || class END, CASE WHEN clean <> '' AND NOT known AND class IN ('high_risk', 'macro_risk') THEN 'extension_high_risk' END,
+   CASE WHEN known AND risk_score >= 60 THEN 'attachment_high_risk' END, CASE WHEN len(urls) > 0 THEN 'attachment_contains_url' END, CASE WHEN known AND regexp_matches(clean, '(?i)invoice|payment|login|verify') THEN 'social_engineering_filename' END], lambda x: x IS NOT NULL), ',') AS indicators FROM rated)
+"""
+_ODD_TYPE = " OR ".join(f"(r.type = {q(k)} AND lower(regexp_extract(s.name, '[^/.][^/]*(\\.[^./]+)$', 1)) NOT IN ({', '.join(map(q, ends))}))" for k, ends in L.EXPECTED_SUFFIXES.items())
+_S_END = "lower(regexp_extract(s.name, '[^/.][^/]*(\\.[^./]+)$', 1))"
+_S_IN = lambda xs: f"{_S_END} IN ({', '.join(map(q, xs))})"
+_BYTE = lambda i: f"CAST(split_part(host, '.', {i}) AS BIGINT)"
+_PRIVATE = f"({_BYTE(1)} IN (0, 10, 127) OR {_BYTE(1)} >= 224 OR ({_BYTE(1)} = 172 AND {_BYTE(2)} BETWEEN 16 AND 31) OR ({_BYTE(1)} = 192 AND {_BYTE(2)} = 168) OR ({_BYTE(1)} = 169 AND {_BYTE(2)} = 254))"
+_STRING = lambda j, k: f"CASE WHEN json_type({j}, '$.{k}') = 'VARCHAR' THEN {j} ->> '$.{k}' END"
+_BUDGET = lambda k: "CASE path " + " ".join(f"WHEN {q(n)} THEN {b.get(k, 0)}" for n, b in L.BUDGETS.items()) + " END"
+CONTEXT = TRIAGE + f""",
+hosted AS (SELECT email_id, host, min(pos) AS pos, min(domain_risk) AS risk, min({total(t for _, t, _ in DOMAIN)}) AS marks FROM signals WHERE host <> '' GROUP BY email_id, host),
+domains AS (SELECT email_id, count(*) AS n, arg_min(host, (-risk, -marks, pos)) AS top FROM hosted GROUP BY email_id),
+odds AS (SELECT email_id, count(*) AS n FROM signals WHERE flags <> '' GROUP BY email_id),
+context AS (SELECT t.email_id, path, CAST(least(n_urls, {_BUDGET('url_signals')}) AS INTEGER) AS urls, CAST(least(CAST(present AS INTEGER), {_BUDGET('attachment_signals')}) AS INTEGER) AS files,
+   CAST(least(coalesce(d.n, 0), {_BUDGET('domain_reports')}) AS INTEGER) AS domains, coalesce(d.top, '') AS top_domain, CAST(least(6, coalesce(o.n, 0)) AS INTEGER) AS odd,
+   CAST(least(len(list_distinct(list_filter(list_transform(highlights, lambda x: trim(x)), lambda x: x <> ''))), {_BUDGET('highlights')}) AS INTEGER) AS highlights
+   FROM triage t LEFT JOIN domains d USING (email_id) LEFT JOIN odds o USING (email_id)),
+refs AS (SELECT email_id, n, p, c FROM (SELECT email_id, unnest([1, 2, 3, 4, 5]) AS n, unnest(['email_context', 'pre_score', 'precheck_summary', 'header_summary', 'nlp_summary']) AS p, unnest(['email', 'pre_score', 'precheck', 'header', 'nlp']) AS c FROM context)
+  UNION ALL SELECT email_id, 5 + i, 'selected_url_signals[' || (i - 1) || ']', 'url_signal' FROM (SELECT email_id, unnest(range(1, urls + 1)) AS i FROM context)
+  UNION ALL SELECT email_id, 5 + urls + i, 'selected_attachment_signals[' || (i - 1) || ']', 'attachment_signal' FROM (SELECT email_id, urls, unnest(range(1, files + 1)) AS i FROM context)
+  UNION ALL SELECT email_id, 5 + urls + files + i, 'selected_domain_reports[' || (i - 1) || ']', 'domain_report' FROM (SELECT email_id, urls, files, unnest(range(1, domains + 1)) AS i FROM context)),
+numbered AS (SELECT email_id, 'evd_' || lpad(CAST(n AS VARCHAR), 4, '0') AS evidence_id, p AS evidence_path, c AS category FROM refs)
+"""
+_KNOWN = "(SELECT * FROM (VALUES " + ", ".join(f"({q(u)}, {h.count('<form')}, {h.count('type=' + chr(34) + 'password')})" for u, h in FETCHED) + ") AS v(url, forms, passwords))"
+SQL |= {
+    "attachment_reports": W + REPORTS + " SELECT email_id, pos, name, type, risk_score, indicators, len(urls)::INTEGER AS n_urls FROM reports",
+    "attachment_bundle": W + REPORTS + """, u AS (SELECT email_id, count(DISTINCT u) AS n FROM (SELECT email_id, unnest(urls) AS u FROM reports) GROUP BY email_id)
+      SELECT r.email_id, count(*)::INTEGER AS total, (count(*) FILTER (WHERE risk_score >= 60))::INTEGER AS risky_count, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (WHERE risk_score >= 60), '') AS risky, coalesce(any_value(u.n), 0)::INTEGER AS n_urls FROM reports r LEFT JOIN u USING (email_id) GROUP BY r.email_id""",
+    "attachment_enriched": W + REPORTS + f""", last AS (SELECT * FROM reports WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY email_id, name ORDER BY pos DESC) = 1),
+      j AS (SELECT s.email_id, s.pos, s.name, s.class, r.type, {_ODD_TYPE} AS odd, r.type = 'ole' AS macro, len(r.urls) > 0 AS linked, {_S_IN(L.ARCHIVES)} AS archive, {_S_IN(L.EXECUTABLES)} AS program FROM reports s JOIN last r ON s.email_id = r.email_id AND s.name = r.name)
+      SELECT email_id, pos, name, type, odd AS extension_mismatch, {named([("archive", "archive"), ("executable-like", "program"), ("macro-suspected", "class = 'macro_risk'"), ("high-risk-extension", "class = 'high_risk'"), ("extension-mismatch", "odd"), ("macro-suspected", "macro AND class <> 'macro_risk'"), ("attachment-url-chain", "linked")])} AS flags FROM j""",
+    "fetch_policy": W + URLS.rstrip().rstrip(",") + f""", a AS (SELECT email_id, pos, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) AS scheme, host, CASE WHEN regexp_full_match(host, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') THEN {_PRIVATE} ELSE false END AS private FROM hosts)
+      SELECT email_id, pos, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN host = '' THEN 'missing_host' WHEN private THEN 'private_network_blocked' END AS refused, private FROM a""",
+    "input_check": f"""WITH r AS ({REQUESTS_SQL}), j AS (SELECT doc_id, CASE WHEN json_valid(raw) AND starts_with(raw, '{{') THEN CAST(raw AS JSON) END AS j FROM r),
+      n AS (SELECT *, CASE WHEN json_type(j, '$.attachments') = 'ARRAY' THEN list_transform(CAST(json_extract(j, '$.attachments') AS JSON[]), lambda x: CASE WHEN json_type(x) <> 'OBJECT' THEN '' ELSE trim(coalesce({_STRING('x', 'name')}, {_STRING('x', 'filename')}, '')) END) END AS names FROM j)
+      SELECT doc_id, CASE WHEN trim(coalesce({_STRING('j', 'eml_path')}, '')) <> '' THEN 'unsupported_eml_path' WHEN json_type(j, '$.attachments') NOT IN ('ARRAY', 'NULL') THEN 'invalid_attachment_schema'
+        ELSE list_filter(list_transform(names, lambda n: CASE WHEN n = '' THEN 'invalid_attachment_schema' WHEN regexp_matches(n, '[/\\\\]') OR starts_with(n, '~') OR n IN ('.', '..') THEN 'unsafe_attachment_path' END), lambda e: e IS NOT NULL)[1] END AS error FROM n""",
+    "keyword_scan": f"{W} mail AS ({MAIL_SQL}), k AS (SELECT email_id, {words('lower(text)', L.PHISHING_WORDS)} AS n, {named([(w, f'contains(lower(text), {q(w)})') for w in L.PHISHING_WORDS])} AS matches FROM mail) SELECT email_id, n > 0 AS is_suspicious, matches, n FROM k",
+    "stage_chain": W + TRIAGE + " SELECT email_id, raw_score AS risk_score, route, n_urls::INTEGER AS urls FROM triage",
+    "score_bands": "WITH s AS (SELECT doc_id, (doc_id % 101)::INTEGER AS s, doc_id % 3 AS v FROM documents) SELECT doc_id, CASE WHEN s > 34 THEN 'phishing' WHEN s >= 30 THEN 'suspicious' ELSE 'benign' END AS verdict, CASE v WHEN 2 THEN greatest(35, s) WHEN 1 THEN greatest(30, least(34, s)) ELSE least(29, s) END AS clamped FROM s",
+    "judge_gate": W + TRIAGE + " SELECT email_id, n_urls > 0 AND (route <> 'allow' OR (('0x' || sha256('gate|' || email_id)[1:8])::BIGINT)::DOUBLE / 4294967295.0::DOUBLE < 0.25) AS asked FROM triage",
+    "judge_context": W + CONTEXT + " SELECT * FROM context",
+    "evidence_refs": W + CONTEXT + " SELECT * FROM numbered",
+    "evidence_resolve": W + CONTEXT + """, a AS (SELECT email_id, unnest(['url_signals[0].risk_flags', 'nlp_summary.urgency', 'domain_reports[0]', 'attachment_signals[3]', 'nothing.at.all']) AS path, unnest(['selected_url_signals[0]', 'nlp_summary', 'selected_domain_reports[0]', 'selected_attachment_signals[3]', '']) AS node FROM context)
+      SELECT a.email_id, a.path, coalesce(n.evidence_id, '') AS evidence_id FROM a LEFT JOIN numbered n ON a.email_id = n.email_id AND a.node = n.evidence_path""",
+    "web_join": W + URLS.rstrip().rstrip(",") + f" SELECT u.email_id, u.pos, u.url, k.url IS NOT NULL AS fetched, coalesce(k.forms, 0) AS forms, coalesce(k.passwords, 0) AS passwords FROM urls u LEFT JOIN {_KNOWN} k ON u.url = k.url WHERE u.pos < 6",
+    "run_metrics": W + TRIAGE + """, p AS (SELECT t.verdict = 'phishing' AS p, l.toxic = 1 AS t, risk_score, email_id % 10 = 0 AS f FROM triage t JOIN labels l ON t.email_id = l.doc_id),
+      n AS (SELECT count(*) AS total, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND NOT t) AS tn, sum(risk_score) / count(*) AS mean_risk, count(*) FILTER (WHERE f) / count(*) AS fallback_rate FROM p)
+      SELECT total, tp, fp, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, mean_risk, fallback_rate FROM n""",
+    "balanced_sample": "SELECT doc_id, quality FROM labels QUALIFY row_number() OVER (PARTITION BY quality ORDER BY sha256('balance|' || doc_id), doc_id) <= 20",
+}

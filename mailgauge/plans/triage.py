@@ -71,10 +71,19 @@ def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy
         S.component_scores(F.col("cues"), F.col("url_signals"), F.col("files")).alias("components"),
         S.admission("web", F.col("url_gate"), F.col("url_gate.collect") & F.lit(fetch), n_urls, fetch).alias("web_admission"),
         S.admission("attachment", F.col("file_gate"), F.col("file_gate.collect"), n_files, None).alias("attachment_admission"),
-        "urls", "url_signals", "files", "header", "cues",
+        "urls", "url_signals", "files", "header", "cues", "subject", "sender", "reply_to",
     )
 
 
 def summary(triaged: DataFrame) -> DataFrame:
     """Messages and mean score by path and verdict; combines before its shuffle of a row a group."""
     return triaged.groupBy("path", "verdict").agg(F.count("*").alias("messages"), (F.sum("risk_score") / F.count("*")).alias("mean_risk"))
+
+
+def pages_of(signals: DataFrame, pages: DataFrame, most: int = 6) -> DataFrame:
+    """(email_id, pos, url, page) for the first ``most`` URL signals of each message: the page fetched from it, or null.
+
+    ``pages`` has a row a URL (url, page); its features are computed there, once a page and not once a message.
+    """
+    first = signals.select("email_id", F.posexplode(F.slice("url_signals", 1, most)).alias("pos", "s")).select("email_id", "pos", "s.url")
+    return first.join(pages, "url", "left")

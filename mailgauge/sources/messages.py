@@ -169,3 +169,18 @@ def read_attachments(spark: SparkSession, path: str, head_bytes: int = 4_000_000
 def write_json(df: DataFrame, path: str, private: tuple[str, ...] = ("evidence",)) -> None:
     """The results as JSON lines without the private columns."""
     df.drop(*private).write.mode("overwrite").json(path)
+
+
+#: Fields of nested records that results for the outside don't show.
+PRIVATE_REPORT, PRIVATE_FETCH = ("exists", "sha256", "details"), ("stderr", "command")
+
+
+def sanitize(df: DataFrame) -> DataFrame:
+    """``df`` without the column evidence and without private fields of its attachment and URL reports (arrays of structs)."""
+    fields = lambda c: {f.name for f in df.schema[c].dataType.elementType.fields}
+    made = {}
+    if "attachment_reports" in df.columns:
+        made["attachment_reports"] = F.transform("attachment_reports", lambda r: r.dropFields(*PRIVATE_REPORT))
+    if "url_target_reports" in df.columns and "fetch" in fields("url_target_reports"):
+        made["url_target_reports"] = F.transform("url_target_reports", lambda r: r.withField("fetch", r["fetch"].dropFields(*PRIVATE_FETCH)))
+    return df.withColumns(made).drop("evidence")
