@@ -46,16 +46,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable over ``edges`` (a, b); nodes without an edge are absent.
 
     Alternates large-star and small-star steps until the edges stay as they are. A step is one
-    aggregation with map-side combine and one join, so a hub's edges are never gathered in one task.
+    aggregation with map-side combine, cut, and one join: both its sides then come from plain shuffles, so
+    that Spark can split a hub's edges among tasks.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(e)
     while seen[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(least)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large.where("a <> b").distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("p"))
         e = cut(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct())
         now = _mark(e)

@@ -209,7 +209,8 @@ def links(classes: DataFrame, distance: int = 2, m: int = 2, bucket_bound: int =
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), i, np.int32)), pa.array((keys[rows][:, None] ^ masks[None, :]).ravel()), pa.array(np.tile(masks != 0, len(rows))), pa.array(fp[each]), pa.array(rep[each])], names=["part", "key", "moved", "fp", "rep"])
 
     rows = classes.mapInArrow(index, "part int, key long, fp long, rep long")
-    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n"))
+    # Counted once, so that the join with a hot key's probes has plain shuffles below it and can be split.
+    sizes = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n")))
     met = classes.mapInArrow(probe, "part int, key long, moved boolean, fp long, rep long").join(sizes, ["part", "key"])
     met = cut(met.where("moved or n > 1"))
     large = sizes.where(F.col("n") > bucket_bound).select("part", "key")
