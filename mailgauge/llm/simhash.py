@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailgauge.llm.common import LOWER, NO_ID, UPPER, components, cut, table
+from mailgauge.llm.common import LOWER, NO_ID, UPPER, components, cut, small, table
 
 SEED, BITS = 42, 64
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -267,14 +267,91 @@ def jaccard(a: bytes, b: bytes, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+#: Texts, and bytes of texts, of a chunk of a bucket; the pairs of two chunks are compared in one task.
+CHUNK, CHUNK_BYTES = 256, 1 << 20
+#: Shingles that are counted at once.
+SLICE = 4096
+#: Ids of up to this many texts are broadcast to fetch the texts.
+MOST_ASKED = 200_000
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``x`` shares with each of ``y``; counted in slices, so memory doesn't grow with the texts."""
+    sets = x + y
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, at = owner[n[at] > 1], (np.cumsum(n > 1) - 1)[at[n[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(x), len(y)))
+    for lo in range(0, int((n > 1).sum()), SLICE):
+        a, b = np.searchsorted(at, [lo, lo + SLICE])
+        has = np.zeros((len(sets), SLICE), np.float32)
+        has[owner[a:b], at[a:b] - lo] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out
+
+
+def _compare_block(width: int, similarity: float):
+    """Texts (a, b, place, rep, root, data) of one block to links (a, b) of near texts of different roots, as many as connect them."""
+
+    def run(block: pa.Table) -> pa.Table:
+        a, b = block["a"][0].as_py(), block["b"][0].as_py()
+        place, rep, root = (block[c].to_pylist() for c in ("place", "rep", "root"))
+        sets = [np.unique(shingle_hashes(t, width)) for t in block["data"].to_pylist()]
+        x, y = ([i for i, p in enumerate(place) if p == k] for k in (a, b))
+        links, group = [], {r: r for r in root}
+
+        def find(r: int) -> int:
+            while group[r] != r:
+                group[r] = group[group[r]]
+                r = group[r]
+            return r
+
+        if x and y:
+            size, shared = np.array([len(v) for v in sets]), overlaps([sets[i] for i in x], [sets[i] for i in y])
+            rate = shared / (size[x][:, None] + size[y][None, :] - shared)
+            for i, j in np.argwhere(rate >= similarity).tolist():
+                u, v = find(root[x[i]]), find(root[y[j]])
+                if u != v:
+                    group[u] = v
+                    links.append((rep[x[i]], rep[y[j]]))
+        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+    return run
+
+
+def blocks(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, key, a, b, place, rep, root, t) of the texts (rep, t, size, bands) of each bucket of over three that have several roots.
+
+    A bucket's texts of its most frequent root and its other ones are dealt into chunks by a hash; a block is a
+    pair of chunks, a and b, not both of that root, so any two texts of different roots meet in a block. Buckets
+    of the same texts count once. Of up to three texts all pairs have been compared with the leaders.
+    """
+    members = texts.join(roots, texts["rep"] == roots["node"], "left").select("rep", "t", "size", F.coalesce("root", "rep").alias("root"), F.posexplode("bands").alias("band", "key"))
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("s")]
+    mixed = members.groupBy("band", "key").agg(*same, F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 3 and lo <> hi")
+    mixed = cut(mixed.groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*"))
+    left = cut(members.join(mixed, ["band", "key"]))
+    by_root = cut(left.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    sums = by_root.groupBy("band", "key").agg(F.max(F.struct("n", "root", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    chunks = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_BYTES)).cast("long")
+    sums = cut(sums.select("band", "key", F.col("m.root").alias("main"), chunks(F.col("m.n"), F.col("m.size")).alias("mains"), chunks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("others")))
+    placed = left.join(sums, ["band", "key"]).withColumn("own", F.col("root") == F.col("main"))
+    placed = placed.withColumn("place", F.when(F.col("own"), F.col("others") + F.expr("pmod(xxhash64(rep), mains)")).otherwise(F.expr("pmod(xxhash64(rep), others)")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(F.col("own"), 0).otherwise(F.col("mains")) - 1)
+    pairs = F.explode(F.transform(every, lambda k: F.struct(F.least("place", k).alias("a"), F.greatest("place", k).alias("b")))).alias("p")
+    return placed.select("band", "key", "place", "rep", "root", "t", pairs).select("band", "key", "p.a", "p.b", "place", "rep", "root", "t")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """Rows of ``docs`` but for all of each group of near-duplicates except the one of the smallest id.
 
     Groups are what links connect: equal texts, SimHash fingerprints of ``width``-word shingles within
     ``distance`` bits, and texts whose shingle sets have a Jaccard similarity of ``similarity`` or more. Pairs
     at 0.8 differ in up to a quarter of the bits, too many for the pigeonhole search, so candidates for
-    those links share a band of smallest hashes and are verified on their whole texts: in each bucket every
-    text with two leaders, other ones in each band by a hash of their ids, so a bucket makes at most twice as many pairs as it has texts.
+    those links share a band of smallest hashes and are verified on their whole texts: in each bucket first every
+    text with two leaders, other ones in each band by a hash of their ids, then, in blocks, any two that aren't linked yet.
 
     Null text counts as empty; texts without words are alike. Null ids rank below all. Of rows that repeat an id
     and stay, the one of the smallest hash of its text stays. Extra columns pass through.
@@ -291,10 +368,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance:
             yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "bands"])
 
     ident, data = F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary")
-    own = docs.select(ident, F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.arrow_udf(run, made)(data).alias("m"))
-    own = cut(own.select("id", "t", "u", "m.*"))
+    own = docs.select(ident, F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.length(data).cast("long").alias("size"), F.arrow_udf(run, made)(data).alias("m"))
+    own = cut(own.select("id", "t", "u", "size", "m.*"))
     # A row a text; then a row a fingerprint. Both take part under their smallest id.
-    texts = cut(own.groupBy("t", "u").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    texts = cut(own.groupBy("t", "u").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     classes = cut(texts.groupBy("fp").agg(F.min("rep").alias("rep")))
     alike = texts.alias("x").join(classes.alias("y"), "fp").where("x.rep <> y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     keyed = texts.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -312,6 +389,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance:
 
     near = sides.where(F.arrow_udf(rate, "double")("x", "y") >= similarity).select("a", "b")
     roots = components(links(classes, distance).unionAll(alike).unionAll(near))
+    rest = cut(blocks(texts, roots))
+    asked = small(rest.select(F.col("rep").alias("id"), "t").distinct(), MOST_ASKED)
+    bodies = body.join(asked, ["id", "t"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "data")
+    late = cut(rest.join(bodies, "rep").groupBy("band", "key", "a", "b").applyInArrow(_compare_block(width, similarity), "a long, b long"))
+    if not late.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(late))
     # Ids that go: those of texts under another id, and those whose component has a smaller one.
     gone = roots.where("node <> root").select(F.col("node").alias("id"))
     copies = own.join(texts.select("t", "u", "rep"), ["t", "u"]).where("id <> rep").select("id", "t", "u")

@@ -97,6 +97,24 @@ def test_keep_one(spark, odd, empty):
     assert len(ids) == len(set(ids)) and 10 in ids
 
 
+@pytest.mark.parametrize("chunk", [3, 256])
+def test_keep_one_compares_all_pairs_of_a_bucket(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "bands", lambda h: np.zeros(1, np.int64))  # one bucket for all texts
+    rows = []
+    for family in range(9):
+        words = [f"f{family}w{i}" for i in range(100)]
+        for step in range(3 + 5 * (family == 0)):  # chains, each text near the one before only
+            words = ["x" + w if i in (13 + 7 * step, 60 + 4 * step) else w for i, w in enumerate(words)]
+            rows.append((len(rows) * 7 % 71, " ".join(words)))
+    fp = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    text = dict(rows)
+    roots = group_roots(sorted(text), lambda a, b: simhash.jaccard(text[a].encode(), text[b].encode(), 5) >= 0.8 or (fp[a] ^ fp[b]).bit_count() <= 2)
+    assert len(set(roots.values())) == 9
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(roots.values()))
+
+
 # 2 ---------------------------------------------------------------- suffix arrays
 
 
