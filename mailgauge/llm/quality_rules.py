@@ -13,7 +13,7 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r".,;:!?'\"()-"}
 COMMON = 24
 #: References of this many languages, under 1 kB each, are broadcast; more are joined by a shuffle.
 MOST_LANGUAGES = 10_000
-#: A word of up to four characters, as the most frequent words are; longer ones count together.
+#: A word of up to four characters, as the most frequent words are; longer ones count together, in a cell of their own.
 SHORT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,4}(?![^\x20\x09-\x0D])"
 
 
@@ -84,16 +84,21 @@ def divergence(a: Column, b: Column) -> Column:
 
 
 def common_words(docs: DataFrame, k: int) -> DataFrame:
-    """(lang, top, ref): the k short words most frequent in each language, by count and word, and their counts, then that of the other short ones."""
+    """(lang, top, ref, long): the k short words most frequent in each language, by count and word, their counts, then that of the other short ones; the count of the long ones."""
     words = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit(SHORT), F.lit(0))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("place", place).where(F.col("place") <= k).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("t"))
     every = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    both = top.alias("a").join(every.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")))
-    shown = F.transform("t", lambda x: x["n"].cast("double"))
-    other = F.col("all") - F.aggregate(shown, F.lit(0.0), lambda s, v: s + v)
-    return both.select("a.lang", F.transform("t", lambda x: x["word"]).alias("top"), F.concat(shown, F.array(other)).alias("ref"))
+    n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    total = docs.where("text is not null").groupBy("lang").agg(F.sum(n_words).alias("words"))
+    same = lambda x: F.col("w.lang").eqNullSafe(F.col(f"{x}.lang"))
+    both = total.alias("w").join(top.alias("a"), same("a"), "left").join(every.alias("b"), same("b"), "left")
+    shown = F.coalesce(F.transform("t", lambda x: x["n"].cast("double")), F.array().cast("array<double>"))
+    short = F.coalesce("all", F.lit(0))
+    other = short - F.aggregate(shown, F.lit(0.0), lambda s, v: s + v)
+    names = F.coalesce(F.transform("t", lambda x: x["word"]), F.array().cast("array<string>"))
+    return both.select("w.lang", names.alias("top"), F.concat(shown, F.array(other)).alias("ref"), (F.col("words") - short).cast("double").alias("long"))
 
 
 def judge(docs: DataFrame, max_class: tuple = (0.15, 1.2), max_words: tuple = (0.25, 3.0), min_words: int = 50, k: int = COMMON) -> DataFrame:
@@ -101,7 +106,8 @@ def judge(docs: DataFrame, max_class: tuple = (0.15, 1.2), max_words: tuple = (0
     of every row of (doc_id, text, lang).
 
     A document is kept unless the base rules fail it or, from ``min_words`` words on, the Jensen-Shannon
-    distance of its character classes or of its common words from its language's reference passes its
+    distance of its character classes or of its words (the larger of short ones' and all words', in
+    which the long ones are one cell) from its language's reference passes its
     limit: of (a, b), a + b / sqrt(n_words), as the distance of an ordinary short text is larger by chance.
     References come from all documents: the mean share of each class, in millionths so that sums
     don't depend on order, and the counts of the ``k`` most frequent words. Words are counted with map-side
@@ -112,7 +118,7 @@ def judge(docs: DataFrame, max_class: tuple = (0.15, 1.2), max_words: tuple = (0
     """
     own = docs.select("doc_id", "text", "lang")
     top = small(common_words(own, k), MOST_LANGUAGES)
-    rated = base_rules(own).alias("d").join(top.alias("t"), F.col("d.lang").eqNullSafe(F.col("t.lang")), "left").select("d.*", "top", "ref")
+    rated = base_rules(own).alias("d").join(top.alias("t"), F.col("d.lang").eqNullSafe(F.col("t.lang")), "left").select("d.*", "top", "ref", "long")
     rated = rated.withColumn("__short", F.when((F.col("n_words") >= min_words) & ~F.col("base_failed"), F.filter("__words", lambda w: F.length(w) <= 4)))
     rated = rated.withColumn("__shown", F.filter("__short", lambda w: F.array_contains("top", w)))
     per_word = F.transform("top", lambda w: (F.size("__shown") - F.size(F.array_remove("__shown", w))).cast("double"))
@@ -122,7 +128,10 @@ def judge(docs: DataFrame, max_class: tuple = (0.15, 1.2), max_words: tuple = (0
     rated = rated.withColumn("__some", F.array(*counted, F.col("__n") - F.col("word_chars"), F.col("n_symbols")))
     classes = F.concat("__some", F.array(F.col("__n") - F.aggregate("__some", F.lit(0).cast("long"), lambda s, v: s + v)))
     millionths = F.transform(classes, lambda v: F.floor(v * F.lit(1_000_000) / F.greatest(F.col("__n"), F.lit(1))))
-    word_js = divergence(F.concat("__hist", F.array((F.size("__short") - F.size("__shown")).cast("double"))), F.col("ref"))
+    short = F.concat("__hist", F.array((F.size("__short") - F.size("__shown")).cast("double")))
+    every = F.concat(short, F.array((F.col("n_words") - F.size("__short")).cast("double")))
+    # Among short words, which tell languages apart best, and over all words, which a text without short ones has too.
+    word_js = F.greatest(divergence(short, F.col("ref")), divergence(every, F.concat("ref", F.array("long"))))
     rules = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rated = cut(rated.select("doc_id", "lang", *rules, millionths.alias("classes"), word_js.alias("word_js")))
     size = len(CLASSES) + 3

@@ -317,6 +317,16 @@ def test_rules_equal_brute_force(spark, small, texts, odd, empty):
     assert {r.doc_id: r.base_failed for r in rows}[3] is True
 
 
+def test_long_words_count_in_the_histogram(spark):
+    usual = "the cat sat on a mat and the dog ran to the old barn in the rain with a bone while everybody watched"
+    rows = [(i, " ".join([usual, f"n{i}", usual, f"m{i}", usual, f"k{i}", usual]), "en") for i in range(30)]
+    rows.append((99, " ".join(f"keyword{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)), "en"))
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[99].base_failed and got[99].word_js > 0.7
+    ref = quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 24).first()
+    assert sum(ref.ref) + ref.long == sum(len(t.split()) for _, t, _ in rows) and not got[99].kept
+
+
 def test_divergence(spark):
     d = lambda a, b: spark.range(1).select(quality_rules.divergence(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))).alias("d")).first().d
     assert d([1.0, 2.0], [10.0, 20.0]) == pytest.approx(0) and d([1.0, 0.0], [0.0, 3.0]) == pytest.approx(1) and d([0.0, 0.0], [1.0, 1.0]) is None
