@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgauge.llm.common import NO_ID, table
+from mailgauge.llm.common import NO_ID, cut, small, table
 
 #: Bytes of an anchor. Longer ones meet by chance less often; shorter ones stand farther apart.
 ANCHOR = 24
@@ -19,6 +19,8 @@ ANCHOR = 24
 CHUNK = 2048
 #: Bytes of runs that are sorted at once.
 BLOCK = 1 << 21
+#: Keys of up to this many repeated rows are broadcast.
+MOST_AGAIN = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -325,17 +327,26 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return found.where("h is null").select("id", "tag", "lo", "hi").unionAll(met)
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """(id, tag, data) documents without repeats of an (id, tag); only the data of repeated ones are shuffled."""
+    again = cut(docs.groupBy("id", "tag").agg(F.count("*").alias("n")).where("n > 1").select("id", "tag"))
+    if again.isEmpty():
+        return docs
+    again = small(again, MOST_AGAIN)
+    return docs.join(again, ["id", "tag"], "left_anti").unionByName(docs.join(again, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and removed, an array of (lo, hi), of each row of (doc_id, text).
 
     Every byte goes that a ``length``-byte string covers which also starts earlier: in a smaller id, or in
     the same text before. Null text is empty. Null ids rank below all. Rows that share an id are ordered by a
-    hash of their text, and identical rows get one result. Texts shorter than ``length`` stay whole. Extra
+    hash of their text, and identical rows count once and get one result. Texts shorter than ``length`` stay whole. Extra
     columns aren't returned. An empty table gives an empty result.
     """
     data = F.coalesce("text", F.lit("")).cast("binary")
     own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), data.alias("data"))
-    spans = repeat_spans(own, length).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeat_spans(once(own), length).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for datas, spans in batches:

@@ -163,6 +163,14 @@ def test_suffix_dedup_odd_rows(odd, empty):
     assert all(r.n_removed == 0 for r in rows if r.n_bytes < 100) and any(r.n_removed for r in rows if r.doc_id == 8)
 
 
+def test_suffix_dedup_keeps_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    one, two = ("".join(chr(97 + x) for x in rng.integers(0, 26, 400)) for _ in range(2))
+    docs = [(1, one), (1, one), (2, two), (None, two[:150] + one[:50]), (None, two[:150] + one[:50]), (3, one)]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 150), (3, 400)]
+
+
 # 3 ---------------------------------------------------------------- URL filter
 
 
