@@ -22,8 +22,8 @@ SEEDS = (
 ).split()
 #: Host labels that say nothing.
 IDLE = frozenset("www com net org de fr es uk co io".split())
-#: Words of the unigram model and tokens of the classifier, the most frequent ones: bounds of what is broadcast.
-WORDS, TOKENS = 50_000, 20_000
+#: Words of the unigram model, the most frequent ones: the bound of what is broadcast.
+WORDS = 50_000
 LONGEST = 20
 _LETTERS = re.compile(r"[a-z]+")
 
@@ -102,11 +102,11 @@ def word_counts(pages: DataFrame, html_col: str = "html", most: int = WORDS) ->
     return {r.w: r.n for r in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), "w", most)}
 
 
-def learn(urls: DataFrame, segmenter: Segmenter, most: int = TOKENS) -> tuple[dict[str, float], float]:
-    """Multinomial naive Bayes over (host, path): each token's log-odds, with add-one smoothing, and the prior's.
+def learn(urls: DataFrame, segmenter: Segmenter) -> tuple[DataFrame, float]:
+    """Multinomial naive Bayes over (host, path): (token, odds) of each token's log-odds, with add-one smoothing, and the prior's.
 
     A URL counts as unwanted if a word of its host is a seed. Tokens are counted over all rows, first in
-    each batch; the ``most`` frequent ones, which alone reach the driver, have an odds of their own.
+    each batch, and all have an odds of their own, in a table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +122,26 @@ def learn(urls: DataFrame, segmenter: Segmenter, most: int = TOKENS) -> tuple[di
 
     rows = urls.mapInArrow(run, "token string, bad boolean, n long")
     by = rows.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    by = cut(by.withColumn("n", F.col("bad") + F.col("good")))
-    pages = by.where("token = ''").first()
-    top = most_frequent(by.where("token <> ''"), "token", most)
+    by = cut(by)
+    pages, words = by.where("token = ''").first(), by.where("token <> ''")
     if not pages or not pages.bad or not pages.good:
-        return {}, -math.inf
-    bad, good = sum(r.bad for r in top) + len(top) + 1, sum(r.good for r in top) + len(top) + 1
-    return {r.token: math.log((r.bad + 1) / bad) - math.log((r.good + 1) / good) for r in top}, math.log(pages.bad / pages.good)
+        return words.limit(0).select("token", F.lit(0.0).alias("odds")), -math.inf
+    r = words.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("n")).first()
+    odds = F.log((F.col("bad") + 1) / F.lit((r.bad or 0) + r.n + 1)) - F.log((F.col("good") + 1) / F.lit((r.good or 0) + r.n + 1))
+    return words.select("token", odds.alias("odds")), math.log(pages.bad / pages.good)
+
+
+def score(urls: DataFrame, segmenter: Segmenter, odds: DataFrame) -> DataFrame:
+    """(host, path, known) of each different URL of (host, path) that has a known token: the sum of its tokens' odds, in decimals, so that it doesn't depend on order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(h, p, t, n) for h, p in zip(b["host"].to_pylist(), b["path"].to_pylist(), strict=True) for t, n in Counter(segmenter.tokens(h, p)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["host", "path", "token", "n"])
+
+    tokens = urls.distinct().mapInArrow(run, "host string, path string, token string, n long").join(odds, "token")
+    part = F.col("n").cast("decimal(10,0)") * F.col("odds").cast("decimal(16,12)")
+    return tokens.groupBy("host", "path").agg(F.sum(part).cast("double").alias("known"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -143,18 +156,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     segmenter = Segmenter(word_counts(pages, html_col))
     odds, prior = learn(parts, segmenter)
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for hosts, paths in batches:
-            scores = []
-            for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-                known = [odds[t] for t in segmenter.tokens(h, p) if t in odds]
-                scores.append(prior + sum(known) if known else -math.inf)
-            yield pa.array(scores, pa.float64())
-
+    known = score(parts, segmenter, odds).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "known")
     out = pages.withColumns({"host": host, "path": path})
-    out = out.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("block_odds", F.arrow_udf(run, "double")("host", "path"))
+    out = out.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules)).join(known.withColumnRenamed("known", "__known"), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    out = out.withColumn("block_odds", F.coalesce(F.lit(prior) + F.col("__known"), F.lit(-math.inf)))
     own = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.coalesce(F.col("__best.verdict"), own)).drop("__best")
+    return out.withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.coalesce(F.col("__best.verdict"), own)).drop("__best", "__host", "__path", "__known")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

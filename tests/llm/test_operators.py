@@ -186,6 +186,17 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), url_filter.RULES).count() == 0
 
 
+def test_all_tokens_have_odds(spark):
+    letters = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    urls = [("garden.org", f"/{letters(i)}/{letters(i)}") for i in range(21000)] + [("viagra.org", "/x")]
+    s = url_filter.Segmenter({letters(i): 5 for i in range(21000)} | {"garden": 900})
+    df = spark.createDataFrame(urls, "host string, path string")
+    odds, prior = url_filter.learn(df, s)
+    got = {r.token: r.odds for r in odds.collect()} if hasattr(odds, "collect") else odds
+    assert len(got) > 21000 and got["viagra"] > 0 > got["garden"]
+    assert {r.host for r in url_filter.score(df, s, odds).collect()} == {"garden.org", "viagra.org"}
+
+
 def test_segmentation_is_the_likeliest(monkeypatch):
     s = url_filter.Segmenter({"free": 10, "bets": 5, "the": 50, "then": 8, "next": 9, "ext": 1})
 
