@@ -78,6 +78,26 @@ def postfix(text: str) -> list[str]:
     return out + held[::-1]
 
 
+def leading(text: str) -> str:
+    """``text`` up to the first operand or closing parenthesis that can't follow, less what keeps the rest from parsing; all of it if nothing parses."""
+    ends, operand, depth = [], False, 0
+    for found in _TOKEN.finditer(text):
+        token = found.group().lower()
+        if token not in _ORDER and (operand if token != ")" else not operand or not depth):
+            break
+        depth += (token == "(") - (token == ")")
+        operand = token not in _ORDER and token != "("
+        if operand and not depth:
+            ends.append(found.end())
+    for end in reversed(ends):
+        try:
+            evaluate(text[:end])
+        except Bad:
+            continue
+        return text[:end]
+    return text
+
+
 def binds(identifier: str) -> float:
     return max(((len(k), v) for k, v in BINDS.items() if identifier.startswith(k)), default=(0, 1.0))[1]
 
@@ -122,7 +142,7 @@ def scan(text: str | None) -> tuple:
         elif score < 1.0 or bind is None:
             for found in _TAG_TEXT.findall(raw):
                 try:
-                    ids, x = evaluate(found.decode("utf-8", "replace").split("*/")[0].split("-->")[0])
+                    ids, x = evaluate(leading(found.decode("utf-8", "replace").split("*/")[0].split("-->")[0]))
                     labels |= ids
                     score, bind = 1.0, x if bind is None else max(bind, x)
                 except Bad:
@@ -142,7 +162,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     labels: those of notice phrases and base phrases, and the lower-case identifiers of SPDX tags. score,
     0 to 1: 1 with an identifier tag that parses, 0.9 with a base phrase, 0.8 with another notice, 0.3 with
-    a tag that doesn't parse, else 0. binding: how far the licence found binds (null: none), by the tags'
+    a tag of which no start parses, else 0. binding: how far the licence found binds (null: none), by the tags'
     expressions or else the strictest label. Row by row, without a shuffle. Extra columns pass through.
     """
 

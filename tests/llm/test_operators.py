@@ -309,6 +309,12 @@ def test_bad_licence_expressions(text):
         licenses.evaluate(text)
 
 
+@pytest.mark.parametrize(("tail", "labels"), [("Apache-2.0 The quick fox", "apache-2.0"), ("(MIT OR GPL-2.0) and more) x", "gpl-2.0,mit,more"), ("MIT AND (GPL", "mit"), ("MIT) x", "mit")])
+def test_licence_tag_before_prose(tail, labels):
+    got = licenses.scan(f"SPDX-License-Identifier: {tail}")
+    assert (got[5], got[6]) == (labels, 1.0)
+
+
 def test_licence_odd_rows(odd, empty):
     rows = {r.doc_id: r.licence for r in licenses.scan_documents(odd).collect()}
     assert rows[9].labels == "apache-2.0,gpl-3.0-only,mit" and rows[9].score == 1.0 and rows[3].n_words == 0
