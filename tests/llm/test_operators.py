@@ -349,7 +349,42 @@ def test_long_words_count_in_the_histogram(spark):
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[99].base_failed and got[99].word_js > 0.7
     ref = quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 24).first()
-    assert sum(ref.ref) + ref.long == sum(len(t.split()) for _, t, _ in rows) and not got[99].kept
+    assert sum(ref.ref) == sum(len(t.split()) for _, t, _ in rows) and not got[99].kept
+
+
+def test_distances_equal_brute_force(spark, small, duck):
+    import math
+
+    rows = {i: ((t or ""), lang) for i, t, lang in duck.sql("select doc_id, text, lang from documents").fetchall()}
+    every = {}
+    for t, lang in rows.values():
+        every.setdefault(lang, Counter()).update(WORD.findall(t))
+    top = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:24]] for lang, c in every.items()}
+
+    def cells(words, lang):
+        n = Counter(words)
+        shown = [n[w] for w in top[lang]]
+        return np.array([*shown, len(words) - sum(shown)]) / max(1, len(words))
+
+    ref = {lang: cells(list(every[lang].elements()), lang) for lang in every}
+    part = lambda p, m: sum(x * math.log2(x / y) for x, y in zip(p, m, strict=True) if x > 0)
+    got = quality_rules.judge(spark.read.parquet(f"{small}/documents.parquet")).where("word_js is not null").collect()
+    for r in got:
+        t, lang = rows[r.doc_id]
+        p, q = cells(WORD.findall(t), lang), ref[lang]
+        assert r.word_js == pytest.approx(math.sqrt(max(0.0, (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)), abs=1e-6)
+        near = r.class_js <= 0.15 + 1.2 / math.sqrt(r.n_words) and r.word_js <= 0.15 + 1.7 / math.sqrt(r.n_words)
+        assert r.kept == near and r.n_words >= 50 and not r.base_failed
+    assert len(got) > 100
+
+
+def test_words_that_look_like_patterns(spark):
+    text = r"a.b \Q \E x\Ey | ( [ the " * 20
+    got = quality_rules.judge(spark.createDataFrame([(i, text + f"n{i} " * 50, "x") for i in range(3)], "doc_id long, text string, lang string").repartition(1))
+    assert all(r.n_words == 210 for r in got.collect())
+    top = spark.createDataFrame([([r"\Q", r"\E", r"x\Ey", "a.b", "("], text)], "top array<string>, text string")
+    found = top.select(F.regexp_extract_all("text", quality_rules.any_of(F.col("top")), F.lit(0)).alias("f")).first().f
+    assert Counter(found) == {w: 20 for w in (r"\Q", r"\E", r"x\Ey", "a.b", "(")}
 
 
 def test_divergence(spark):
