@@ -131,7 +131,8 @@ def judge(docs: DataFrame, max_class: tuple = (0.15, 1.2), max_words: tuple = (0
     judged = (F.col("n_words") >= min_words) & ~F.col("base_failed")
     rated = rated.withColumn("__shown", F.when(judged & (F.size("top") > 0), F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
     each = F.transform("top", lambda w: (F.size("__shown") - F.size(F.array_remove("__shown", w))).cast("double"))
-    rated = rated.withColumn("__hist", F.concat(each, F.array((F.col("n_words") - F.size("__shown")).cast("double"))))
+    other = F.array((F.col("n_words") - F.size("__shown")).cast("double"))
+    rated = rated.withColumn("__hist", F.when(F.col("__shown").isNotNull(), F.concat(each, other)))
     counted = [F.length(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{c}]+", "")) for c in CLASSES.values()]
     rated = rated.withColumn("__n", F.length(F.coalesce("text", F.lit(""))))
     rated = rated.withColumn("__some", F.array(*counted, F.col("__n") - F.col("word_chars"), F.col("n_symbols")))
