@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from mailgauge.llm.common import table
 
-#: Distinct pre-tokens that a Python worker keeps the ids of; when it is full, it starts anew.
-KEPT = 200_000
+#: Distinct pre-tokens, of under 64 bytes, that a Python worker keeps the ids of; when it is full, it starts anew.
+KEPT = 50_000
+#: Documents whose ids are in a worker's memory at once.
+SLICE = 256
 NAME = "byte_bpe_50k.tiktoken"
 
 
@@ -56,21 +59,25 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         assert sorted(ranks.values()) == list(range(len(ranks))), "ranks must be 0 to n - 1"
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.chars = {b: ord(c) for b, c in enumerate(byte_chars())}
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
-        self.bytes = sorted(ranks, key=ranks.get)
+        # The inverse mapping: an id's piece in the model, its characters' bytes.
+        back = {c: b for b, c in self.chars.items()}
+        self.bytes = [self.sp.id_to_piece(i).translate(back).encode("latin-1") for i in range(len(ranks))]
+        self.whole = {piece: i for i, piece in enumerate(self.bytes)}
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def piece(self, word: str) -> tuple[int, ...]:
         got = self.kept.get(word)
         if got is None:
             raw = word.encode("utf-8", "surrogatepass")
-            rank = self.ranks.get(raw)
+            # A pre-token that is itself a piece: the model gives that piece too, as tests check for all of them.
+            rank = self.whole.get(raw)
             got = (rank,) if rank is not None else tuple(self.sp.encode(raw.decode("latin-1").translate(self.chars), num_threads=1))
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            if len(raw) < 200:
+            if len(raw) < 64:
                 self.kept[word] = got
         return got
 
@@ -81,44 +88,52 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def row(self, text: str, rows: dict[str, list]) -> None:
+        """Appends what the fields of ``rows`` ask for about one text."""
+        ids = self.encode(text)
+        decoded = self.decode(ids) if "decoded" in rows or "decoded_sha256" in rows else b""
+        for field, into in rows.items():
+            if field == "ids":
+                into.append(np.array(ids, np.int32))
+            elif field == "n_tokens":
+                into.append(len(ids))
+            elif field == "ids_sha256":
+                into.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            else:
+                into.append(decoded if field == "decoded" else hashlib.sha256(decoded).hexdigest())
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` plus ``bpe``: a struct of ids and the bytes that they decode to, of column text; null counts as empty.
+_FIELDS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
+_ARROW = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
-    Row by row, without a shuffle; a worker builds the model once from the rank file, which every executor
-    has. Extra columns pass through.
-    """
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(path, pattern)
-        for texts in batches:
-            ids = [c.encode(t or "") for t in texts.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], names=["ids", "decoded"])
-
-    return docs.withColumn("bpe", F.arrow_udf(run, "ids array<int>, decoded binary")("text"))
+def encode_documents(docs: DataFrame, path: str, pattern: str, fields: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``docs`` plus ``bpe``: a struct of ``fields`` of column text; null counts as empty.
 
+    The fields: ids; n_tokens; ids_sha256, of the decimal ids joined by a blank; decoded, the bytes that the ids
+    decode to; decoded_sha256. Digests are made where the ids are, so that ids and bytes needn't leave the worker.
 
-def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of (doc_id, text), digested where they are made."""
+    Row by row, without a shuffle; a worker builds the model once from the rank file, which every executor
+    has, and holds the ids of SLICE documents at a time. Repeated rows get equal results. A column ``bpe`` of
+    the input is replaced; other columns pass through. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for texts in batches:
-            n, a, b = [], [], []
-            for t in texts.to_pylist():
-                ids = c.encode(t or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, len(texts), SLICE):
+                rows: dict[str, list] = {f: [] for f in fields}
+                for t in texts.slice(at, SLICE):
+                    c.row(t.as_py() or "", rows)
+                yield pa.StructArray.from_arrays([pa.array(rows[f], _ARROW[_FIELDS[f]]) for f in fields], names=list(fields))
+        c.kept.clear()
 
-    out = docs.select("doc_id", F.arrow_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")("text").alias("d"))
-    return out.select("doc_id", "d.*")
+    return docs.withColumn("bpe", F.arrow_udf(run, ", ".join(f"{f} {_FIELDS[f]}" for f in fields))("text"))
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -128,4 +143,5 @@ def public_vocabulary() -> tuple[str, str]:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_documents(table(spark, sf_dir, "documents"), *public_vocabulary())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, *public_vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256")).select("doc_id", "bpe.*")

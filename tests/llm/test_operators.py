@@ -93,14 +93,41 @@ def test_keep_one(spark, odd, empty):
     kept = simhash.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4] and kept.columns == docs.columns
     assert simhash.keep_one(empty).count() == 0
-    ids = [r.doc_id for r in simhash.keep_one(odd).collect()]
-    assert len(ids) == len(set(ids)) and 10 in ids
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark, odd):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(None, a, 1, "p"), (None, b, 2, "q"), (None, b, 2, "q"), (5, c, 3, "r"), (5, c + " x", 4, "s"), (5, a, 5, "t"), (6, b, 6, "u"), (None, None, 7, "v"), (8, "", 8, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, row string").withColumns({"t": F.lit("t"), "k": F.lit(1), "node": F.lit(2)})
+    got = simhash.keep_one(docs)
+    kept = sorted((r["__id"], r["row"], r.t, r.k, r.node) for r in got.collect())
+    assert got.columns == docs.columns
+    assert [k for k in kept if k[0] not in (3, 4)] == [(1, "p", "t", 1, 2), (2, "q", "t", 1, 2), (7, "v", "t", 1, 2)]
+    assert len([k for k in kept if k[0] in (3, 4)]) == 1
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(odd).collect())
+    assert max(kept.values()) == 1 and (6, "another text under the same id " * 3) in kept and (10, "one two") in kept
+    assert sum(not (t or "").strip() for _, t in kept) == 1 and (None, None) in kept
+
+
+def test_keep_one_equals_all_pairs(spark, duck):
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no such table")
+    text = dict(duck.sql(f"select doc_id, coalesce(text, '') from '{d}/documents.parquet'").fetchall())
+    shingles = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in text.items()}
+    fp = {i: simhash.fingerprint(t.encode(), 5) for i, t in text.items()}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    roots = group_roots(sorted(text), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2 or near(shingles[a], shingles[b]))
+    got = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    assert got == set(roots.values()) and len(got) < len(text)
 
 
 @pytest.mark.parametrize("chunk", [3, 256])
 def test_keep_one_compares_all_pairs_of_a_bucket(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
-    monkeypatch.setattr(simhash, "bands", lambda h: np.zeros(1, np.int64))  # one bucket for all texts
+    monkeypatch.setattr(simhash, "bands", lambda least: np.zeros(1, np.int64))  # one bucket for all texts
     rows = []
     for family in range(9):
         words = [f"f{family}w{i}" for i in range(100)]
@@ -462,7 +489,11 @@ def test_bpe_equals_the_library(spark, small, texts, odd, empty):
     for r in bpe.op10_byte_bpe(spark, small).collect():
         ids = enc.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(texts[r.doc_id]))
-    for r in bpe.encode_documents(odd, path, pattern).collect():
+    c = bpe.codec(path, pattern)
+    assert c.bytes == sorted(bpe.read_ranks(path), key=bpe.read_ranks(path).get)
+    for i, piece in enumerate(c.bytes):  # the model alone gives each piece for its own bytes
+        assert c.sp.encode(piece.decode("latin-1").translate(c.chars)) == [i]
+    for r in bpe.encode_documents(odd.withColumn("bpe", F.lit("x")), path, pattern).collect():
         assert bytes(r.bpe.decoded) == (r.text or "").encode() and list(r.bpe.ids) == enc.encode_ordinary(r.text or "")
     assert bpe.encode_documents(empty, path, pattern).count() == 0
 
