@@ -26,13 +26,16 @@ def ascii_lower(text: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset, one under the warehouse.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, one under the warehouse if all runs
+    on one machine, else an error: executors elsewhere don't see the driver's folders.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        sc.setCheckpointDir(folder)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
     return df.checkpoint(eager=True)
 
 

@@ -246,14 +246,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, m: int =
 BANDS, ROWS = 20, 5
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A hash of the ROWS smallest values, each under a hash function of its own, of each of BANDS bands."""
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value under each of BANDS * ROWS hash functions."""
     odd = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
     hashes = np.unique(hashes)
     for at in range(0, len(hashes), 4096):
         x = (hashes[at : at + 4096, None] ^ (hashes[at : at + 4096, None] >> np.uint64(31))) * odd
         least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A hash of the ROWS smallest values of each of BANDS bands."""
     mixed = least.reshape(BANDS, ROWS)
     out = np.zeros(BANDS, np.uint64)
     for k in range(ROWS):
@@ -262,15 +267,20 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each smallest value, in two longs: the more bits agree, the likelier texts are similar. It ranks candidates only."""
+    return np.packbits((least >> np.uint64(7) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes().ljust(16, b"\0")
+
+
 def jaccard(a: bytes, b: bytes, width: int) -> float:
     x, y = (set(shingle_hashes(t, width).tolist()) for t in (a, b))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
 #: Texts, and bytes of texts, of a chunk of a bucket; the pairs of two chunks are compared in one task.
-CHUNK, CHUNK_BYTES = 256, 1 << 20
+CHUNK, CHUNK_BYTES = 512, 1 << 21
 #: Shingles that are counted at once.
-SLICE = 4096
+SLICE = 2048
 #: Ids of up to this many texts are broadcast to fetch the texts.
 MOST_ASKED = 200_000
 
@@ -293,12 +303,12 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare_block(width: int, similarity: float):
-    """Texts (a, b, place, rep, root, data) of one block to links (a, b) of near texts of different roots, as many as connect them."""
+    """Texts (a, b, place, node, root, data) of one block to links (a, b) of near texts of different roots, as many as connect them."""
 
     def run(block: pa.Table) -> pa.Table:
         a, b = block["a"][0].as_py(), block["b"][0].as_py()
-        place, rep, root = (block[c].to_pylist() for c in ("place", "rep", "root"))
-        sets = [np.unique(shingle_hashes(t, width)) for t in block["data"].to_pylist()]
+        place, node, root = (block[c].to_pylist() for c in ("place", "node", "root"))
+        sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in block["data"]]
         x, y = ([i for i, p in enumerate(place) if p == k] for k in (a, b))
         links, group = [], {r: r for r in root}
 
@@ -315,98 +325,130 @@ def _compare_block(width: int, similarity: float):
                 u, v = find(root[x[i]]), find(root[y[j]])
                 if u != v:
                     group[u] = v
-                    links.append((rep[x[i]], rep[y[j]]))
+                    links.append((node[x[i]], node[y[j]]))
         return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
 
     return run
 
 
 def blocks(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, key, a, b, place, rep, root, t) of the texts (rep, t, size, bands) of each bucket of over three that have several roots.
+    """(band, key, a, b, place, node, root) of the texts (node, size, bands) of each bucket of over three that have several roots.
 
     A bucket's texts of its most frequent root and its other ones are dealt into chunks by a hash; a block is a
     pair of chunks, a and b, not both of that root, so any two texts of different roots meet in a block. Buckets
     of the same texts count once. Of up to three texts all pairs have been compared with the leaders.
     """
-    members = texts.join(roots, texts["rep"] == roots["node"], "left").select("rep", "t", "size", F.coalesce("root", "rep").alias("root"), F.posexplode("bands").alias("band", "key"))
-    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("s")]
+    members = texts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    members = members.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("band", "key"))
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.hash("node").cast("long")).alias("s")]
     mixed = members.groupBy("band", "key").agg(*same, F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 3 and lo <> hi")
     mixed = cut(mixed.groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*"))
     left = cut(members.join(mixed, ["band", "key"]))
     by_root = cut(left.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     sums = by_root.groupBy("band", "key").agg(F.max(F.struct("n", "root", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     chunks = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_BYTES)).cast("long")
-    sums = cut(sums.select("band", "key", F.col("m.root").alias("main"), chunks(F.col("m.n"), F.col("m.size")).alias("mains"), chunks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("others")))
+    mains, others = chunks(F.col("m.n"), F.col("m.size")), chunks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size"))
+    sums = cut(sums.select("band", "key", F.col("m.root").alias("main"), mains.alias("mains"), others.alias("others")))
     placed = left.join(sums, ["band", "key"]).withColumn("own", F.col("root") == F.col("main"))
-    placed = placed.withColumn("place", F.when(F.col("own"), F.col("others") + F.expr("pmod(xxhash64(rep), mains)")).otherwise(F.expr("pmod(xxhash64(rep), others)")))
+    place = F.when(F.col("own"), F.col("others") + F.expr("pmod(xxhash64(node), mains)")).otherwise(F.expr("pmod(xxhash64(node), others)"))
+    placed = placed.withColumn("place", place)
     every = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(F.col("own"), 0).otherwise(F.col("mains")) - 1)
     pairs = F.explode(F.transform(every, lambda k: F.struct(F.least("place", k).alias("a"), F.greatest("place", k).alias("b")))).alias("p")
-    return placed.select("band", "key", "place", "rep", "root", "t", pairs).select("band", "key", "p.a", "p.b", "place", "rep", "root", "t")
-
+    return placed.select("band", "key", "place", "node", "root", pairs).select("band", "key", "p.a", "p.b", "place", "node", "root")
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
-    """Rows of ``docs`` but for all of each group of near-duplicates except the one of the smallest id.
-
-    Groups are what links connect: equal texts, SimHash fingerprints of ``width``-word shingles within
-    ``distance`` bits, and texts whose shingle sets have a Jaccard similarity of ``similarity`` or more. Pairs
-    at 0.8 differ in up to a quarter of the bits, too many for the pigeonhole search, so candidates for
-    those links share a band of smallest hashes and are verified on their whole texts: in each bucket first every
-    text with two leaders, other ones in each band by a hash of their ids, then, in blocks, any two that aren't linked yet.
 
-    Null text counts as empty; texts without words are alike. Null ids rank below all. Of rows that repeat an id
-    and stay, the one of the smallest hash of its text stays. Extra columns pass through.
-    """
-    made = "fp long, bands array<long>"
+def _signed(docs: DataFrame, width: int) -> DataFrame:
+    """(id, t, u, size, fp, bands, sketch) of each row of (doc_id, text); t and u are two hashes of the text."""
+    made = "fp long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            fps, keys = [], []
-            for t in texts.to_pylist():
-                h = shingle_hashes(t, width)
-                fps.append(simhash(h))
-                keys.append(bands(h) if len(h) else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "bands"])
-
-    ident, data = F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary")
-    own = docs.select(ident, F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.length(data).cast("long").alias("size"), F.arrow_udf(run, made)(data).alias("m"))
-    own = cut(own.select("id", "t", "u", "size", "m.*"))
-    # A row a text; then a row a fingerprint. Both take part under their smallest id.
-    texts = cut(own.groupBy("t", "u").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    classes = cut(texts.groupBy("fp").agg(F.min("rep").alias("rep")))
-    alike = texts.alias("x").join(classes.alias("y"), "fp").where("x.rep <> y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    keyed = texts.select("rep", F.posexplode("bands").alias("band", "key"))
-    drawn = F.struct(F.xxhash64("band", "rep").alias("h"), "rep")
+            for at in range(0, len(texts), 512):
+                fps, keys, marks = [], [], []
+                for t in texts.slice(at, 512):
+                    h = shingle_hashes(t.as_py(), width)
+                    least = smallest(h)
+                    fps.append(simhash(h))
+                    keys.append(bands(least) if len(h) else np.zeros(0, np.int64))
+                    marks.append(sketch(least))
+                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+                yield pa.StructArray.from_arrays(columns, names=["fp", "bands", "sketch"])
+
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    own = docs.select(*_keys_of(), F.length(data).cast("long").alias("size"), F.arrow_udf(run, made)(data).alias("m"))
+    return own.select("id", "t", "u", "size", "m.*")
+
+
+def _keys_of() -> list:
+    return [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u")]
+
+
+def near_texts(texts: DataFrame, docs: DataFrame, width: int, similarity: float, distance: int) -> DataFrame:
+    """(node, root) of the texts (node, id, t, u, size, fp, bands, sketch) that links connect; see keep_one."""
+    classes = cut(texts.groupBy("fp").agg(F.min("node").alias("rep")))
+    alike = texts.join(classes, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    keyed = texts.select("node", "sketch", F.posexplode("bands").alias("band", "key"))
+    drawn = F.struct(F.xxhash64("band", "node").alias("h"), "node", "sketch")
     leaders = keyed.groupBy("band", "key").agg(F.array(F.min(drawn), F.max(drawn)).alias("leads"), F.count("*").alias("n")).where("n > 1")
-    leaders = cut(leaders.select("band", "key", F.explode("leads").alias("lead")).select("band", "key", F.col("lead.rep").alias("lead")))
-    pairs = keyed.join(leaders, ["band", "key"]).where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    body = docs.select(ident, data.alias("data"), F.xxhash64("text").alias("t"))
-    whole = body.join(texts.select(F.col("rep").alias("id"), "t"), ["id", "t"], "left_semi").dropDuplicates(["id"])
-    sides = pairs.join(whole.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
+    leaders = cut(leaders.select("band", "key", "n", F.explode("leads").alias("lead")).select("band", "key", "n", F.col("lead.node").alias("lead"), F.col("lead.sketch").alias("mark")))
+    part = lambda c, at: F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("long")
+    apart = sum(F.bit_count(part("sketch", at).bitwiseXOR(part("mark", at))) for at in (1, 5, 9, 13))
+    met = keyed.join(leaders, ["band", "key"]).where("node <> lead").select("node", "lead", "n", apart.alias("apart"))
+    met = cut(met.distinct())
+    # All pairs of buckets of up to three texts; of larger ones, each text with the leader that looks the nearest.
+    best = met.where("n > 3").groupBy("node").agg(F.min(F.struct("apart", "lead"))["lead"].alias("lead"))
+    pairs = met.where("n <= 3").select("node", "lead").unionAll(best)
+    pairs = cut(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    # A text of any bucket of several stands in met. Each is fetched once.
+    asked = small(texts.join(met.select("node").distinct(), "node").select("node", "id", "t", "u"), MOST_ASKED)
+    body = docs.select(*_keys_of(), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    bodies = cut(body.join(asked, ["id", "t", "u"]).select("node", "data").dropDuplicates(["node"]))
+    sides = pairs.join(bodies.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
 
     def rate(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for xs, ys in batches:
-            yield pa.array([jaccard(x, y, width) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.float64())
+            yield pa.array([jaccard(x.as_py(), y.as_py(), width) for x, y in zip(xs, ys, strict=True)], pa.float64())
 
     near = sides.where(F.arrow_udf(rate, "double")("x", "y") >= similarity).select("a", "b")
     roots = components(links(classes, distance).unionAll(alike).unionAll(near))
-    rest = cut(blocks(texts, roots))
-    asked = small(rest.select(F.col("rep").alias("id"), "t").distinct(), MOST_ASKED)
-    bodies = body.join(asked, ["id", "t"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "data")
-    late = cut(rest.join(bodies, "rep").groupBy("band", "key", "a", "b").applyInArrow(_compare_block(width, similarity), "a long, b long"))
-    if not late.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(late))
-    # Ids that go: those of texts under another id, and those whose component has a smaller one.
-    gone = roots.where("node <> root").select(F.col("node").alias("id"))
-    copies = own.join(texts.select("t", "u", "rep"), ["t", "u"]).where("id <> rep").select("id", "t", "u")
-    out = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NO_ID)), "__t": F.xxhash64("text"), "__u": F.xxhash64(F.lit(1), "text")})
-    copies = copies.select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("u").alias("__u")).distinct()
-    out = out.join(copies, ["__id", "__t", "__u"], "left_anti").join(gone.select(F.col("id").alias("__id")), "__id", "left_anti")
-    again = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"))
+    rest = blocks(texts, roots)
+    late = cut(rest.join(bodies, "node").groupBy("band", "key", "a", "b").applyInArrow(_compare_block(width, similarity), "a long, b long"))
+    if late.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(late))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """Rows of ``docs`` but for all of each group of near-duplicates except the one of the smallest id.
+
+    Groups are what links connect: equal texts, SimHash fingerprints of ``width``-word shingles within
+    ``distance`` bits, and texts whose shingle sets have a Jaccard similarity of ``similarity`` or more. Pairs
+    at 0.8 differ in up to a quarter of the bits, too many for the pigeonhole search, so candidates for
+    those links share a band of smallest hashes and are verified on their whole texts: first every text with a
+    leader of its buckets, then, in blocks, any two of a bucket that aren't linked yet.
+
+    Null text counts as empty; texts without words are alike. Null ids rank below all. Rows are told apart by id
+    and text, so different texts under one id, or without one, are rows of their own; of a group's rows with the smallest
+    id the one of the smallest hash of its text stays. Of rows equal in id and text one stays, any of them. All columns pass
+    through, whatever their names. An empty table gives an empty result.
+    """
+    own = cut(_signed(docs, width))
+    # A row a text, under its smallest id; its node is a number of its own.
+    texts = own.groupBy("t", "u").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "bands", "sketch", "size")])
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    roots = near_texts(texts, docs, width, similarity, distance)
+    named = texts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    first = named.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("id", "t", "u")).alias("k")).select("k.*")
+    rows = own.groupBy("id", "t", "u").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(first.withColumn("stays", F.lit(True)), ["id", "t", "u"], "left"))
+    gone, again = (rows.where(c).select("id", "t", "u") for c in ("stays is null", "stays and n > 1"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys_of())
+    out = out.join(small(gone, MOST_ASKED), ["id", "t", "u"], "left_anti")
     if not again.isEmpty():
-        first = F.row_number().over(Window.partitionBy("__id").orderBy("__t", "__u"))
-        twice = out.join(again, "__id", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
-        out = out.join(again, "__id", "left_anti").unionByName(twice)
-    return out.select(docs.columns)
+        again = small(again, MOST_ASKED)
+        once = out.join(again, ["id", "t", "u"], "left_semi").dropDuplicates(["id", "t", "u"])
+        out = out.join(again, ["id", "t", "u"], "left_anti").unionByName(once)
+    return out.select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
