@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages from raw documents to token ids, each one operator of mailgauge.llm.
+"""The corpus pipeline: five stages from raw documents to token ids, each calling an operator of mailgauge.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept; all but the last return the
 columns of documents. ORACLE_SQL is None: the classifier, SimHash and BPE can't be expressed in SQL.
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import bpe, line_dedup, mixing, quality_classifier, simhash
-from mailgauge.llm.common import table
+from mailgauge.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,9 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and the text that they decode to."""
-    out = bpe.encode_documents(docs.select(COLUMNS), *bpe.public_vocabulary())
-    return out.select("doc_id", "source", F.col("bpe.ids").alias("ids"), F.size("bpe.ids").cast("long").alias("n_tokens"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
+    """Token ids of each document, their number and a digest of the text that they decode to."""
+    out = bpe.encode_documents(docs.select(COLUMNS), *bpe.public_vocabulary(), ("ids", "n_tokens", "decoded_sha256"))
+    return out.select("doc_id", "source", "bpe.*")
 
 
 STAGES = [("quality_classifier", classify), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("source_mixing", mix_sources), ("byte_bpe", encode)]
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another on documents; each one's rows are computed once, as later stages read them several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
