@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,32 +126,46 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+def read_tags(raw: bytes) -> tuple[set[str], float, float | None]:
+    """Identifiers, score and binding of all identifier tags of a text; each different tag line is parsed once."""
+    labels, score, bind = set(), 0.0, None
+    for line in set(_TAG_TEXT.findall(raw)):
+        try:
+            ids, x = evaluate(leading(line.decode("utf-8", "replace").split("*/")[0].split("-->")[0]))
+            labels |= ids
+            score, bind = 1.0, x if bind is None else max(bind, x)
+        except Bad:
+            score = max(score, 0.3)
+    return labels, score, bind
+
+
 def scan(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, binding of one text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, binding of one text, in time linear in its length."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.translate(_WORD_BYTES).split()
-    line = f" {b' '.join(words).decode('latin-1')} "
-    starts, base, labels, score, bind = [], set(), set(), 0.0, None
-    for end, phrase in automaton().iter(line):
+    line = b" %b " % b" ".join(words)
+    blanks, tags, base, labels, score, bind = [], False, set(), set(), 0.0, None
+    for end, phrase in automaton().iter(line.decode("latin-1")):
         if phrase in BASE:
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            blanks.append(end - len(phrase) - 1)
             base.add(BASE[phrase])
-            score = max(score, 0.9)
         elif phrase in NOTICES:
             labels.add(NOTICES[phrase])
-            score = max(score, 0.8)
-        elif score < 1.0 or bind is None:
-            for found in _TAG_TEXT.findall(raw):
-                try:
-                    ids, x = evaluate(leading(found.decode("utf-8", "replace").split("*/")[0].split("-->")[0]))
-                    labels |= ids
-                    score, bind = 1.0, x if bind is None else max(bind, x)
-                except Bad:
-                    score = max(score, 0.3)
+            score = 0.8
+        else:
+            tags = True
+    if base:
+        score = 0.9
+    if tags:
+        found, sure, bind = read_tags(raw)
+        labels, score = labels | found, max(score, sure)
     labels |= base
     if bind is None and labels:
         bind = max(map(binds, labels))
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, bind
+    # A phrase's start, in words: the blanks before the one in front of it.
+    starts = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), blanks) if blanks else np.zeros(0, np.int64)
+    first, last = (int(starts.min()), int(starts.max())) if len(starts) else (None, None)
+    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, bind
 
 
 _FIELDS = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("binding", "double")]
@@ -163,12 +178,13 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     labels: those of notice phrases and base phrases, and the lower-case identifiers of SPDX tags. score,
     0 to 1: 1 with an identifier tag that parses, 0.9 with a base phrase, 0.8 with another notice, 0.3 with
     a tag of which no start parses, else 0. binding: how far the licence found binds (null: none), by the tags'
-    expressions or else the strictest label. Row by row, without a shuffle. Extra columns pass through.
+    expressions or else the strictest label. Row by row, without a shuffle. A column ``licence`` of the input is
+    replaced; other columns pass through. Repeated rows get equal results. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = list(zip(*map(scan, texts.to_pylist()), strict=True)) or [[]] * len(_FIELDS)
+            rows = list(zip(*(scan(t.as_py()) for t in texts), strict=True)) or [[]] * len(_FIELDS)
             yield pa.StructArray.from_arrays([pa.array(x, _ARROW[k]) for x, (_, k) in zip(rows, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
     return docs.withColumn("licence", F.arrow_udf(run, ", ".join(f"{n} {k}" for n, k in _FIELDS))("text"))
