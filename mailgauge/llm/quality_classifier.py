@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailgauge.llm.common import table
@@ -14,10 +14,10 @@ from mailgauge.llm.common import table
 #: Hash buckets of byte n-grams; behind them stand those of the word pattern n-grams.
 BITS, PATTERNS = 18, 1024
 SIZE = (1 << BITS) + PATTERNS
-#: Labelled rows of each class that the support vector model is fitted on, those of the smallest hash.
-SAMPLE = 3000
-#: Up to this many labels, 16 bytes each, the labels are broadcast; more are joined by a shuffle.
-FEW_LABELS = 2_000_000
+#: Labels that the bucket counts are taken from, those of the smallest hash: the bound of what is broadcast, 16 bytes each.
+LABELS = 200_000
+#: Rows of each class, and about the bytes of their texts, that the support vector model is fitted on.
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 
 
 def features(data: bytes, seen: np.ndarray) -> np.ndarray:
@@ -100,17 +100,18 @@ def _bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_labels: int = LABELS) -> Model | None:
     """A model of labels' column quality from the rows of (doc_id, text) that have a label and aren't held out.
 
-    Bucket counts of each class come from all such rows; the support vector model from at most ``sample``
-    rows of each class, three quarters of them, and the sigmoid from the other quarter, weighted to the
-    classes' shares. Repeated labels of one document: the smallest counts. None if a class has no rows.
+    Bucket counts of each class come from the rows of at most ``most_labels`` labels; the support vector model from
+    at most ``sample`` rows of each class, of about SAMPLE_BYTES of text, three quarters of them, and the sigmoid from the
+    other quarter, weighted to the classes' shares. Both samples are those of the smallest hash, so that reruns agree.
+    Repeated labels of one document: the smallest counts. None if a class has no rows.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
-    few = known.count() <= FEW_LABELS
-    rows = docs.select("doc_id", _bytes(F.col("text")).alias("data"))
-    join = lambda part: rows.join(F.broadcast(part) if few else part, "doc_id")
+    order = F.xxhash64("doc_id")
+    known = F.broadcast(known.orderBy(order, "doc_id").limit(most_labels))
+    rows = docs.select("doc_id", _bytes(F.col("text")).alias("data")).join(known, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, total = np.zeros(SIZE, bool), np.zeros((2, SIZE), np.int64), [0, 0]
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*n[1][at], total[1]], pa.int64()), pa.array([*n[0][at], total[0]], pa.int64())], names=["bucket", "good", "bad"])
 
-    got = join(known).select("data", "quality").mapInArrow(count, "bucket long, good long, bad long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    got = rows.select("data", "quality").mapInArrow(count, "bucket long, good long, bad long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     n = np.zeros((2, SIZE + 1), np.int64)
     at = got["bucket"].to_numpy()
     n[1][at], n[0][at] = got["good"].to_numpy(), got["bad"].to_numpy()
@@ -136,13 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
             found = [features(d, seen).astype(np.int32) for d in b["data"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "quality", "found"])
 
-    order = F.xxhash64("doc_id")
-    picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
-    rows_found = rows.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", "quality", "data")
-    drawn = rows_found.mapInArrow(find, "doc_id long, quality int, found array<int>").toArrow()
-    ids, y01 = drawn["doc_id"].to_numpy(), drawn["quality"].to_numpy()
-    first = np.lexsort((ids * 2654435761 % 2**31, ids))
-    cells = drawn["found"].to_pylist() if False else [np.asarray(x) for x in drawn["found"].combine_chunks().to_numpy(zero_copy_only=False)]
+    # Drawn after the join, so that documents which share an id, or are very long, don't add to what the driver gets.
+    thin = rows.select("doc_id", "quality", F.xxhash64("data").alias("h"), F.length("data").cast("long").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("quality").orderBy(order, "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = [thin.where(F.col("quality") == q).orderBy(order, "doc_id", "h").limit(sample) for q in (0, 1)]
+    picked = drawn[0].unionAll(drawn[1]).withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) < SAMPLE_BYTES).select("doc_id", "h").distinct()
+    chosen = rows.withColumn("h", F.xxhash64("data")).join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    got = chosen.select("doc_id", "quality", "data").mapInArrow(find, "doc_id long, quality int, found array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    ids, y01 = got["doc_id"].to_numpy(), got["quality"].to_numpy()
+    cells = [np.asarray(x) for x in got["found"].combine_chunks().to_numpy(zero_copy_only=False)]
+    first = np.lexsort(([len(x) for x in cells], ids * 2654435761 % 2**31, ids))
     vectors = []
     for i in first:
         at = cells[i].astype(np.int64)
@@ -164,7 +168,8 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` plus score, 0 to 1, and predicted, 1 from a score of 0.5 on, by column text alone.
 
     Null or empty text: the score of no n-grams. Without a model every score is 0.5. Row by row; the model
-    is two arrays of SIZE floats. Repeated rows score alike; extra columns pass through.
+    is two arrays of SIZE floats. Repeated rows score alike; columns ``score`` and ``predicted`` of the input are
+    replaced, other columns pass through. An empty table gives an empty result.
     """
     if model is None:
         return docs.withColumns({"score": F.lit(0.5), "predicted": F.lit(1)})
@@ -172,7 +177,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = np.zeros(SIZE, bool)
         for texts in batches:
-            yield pa.array([model.score(features(d or b"", seen)) for d in texts.to_pylist()], pa.float64())
+            yield pa.array([model.score(features(d.as_py() or b"", seen)) for d in texts], pa.float64())
 
     out = docs.withColumn("score", F.arrow_udf(run, "double")(_bytes(F.col("text"))))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
