@@ -22,9 +22,8 @@ SEEDS = (
 ).split()
 #: Host labels that say nothing.
 IDLE = frozenset("www com net org de fr es uk co io".split())
-#: Words of the unigram model, the most frequent ones: the bound of what is broadcast.
-WORDS = 50_000
-LONGEST = 20
+#: The unigram model knows each word that is at least one in so many of all words; so it knows at most as many words.
+RARE = 200_000
 _LETTERS = re.compile(r"[a-z]+")
 
 
@@ -52,8 +51,9 @@ class Segmenter:
         self.score = {w: math.log(n / total) for w, n in counts.items() if n > 0}
         for w in SEEDS:
             self.score[w] = math.log(max(counts.get(w, 0), floor) / total)
-        # A word unknown to the model gets less with each letter.
-        self.unknown = [math.log(10 / total) - n * math.log(10) for n in range(LONGEST + 1)]
+        # A word unknown to the model gets less with each letter; words are as long as the model's longest at most.
+        self.longest = max(map(len, self.score))
+        self.unknown = [math.log(10 / total) - n * math.log(10) for n in range(self.longest + 1)]
         self.kept: dict[str, list[str]] = {}
 
     def __call__(self, run: str) -> list[str]:
@@ -61,7 +61,7 @@ class Segmenter:
             return self.kept[run]
         best, back = [0.0], [0]
         for end in range(1, len(run) + 1):
-            choice = max((best[i] + self.score.get(run[i:end], self.unknown[end - i]), i) for i in range(max(0, end - LONGEST), end))
+            choice = max((best[i] + self.score.get(run[i:end], self.unknown[end - i]), i) for i in range(max(0, end - self.longest), end))
             best.append(choice[0])
             back.append(choice[1])
         out, end = [], len(run)
@@ -79,27 +79,18 @@ class Segmenter:
         return out + ["/" + w for run in _LETTERS.findall(path.lower()) for w in self(run)]
 
 
-def most_frequent(counts: DataFrame, name: str, most: int) -> list:
-    """The ``most`` rows of (name, n, ...) of the largest n, by n and name.
-
-    A histogram of n, of a bounded number of cells, tells from which count on rows can be among them, so only
-    those are sorted, however many partitions there are.
-    """
+def frequent(counts: DataFrame, rare: int) -> DataFrame:
+    """The rows of (..., n) whose n is at least one in ``rare`` of the sum of n: at most ``rare`` rows, whatever the input's size."""
     counts = cut(counts)
-    cell = F.floor(F.log2("n") * 16)
-    floor, seen = 0, 0
-    for r in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
-        floor, seen = r["cell"], seen + r["count"]
-        if seen >= most:
-            break
-    return counts.where(cell >= floor).orderBy(F.desc("n"), name).limit(most).collect()
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") * rare >= every)
 
 
-def word_counts(pages: DataFrame, html_col: str = "html", most: int = WORDS) -> dict[str, int]:
-    """Counts of the ``most`` frequent words of up to LONGEST letters in all pages' texts; those counts alone reach the driver."""
+def word_counts(pages: DataFrame, html_col: str = "html", rare: int = RARE) -> dict[str, int]:
+    """Counts of the words of all pages' texts that are at least one in ``rare`` of them; those counts alone reach the driver."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col(html_col), F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).where(F.length("w").between(1, LONGEST))
-    return {r.w: r.n for r in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), "w", most)}
+    words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).where("w <> ''")
+    return {r.w: r.n for r in frequent(words.groupBy("w").agg(F.count("*").alias("n")), rare).collect()}
 
 
 def learn(urls: DataFrame, segmenter: Segmenter) -> tuple[DataFrame, float]:
