@@ -17,9 +17,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     distinct count combine on the map side, so a line that most documents share costs one row a task.
 
     Null or empty text: one empty line, nothing dropped. Null ids count as one document below all others.
-    Rows of one id count as one document; identical rows get identical results. Extra columns pass
-    through. An empty table gives an empty result.
+    Rows of one id count as one document; identical rows get identical results. All columns pass through, whatever
+    their names, but for ones of the three added names, which are replaced. An empty table gives an empty result.
     """
+    made = ("n_lines", "n_dropped", "kept_text")
+    names = [c for c in docs.columns if c not in made]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__all"), F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("__text"))
+    id_col, text_col = "__doc", "__text"
     ident, text = F.coalesce(F.col(id_col), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit(""))
     row = F.xxhash64(text)
     line = F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line")
@@ -42,7 +46,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         "n_lines": F.size("__lines").cast("long"),
         "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"),
         "kept_text": F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform("__kept", lambda p: F.get("__lines", p)), "\n")),
-    }).drop("__id", "__row", "__gone", "__lines", "__kept")
+    }).select("__all.*", *made)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

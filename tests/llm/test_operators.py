@@ -213,6 +213,30 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), url_filter.RULES).count() == 0
 
 
+def test_url_filter_equals_brute_force(spark, small, duck):
+    import math
+
+    pages = duck.sql("select page_id, url, html from pages").fetchall()
+    words = Counter(w for _, _, h in pages for w in re.findall("[a-z]+", re.sub(r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", (h or "").lower())))
+    s = url_filter.Segmenter({w: n for w, n in words.items() if n * url_filter.RARE >= sum(words.values())})
+    parts, tokens = {}, {}
+    for i, url, _ in pages:
+        head, sep, tail = (url or "").partition("://")
+        host = re.split("[/?#]", tail)[0]
+        parts[i] = (host.translate(ASCII), re.split("[?#]", tail[len(host) :])[0])
+        tokens[i] = s.tokens(*parts[i])
+    bad = {i for i, t in tokens.items() if set(t) & set(url_filter.SEEDS)}
+    counts = {k: Counter(t for i, ts in tokens.items() if (i in bad) == k for t in ts) for k in (True, False)}
+    size = len(set(counts[True]) | set(counts[False])) + 1
+    chance = lambda t, k: math.log((counts[k][t] + 1) / (sum(counts[k].values()) + size))
+    for r in url_filter.op3_url_filter(spark, small).collect():
+        host, path = parts[r.page_id]
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        odds = math.log(len(bad) / (len(tokens) - len(bad))) + sum(chance(t, True) - chance(t, False) for t in tokens[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
+        assert r.block_odds == pytest.approx(odds, abs=1e-6) and r.verdict == (max(fits)[2] if fits else "block" if odds > 0 else "allow")
+
+
 def test_all_tokens_have_odds(spark):
     letters = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
     urls = [("garden.org", f"/{letters(i)}/{letters(i)}") for i in range(21000)] + [("viagra.org", "/x")]
@@ -290,9 +314,10 @@ def test_fingerprints_equal_brute_force(spark, small, texts):
         assert (r.n_chars, r.edited_sha256, r.fingerprint[:16]) == (len(t), sha(edited), brute_digest(t)[0])
         same = lambda a, b: float(brute_canonical(a) == brute_canonical(b))
         assert (r.near_edited, r.near_next) == (same(t, edited), same(t, nxt))
-    by = {}
+    by, least = {}, {}
     for i in ids:
         by.setdefault(brute_canonical(texts[i]), set()).add(got[i].fingerprint)
+        assert got[i].group_id == least.setdefault(brute_canonical(texts[i]), i)
     assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
 
 
@@ -308,6 +333,9 @@ def test_canonical_forms_and_groups(spark, odd, empty):
     for width in (128, 4):
         got = {r.doc_id: r.group_id for r in fingerprints.groups(docs, width).collect()}
         assert got == {1: 1, 3: 1, 2: 2, None: None, 9: None}
+    many = spark.createDataFrame([(i, f"text {i % 40}") for i in range(200)], "doc_id long, text string")
+    got = fingerprints.groups(many, 4).collect()  # sixteen buckets of forty texts: bytes tell them apart
+    assert {r.doc_id: r.group_id for r in got} == {i: i % 40 for i in range(200)} and len({r.fingerprint for r in got}) == 40
     assert fingerprints.compare(odd).count() == odd.count() and fingerprints.compare(empty).count() == 0
 
 
@@ -342,6 +370,18 @@ def test_licence_tag_before_prose(tail, labels):
     assert (got[5], got[6]) == (labels, 1.0)
 
 
+@pytest.mark.parametrize("part", ["cc by nc ", "spdx license identifier ", "SPDX-License-Identifier: MIT AND (\n"])
+def test_licence_scan_is_linear(part):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        licenses.scan(part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.2
+
+
 def test_licence_odd_rows(odd, empty):
     rows = {r.doc_id: r.licence for r in licenses.scan_documents(odd).collect()}
     assert rows[9].labels == "apache-2.0,gpl-3.0-only,mit" and rows[9].score == 1.0 and rows[3].n_words == 0
@@ -445,6 +485,33 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(value(w) <= value(w + rng.normal(size=5) * s) + 1e-6 for s in (1e-1, 1e-2, 1e-3) for _ in range(200))
 
 
+def test_classifier_scores_equal_brute_force(spark):
+    rows = [(i, f"the house of the garden number {i} stands by the old river " * 3 if i % 2 else f"### buy {i} $$$ now now now *** " * 4) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    import zlib
+
+    seen, n = np.zeros(quality_classifier.SIZE, bool), np.zeros((2, quality_classifier.SIZE))
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            n[i % 2][quality_classifier.features(t.encode(), seen)] += 1
+    p, q = n[1] + 1, n[0] + 1
+    assert np.allclose(model.ratio, np.log(p / p.sum()) - np.log(q / q.sum()), atol=1e-5)
+    scored = {r.doc_id: r.score for r in quality_classifier.score_documents(docs.withColumn("score", F.lit("x")), model).collect()}
+    for i, t in rows:
+        r = model.ratio[at := quality_classifier.features(t.encode(), seen)].astype(float)
+        assert scored[i] == pytest.approx(1 / (1 + np.exp(-(model.a * (r @ model.weight[at]) / np.sqrt(r @ r) + model.b))), abs=1e-6)
+        assert (scored[i] >= 0.5) == (i % 2 == 1)
+
+
+def test_classifier_sample_is_bounded(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i % 40, f"text {i} " * 9) for i in range(400)], "doc_id long, text string")
+    assert quality_classifier.fit(docs, labels, sample=5, most_labels=20) is not None
+    again = [quality_classifier.fit(docs.repartition(k), labels, sample=5, most_labels=20) for k in (1, 3)]
+    assert np.array_equal(again[0].ratio, again[1].ratio) and np.allclose(again[0].weight, again[1].weight)
+
+
 def test_classifier_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, None), (2, 0, None), (2, 0, 1), (3, None, 0), (None, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality_classifier.fit(odd, labels)
@@ -471,6 +538,13 @@ def brute_lines(rows):
     return out
 
 
+def test_lines_keep_all_columns(spark, odd):
+    docs = spark.createDataFrame([(i, "x" * 25 + "\ny", i * 7, "t", 4) for i in range(4)], "doc_id long, text string, __id long, __text string, n_lines int")
+    got = sorted((r["__id"], r["__text"], r.n_lines, r.kept_text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == [(0, "t", 2, "y"), (7, "t", 2, "y"), (14, "t", 2, "y"), (21, "t", 2, "x" * 25 + "\ny")]
+    assert line_dedup.dedup_lines(odd).columns == [*odd.columns, "n_lines", "n_dropped", "kept_text"]
+
+
 def test_lines_equal_brute_force_on_odd_rows(odd, empty):
     rows = [(r.doc_id if r.doc_id is not None else -1, r.text) for r in odd.collect()]
     got = [(r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(odd).collect()]
@@ -508,8 +582,8 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_most_frequent(spark):
+def test_frequent_words(spark):
     rows = [(f"w{i:03d}", n) for i, n in enumerate([1] * 50 + [2] * 30 + [1000, 999, 5, 5, 5, 70])]
-    got = [tuple(r) for r in url_filter.most_frequent(spark.createDataFrame(rows, "w string, n long"), "w", 8)]
-    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:8]
-    assert url_filter.most_frequent(spark.createDataFrame([], "w string, n long"), "w", 8) == []
+    got = {tuple(r) for r in url_filter.frequent(spark.createDataFrame(rows, "w string, n long"), 500).collect()}
+    assert got == {r for r in rows if r[1] * 500 >= sum(n for _, n in rows)} and len(got) == 6
+    assert url_filter.frequent(spark.createDataFrame([], "w string, n long"), 8).count() == 0
