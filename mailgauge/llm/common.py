@@ -23,6 +23,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Thin rows of a partition, and rows with texts.
+THIN, WIDE = 50_000, 5_000
+
+
+def packed(df: DataFrame, rows: int, per: int = THIN) -> DataFrame:
+    """``df`` in a partition for each ``per`` of its about ``rows`` rows, if it has more partitions: a small table costs few tasks and files."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder that all executors share.
 
@@ -55,14 +64,17 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(e)
     while seen[0]:
+        n = seen[0]
+        e = packed(e, n)
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        least = cut(least)
+        least = cut(packed(least, n))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct())
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = cut(packed(packed(large.where("a <> b"), n).distinct(), n))
+        low = cut(packed(large.groupBy("a").agg(F.min("b").alias("m")), n))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("p"))
-        e = cut(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct())
+        small = small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b")
+        e = cut(packed(packed(small, n).distinct(), n))
         now = _mark(e)
         if now == seen:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailgauge.llm.common import LOWER, NO_ID, UPPER, components, cut, small, table
+from mailgauge.llm.common import LOWER, NO_ID, UPPER, WIDE, components, cut, packed, small, table
 
 SEED, BITS = 42, 64
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -184,6 +184,8 @@ def links(classes: DataFrame, distance: int = 2, m: int = 2, bucket_bound: int =
     fingerprints at up to ``distance`` (even) bits share a point, and those that share one are that near.
     """
     assert distance == 2, "points for large buckets are those of one bit"
+    n = classes.count()
+    classes = packed(classes, n, WIDE)
     parts = bit_partitions(classes, m)
     allocate = Allocator(parts, piece_histograms(classes, parts), distance)
 
@@ -210,9 +212,9 @@ def links(classes: DataFrame, distance: int = 2, m: int = 2, bucket_bound: int =
 
     rows = classes.mapInArrow(index, "part int, key long, fp long, rep long")
     # Counted once, so that the join with a hot key's probes has plain shuffles below it and can be split.
-    sizes = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n")))
+    sizes = cut(packed(rows.groupBy("part", "key").agg(F.count("*").alias("n")), n * m))
     met = classes.mapInArrow(probe, "part int, key long, moved boolean, fp long, rep long").join(sizes, ["part", "key"])
-    met = cut(met.where("moved or n > 1"))
+    met = cut(packed(met.where("moved or n > 1"), n * m))
     large = sizes.where(F.col("n") > bucket_bound).select("part", "key")
     pairs = met.where(F.col("n") <= bucket_bound).alias("q").join(rows.alias("x"), ["part", "key"])
     near = pairs.where("q.rep <> x.rep").where(F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= distance)
@@ -331,8 +333,8 @@ def _compare_block(width: int, similarity: float):
     return run
 
 
-def blocks(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, key, a, b, place, node, root) of the texts (node, size, bands) of each bucket of over three that have several roots.
+def blocks(texts: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """(band, key, a, b, place, node, root) of the ``n`` texts (node, size, bands) of each bucket of over three that have several roots.
 
     A bucket's texts of its most frequent root and its other ones are dealt into chunks by a hash; a block is a
     pair of chunks, a and b, not both of that root, so any two texts of different roots meet in a block. Buckets
@@ -342,13 +344,13 @@ def blocks(texts: DataFrame, roots: DataFrame) -> DataFrame:
     members = members.select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("band", "key"))
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.hash("node").cast("long")).alias("s")]
     mixed = members.groupBy("band", "key").agg(*same, F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 3 and lo <> hi")
-    mixed = cut(mixed.groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*"))
-    left = cut(members.join(mixed, ["band", "key"]))
-    by_root = cut(left.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    mixed = cut(packed(packed(mixed, n).groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*"), n))
+    left = cut(packed(members.join(mixed, ["band", "key"]), n * BANDS))
+    by_root = cut(packed(left.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")), n))
     sums = by_root.groupBy("band", "key").agg(F.max(F.struct("n", "root", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     chunks = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_BYTES)).cast("long")
     mains, others = chunks(F.col("m.n"), F.col("m.size")), chunks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size"))
-    sums = cut(sums.select("band", "key", F.col("m.root").alias("main"), mains.alias("mains"), others.alias("others")))
+    sums = cut(packed(sums, n).select("band", "key", F.col("m.root").alias("main"), mains.alias("mains"), others.alias("others")))
     placed = left.join(sums, ["band", "key"]).withColumn("own", F.col("root") == F.col("main"))
     place = F.when(F.col("own"), F.col("others") + F.expr("pmod(xxhash64(node), mains)")).otherwise(F.expr("pmod(xxhash64(node), others)"))
     placed = placed.withColumn("place", place)
@@ -385,25 +387,27 @@ def _keys_of() -> list:
 
 def near_texts(texts: DataFrame, docs: DataFrame, width: int, similarity: float, distance: int) -> DataFrame:
     """(node, root) of the texts (node, id, t, u, size, fp, bands, sketch) that links connect; see keep_one."""
-    classes = cut(texts.groupBy("fp").agg(F.min("node").alias("rep")))
+    n = texts.count()
+    classes = cut(packed(texts.groupBy("fp").agg(F.min("node").alias("rep")), n))
     alike = texts.join(classes, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     keyed = texts.select("node", "sketch", F.posexplode("bands").alias("band", "key"))
     drawn = F.struct(F.xxhash64("band", "node").alias("h"), "node", "sketch")
     leaders = keyed.groupBy("band", "key").agg(F.array(F.min(drawn), F.max(drawn)).alias("leads"), F.count("*").alias("n")).where("n > 1")
-    leaders = cut(leaders.select("band", "key", "n", F.explode("leads").alias("lead")).select("band", "key", "n", F.col("lead.node").alias("lead"), F.col("lead.sketch").alias("mark")))
+    leaders = cut(packed(leaders, n).select("band", "key", "n", F.explode("leads").alias("lead")).select("band", "key", "n", F.col("lead.node").alias("lead"), F.col("lead.sketch").alias("mark")))
     part = lambda c, at: F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("long")
     apart = sum(F.bit_count(part("sketch", at).bitwiseXOR(part("mark", at))) for at in (1, 5, 9, 13))
     met = keyed.join(leaders, ["band", "key"]).where("node <> lead").select("node", "lead", "n", apart.alias("apart"))
-    met = cut(met.distinct())
+    met = cut(packed(packed(met, n * BANDS).distinct(), n))
     # All pairs of buckets of up to three texts; of larger ones, each text with the leader that looks the nearest.
-    best = met.where("n > 3").groupBy("node").agg(F.min(F.struct("apart", "lead"))["lead"].alias("lead"))
+    best = packed(met.where("n > 3").groupBy("node").agg(F.min(F.struct("apart", "lead"))["lead"].alias("lead")), n)
     pairs = met.where("n <= 3").select("node", "lead").unionAll(best)
-    pairs = cut(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    pairs = cut(packed(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), n))
     # A text of any bucket of several stands in met. Each is fetched once.
     asked = small(texts.join(met.select("node").distinct(), "node").select("node", "id", "t", "u"), MOST_ASKED)
     body = docs.select(*_keys_of(), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    bodies = cut(body.join(asked, ["id", "t", "u"]).select("node", "data").dropDuplicates(["node"]))
-    sides = pairs.join(bodies.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+    bodies = cut(packed(body.join(asked, ["id", "t", "u"]).select("node", "data").dropDuplicates(["node"]), n, WIDE))
+    left = packed(pairs.join(bodies.select(F.col("node").alias("a"), F.col("data").alias("x")), "a"), n, WIDE)
+    sides = left.join(bodies.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
 
     def rate(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for xs, ys in batches:
@@ -411,7 +415,7 @@ def near_texts(texts: DataFrame, docs: DataFrame, width: int, similarity: float,
 
     near = sides.where(F.arrow_udf(rate, "double")("x", "y") >= similarity).select("a", "b")
     roots = components(links(classes, distance).unionAll(alike).unionAll(near))
-    rest = blocks(texts, roots)
+    rest = blocks(texts, roots, n)
     late = cut(rest.join(bodies, "node").groupBy("band", "key", "a", "b").applyInArrow(_compare_block(width, similarity), "a long, b long"))
     if late.isEmpty():
         return roots
@@ -433,14 +437,16 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance:
     through, whatever their names. An empty table gives an empty result.
     """
     own = cut(_signed(docs, width))
+    n = own.count()
+    own = packed(own, n)
     # A row a text, under its smallest id; its node is a number of its own.
     texts = own.groupBy("t", "u").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "bands", "sketch", "size")])
-    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    texts = cut(packed(texts, n).withColumn("node", F.monotonically_increasing_id()))
     roots = near_texts(texts, docs, width, similarity, distance)
     named = texts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     first = named.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("id", "t", "u")).alias("k")).select("k.*")
     rows = own.groupBy("id", "t", "u").agg(F.count("*").alias("n"))
-    rows = cut(rows.join(first.withColumn("stays", F.lit(True)), ["id", "t", "u"], "left"))
+    rows = cut(packed(rows.join(first.withColumn("stays", F.lit(True)), ["id", "t", "u"], "left"), n))
     gone, again = (rows.where(c).select("id", "t", "u") for c in ("stays is null", "stays and n > 1"))
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys_of())
     out = out.join(small(gone, MOST_ASKED), ["id", "t", "u"], "left_anti")
