@@ -17,7 +17,7 @@ SIZE = (1 << BITS) + PATTERNS
 #: Labels that the bucket counts are taken from, those of the smallest hash: the bound of what is broadcast, 16 bytes each.
 LABELS = 200_000
 #: Rows of each class, and about the bytes of their texts, that the support vector model is fitted on.
-SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
+SAMPLE, SAMPLE_BYTES = 3000, 8 << 20
 
 
 def features(data: bytes, seen: np.ndarray) -> np.ndarray:
@@ -149,9 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_labels: i
     first = np.lexsort(([len(x) for x in cells], ids * 2654435761 % 2**31, ids))
     vectors = []
     for i in first:
-        at = cells[i].astype(np.int64)
-        v = ratio[at]
-        vectors.append((at, v / max(1e-12, np.sqrt(v @ v))))
+        v = ratio[cells[i]]
+        vectors.append((cells[i], (v / max(1e-12, np.sqrt(v @ v))).astype(np.float32)))
     good = y01[first] == 1
     fold = np.arange(len(first)) % 4 == 3
     train = np.flatnonzero(~fold)
