@@ -98,23 +98,33 @@ def audio_score(name: Column, transcript: Column) -> Column:
     return F.least(F.lit(100), keyword_hits(F.lower(name), L.AUDIO_NAME_HINTS) * 10 + keyword_hits(low, L.AUDIO_TEXT_HINTS) * 15)
 
 
+#: Bytes of a member, and of all members of an archive, that are unpacked; larger members aren't read.
+MOST_MEMBER, MOST_ARCHIVE = 4_000_000, 16_000_000
+
+
 def zip_members(data: bytes | None) -> dict:
-    """What an archive's member names and XML parts tell; an archive that can't be read tells nothing."""
-    out = {"macro_like": False, "entries": [], "urls": [], "risk_score": 0}
+    """What an archive's member names and XML parts tell; an archive that can't be read tells nothing.
+
+    Members over the bounds, by the size that the archive gives, are left out and named in ``skipped``.
+    """
+    out = {"macro_like": False, "entries": [], "urls": [], "risk_score": 0, "skipped": []}
     try:
         archive = zipfile.ZipFile(io.BytesIO(data or b""))
     except (zipfile.BadZipFile, ValueError):
         return out
-    found = []
-    for name in archive.namelist():
-        low = name.lower()
-        if "vba" in low:
-            out["entries"].append(name)
-        if low.endswith((".xml", ".rels")):
-            try:
-                found += urls_in(archive.read(name).decode("utf-8", "ignore"))
-            except Exception:  # an encrypted or broken member
-                continue
+    members = archive.infolist()
+    out["entries"] = [m.filename for m in members if "vba" in m.filename.lower()]
+    found, left = [], MOST_ARCHIVE
+    for m in (m for m in members if m.filename.lower().endswith((".xml", ".rels"))):
+        if m.file_size > min(MOST_MEMBER, left):
+            out["skipped"].append(m.filename)
+            continue
+        left -= m.file_size
+        try:
+            with archive.open(m) as part:
+                found += urls_in(part.read(MOST_MEMBER).decode("utf-8", "ignore"))
+        except Exception:  # an encrypted or broken member
+            continue
     out["macro_like"], out["urls"] = bool(out["entries"]), list(dict.fromkeys(found))
     out["risk_score"] = 40 * out["macro_like"] + min(20, 4 * len(found))
     return out
@@ -124,7 +134,7 @@ _TEXTS = pa.list_(pa.string())
 
 
 def zip_column(data: Column) -> Column:
-    return arrow_struct(zip_members, {"macro_like": pa.bool_(), "entries": _TEXTS, "urls": _TEXTS, "risk_score": pa.int32()})(data)
+    return arrow_struct(zip_members, {"macro_like": pa.bool_(), "entries": _TEXTS, "urls": _TEXTS, "risk_score": pa.int32(), "skipped": _TEXTS})(data)
 
 
 def html_score(impersonation: Column, url_count: Column) -> Column:

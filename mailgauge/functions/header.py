@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailgauge.functions.text import strip
+
+#: Patterns, result words and weights that results depend on.
 PRIVATE_IP = r"\b(?:127\.|10\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[0-1])\.)"
 
 
@@ -21,9 +24,10 @@ def auth_result(source: Column, key: str) -> Column:
 def header_signals(auth: Column, headers_raw: Column, sender: Column, reply_to: Column) -> Column:
     """The header struct of a message; ``auth``: its authentication headers joined by blanks."""
     low = F.lower(auth)
-    received = F.filter(F.transform(F.split(F.coalesce(headers_raw, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: F.lower(x).startswith("received:"))
+    # A folded line, which starts with a blank, is no hop of its own.
+    received = F.filter(F.split(F.coalesce(headers_raw, F.lit("")), r"\r?\n"), lambda x: F.lower(x).startswith("received:"))
     patterns = [
-        ("missing_received_headers", (F.trim(headers_raw) != "") & (F.size(received) == 0)),
+        ("missing_received_headers", (strip(headers_raw) != "") & (F.size(received) == 0)),
         ("unusually_long_received_chain", F.size(received) >= 9),
         ("private_ip_in_received_chain", F.exists(received, lambda x: x.rlike(PRIVATE_IP))),
         ("localhost_received_hop", F.exists(received, lambda x: F.lower(x).contains("localhost"))),

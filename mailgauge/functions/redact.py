@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
 
+#: What is masked or hidden.
 _ADDRESS = re.compile(r"\b([a-z0-9._%+-]{1,2})[a-z0-9._%+-]{0,62}@([a-z0-9.-]+\.[a-z]{2,})\b", re.I)
 _TOKEN = re.compile(r"\b[A-Za-z0-9_-]{30,}\b", re.A)
-#: Fixed value: the longest query value that is shown.
+#: The longest query value that is shown.
 SHOWN = 24
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ def any_keyword(text: Column, words: tuple[str, ...]) -> Column:
     return keyword_hits(text, words) > 0
 
 
+#: Fixed value: what str.strip() takes for white space, but for rare Unicode blanks.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2003\u2028\u2029\u3000"
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space at its ends; Spark's trim() takes blanks only."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it; Spark shares nothing inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Runs of white space to one blank, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -52,7 +67,7 @@ def bang_count(text: Column) -> Column:
 
 
 def subject_points(subject: Column) -> Column:
-    s = F.lower(F.trim(subject))
+    s = F.lower(strip(subject))
     action = any_keyword(s, L.SUBJECT_ACTIONS)
     points = F.when(any_keyword(s, L.SUBJECT_ACCOUNTS) & action, 2).otherwise(0)
     for flag in (s.contains("action required"), any_keyword(s, L.SUBJECT_BRANDS) & action, s.contains("pending") & s.contains("message"), bang_count(s) >= 2):
@@ -69,7 +84,7 @@ def highlights(raw: Column, low: Column, most: int = 4) -> Column:
     """The first sentences or lines with a cue of urgency, threat or credentials, each cut to 180 characters."""
     cues = L.URGENCY + L.THREAT + L.CREDENTIAL
     pattern = "|".join(f"(?:{p})" for p in cues)
-    blocks = F.transform(F.split(raw, r"(?<=[.!?])\s+|\n+"), lambda b: F.trim(b))
+    blocks = F.transform(F.split(raw, r"(?<=[.!?])\s+|\n+"), strip)
     found = F.transform(F.slice(F.filter(blocks, lambda b: F.lower(b).rlike(pattern)), 1, most), lambda b: F.substring(b, 1, 180))
     # A text without a cue has no sentence with one; most texts aren't split at all.
     return F.when(pattern_hits(low, cues) > 0, found).otherwise(F.array().cast("array<string>"))
@@ -77,7 +92,7 @@ def highlights(raw: Column, low: Column, most: int = 4) -> Column:
 
 def cue_text(subject: Column, text: Column, body: Column) -> Column:
     """What cues are looked for in: subject, text and body, a line each."""
-    return F.trim(F.concat_ws("\n", subject, text, body))
+    return strip(F.concat_ws("\n", subject, text, body))
 
 
 def nlp_cues(subject: Column, raw: Column, low: Column) -> list[Column]:
@@ -111,13 +126,29 @@ def redact_text(text: Column) -> Column:
     return F.regexp_replace(mask_email(text), r"\b[A-Za-z0-9_-]{30,}\b", "<redacted-token>")
 
 
+def decoded(part: Column) -> Column:
+    """A query's key or value as it was before encoding; as it stands where its percent signs don't decode."""
+    spaced = F.replace(part, F.lit("+"), F.lit(" "))
+    return F.coalesce(F.try_url_decode(F.replace(spaced, F.lit(" "), F.lit("%20"))), spaced)
+
+
+def encoded(part: Column) -> Column:
+    """A key or value encoded for a query: a blank as plus, letters, digits and ``_.-~`` as they are."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def redact_url(url: Column) -> Column:
-    """Query values of secret keys, or of over 24 characters, by a short hash; no fragment."""
+    """Decoded query values of secret keys, or of over 24 characters, by a short hash; no fragment."""
     base, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    key = lambda p: F.regexp_extract(p, r"^([^=]*)", 1)
-    value = lambda p: F.regexp_extract(p, r"^[^=]*=(.*)$", 1)
-    secret = lambda p: F.lower(key(p)).isin(*L.TOKEN_KEYS) | (F.length(value(p)) > 24)
-    hidden = lambda p: F.when(value(p) == "", "%3Credacted%3E").otherwise(F.concat(F.lit("%3Credacted%3A"), F.substring(F.sha2(value(p), 256), 1, 12), F.lit("%3E")))
+
+    def shown(key: Column, value: Column) -> Column:
+        secret = F.lower(key).isin(*L.TOKEN_KEYS) | (F.length(value) > 24)
+        digest = F.concat(F.lit("<redacted:"), F.substring(F.sha2(value, 256), 1, 12), F.lit(">"))
+        return F.concat(encoded(key), F.lit("="), encoded(F.when(~secret, value).when(value == "", "<redacted>").otherwise(digest)))
+
+    key = lambda p: decoded(F.regexp_extract(p, r"^([^=]*)", 1))
+    value = lambda p: decoded(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1))
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
-    shown = F.array_join(F.transform(parts, lambda p: F.concat(key(p), F.lit("="), F.when(secret(p), hidden(p)).otherwise(value(p)))), "&")
-    return mask_email(F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), shown)))
+    pair = lambda p: bind(F.struct(key(p).alias("k"), value(p).alias("v")), lambda x: shown(x["k"], x["v"]))
+    line = F.array_join(F.transform(parts, pair), "&")
+    return mask_email(F.when(F.size(parts) == 0, base).otherwise(F.concat(base, F.lit("?"), line)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
-from mailgauge.functions.text import any_keyword, keyword_hits, keywords_found
+from mailgauge.functions.text import any_keyword, bind, keyword_hits, keywords_found, strip
 
 URL_PATTERN = r"(?i)https?://[^\s<>()\[\]{}\"']+"
 
@@ -19,7 +19,7 @@ def any_of(tests: list[Column]) -> Column:
 
 def canonicalize(url: Column) -> Column:
     """Scheme and authority in lower case, an empty query or fragment dropped."""
-    u = F.trim(url)
+    u = strip(url)
     head = F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)
     rest = F.regexp_replace(F.substring(u, F.length(head) + 1, F.length(u)), r"#$", "")
     return F.when(head == "", u).otherwise(F.concat(F.lower(head), F.regexp_replace(rest, r"^([^?#]*)\?(#.*)?$", "$1$2")))
@@ -34,8 +34,9 @@ def netloc(url: Column) -> Column:
 
 
 def hostname(url: Column) -> Column:
-    """The authority without user and port."""
-    return F.regexp_replace(F.regexp_replace(netloc(url), r"^.*@", ""), r":\d*$", "")
+    """The authority without user, port and the brackets of an IPv6 address."""
+    bare = lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(a, r":\d*$", ""))
+    return bind(F.regexp_replace(netloc(url), r"^.*@", ""), bare)
 
 
 def path_query(url: Column) -> Column:
@@ -45,14 +46,14 @@ def path_query(url: Column) -> Column:
 
 
 def base_domain(host: Column) -> Column:
-    parts = F.filter(F.split(host, r"\."), lambda x: x != "")
-    return F.when(F.size(parts) < 2, host).otherwise(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."))
+    last = lambda parts: F.when(F.size(parts) < 2, host).otherwise(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."))
+    return bind(F.filter(F.split(host, r"\."), lambda x: x != ""), last)
 
 
 def is_suspicious(url: Column) -> Column:
-    raw = F.lower(canonicalize(url))
-    domain = netloc(raw)
-    return any_keyword(domain, (*L.SHORTENERS, "xn--")) | raw.contains("@") | raw.rlike(r"https?://\d{1,3}(?:\.\d{1,3}){3}") | any_keyword(raw, L.URL_TOKENS)
+    domain = lambda raw: bind(netloc(raw), lambda d: any_keyword(d, (*L.SHORTENERS, "xn--")))
+    odd = lambda raw: domain(raw) | raw.contains("@") | raw.rlike(r"https?://\d{1,3}(?:\.\d{1,3}){3}") | any_keyword(raw, L.URL_TOKENS)
+    return bind(F.lower(canonicalize(url)), odd)
 
 
 def is_shortlink(host: Column) -> Column:
@@ -60,42 +61,44 @@ def is_shortlink(host: Column) -> Column:
 
 
 def has_login_words(url: Column) -> Column:
-    return any_keyword(F.lower(path_query(url)), L.LOGIN_TOKENS)
+    return bind(F.lower(path_query(url)), lambda path: any_keyword(path, L.LOGIN_TOKENS))
 
 
 def typosquat_brands(host: Column) -> Column:
     """Brands one edit away from the base domain's first label, or its prefix before at most 8 more characters."""
-    label = F.substring_index(base_domain(host), ".", 1)
-    suffix = lambda b: F.substring(label, F.length(b) + 1, F.length(label))
-    near = lambda b: (F.levenshtein(label, b) == 1) | (label.startswith(b) & suffix(b).rlike(r"^[-_a-z0-9]{1,8}$"))
-    return F.filter(F.array(*map(F.lit, L.BRANDS)), near)
+    suffix = lambda label, b: F.substring(label, F.length(b) + 1, F.length(label))
+    near = lambda label: lambda b: (F.levenshtein(label, b, 1) == 1) | (label.startswith(b) & suffix(label, b).rlike(r"^[-_a-z0-9]{1,8}$"))
+    return bind(F.substring_index(base_domain(host), ".", 1), lambda label: F.filter(F.array(*map(F.lit, L.BRANDS)), near(label)))
 
 
 def hyphens(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit("")))
 
 
-def domain_tests(host: Column) -> list[tuple[str, Column, Column]]:
-    """(indicator, test, points) of a host, in order."""
-    tokens = keyword_hits(host, L.DOMAIN_TOKENS)
+def domain_tests(host: Column, squats: Column, tokens: Column) -> list[tuple[str, Column, Column]]:
+    """(indicator, test, points) of a host with its look-alike brands and its number of credential words, in order."""
     return [
         ("punycode_domain", host.contains("xn--"), F.lit(35)),
         ("risky_tld", any_of([host.endswith(t) for t in L.RISKY_TLDS]), F.lit(20)),
         ("numeric_domain_pattern", host.rlike(r"\d{4,}"), F.lit(8)),
         ("excessive_hyphenation", hyphens(host) >= 2, F.lit(10)),
-        ("brand_typosquat", F.size(typosquat_brands(host)) > 0, F.lit(30)),
+        ("brand_typosquat", F.size(squats) > 0, F.lit(30)),
         ("credential_theme_domain", tokens > 0, F.least(F.lit(30), tokens * 6)),
         ("synthetic_service_domain", (hyphens(host) >= 2) & (tokens >= 2) & (F.length(host) >= 20), F.lit(18)),
     ]
 
 
 def domain_risk(host: Column) -> Column:
-    points = sum((F.when(test, points).otherwise(0) for _, test, points in domain_tests(host)), F.lit(0))
-    return F.when(host == "", 0).otherwise(F.least(F.lit(100), points))
+    return bind(typosquat_brands(host), lambda squats: _risk(host, squats))
+
+
+def _risk(host: Column, squats: Column) -> Column:
+    points = lambda tokens: sum((F.when(test, n).otherwise(0) for _, test, n in domain_tests(host, squats, tokens)), F.lit(0))
+    return F.when(host == "", 0).otherwise(F.least(F.lit(100), bind(keyword_hits(host, L.DOMAIN_TOKENS), points)))
 
 
 def domain_indicators(host: Column) -> Column:
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test, _ in domain_tests(host)])))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test, _ in domain_tests(host, typosquat_brands(host), keyword_hits(host, L.DOMAIN_TOKENS))])))
 
 
 def suspicious_tokens(host: Column) -> Column:
@@ -110,12 +113,19 @@ def confidence(risk: Column, bonus: float = 0.0) -> Column:
 
 def url_signal(url: Column, high_domain: int = 35) -> Column:
     """The signal of one URL, as a struct: parts, brand, domain risk, flags in order and confidence; query decoding apart."""
-    host = hostname(url)
-    squat = typosquat_brands(host)
+    return bind(hostname(url), lambda host: bind(_facts(url, host), lambda facts: _signal(url, host, facts, high_domain)))
+
+
+def _facts(url: Column, host: Column) -> Column:
     hinted = F.filter(F.array(*map(F.lit, L.BRAND_HINTS)), lambda b: host.contains(b) & ~host.endswith(F.concat(b, F.lit(".com"))))
+    both = lambda squat: F.struct(squat.alias("squat"), _risk(host, squat).alias("risk"), hinted.alias("hinted"), has_login_words(url).alias("login"), is_shortlink(host).alias("short"), is_suspicious(url).alias("odd"))
+    return bind(typosquat_brands(host), both)
+
+
+def _signal(url: Column, host: Column, facts: Column, high_domain: int) -> Column:
+    squat, risk, hinted, login, short = (facts[k] for k in ("squat", "risk", "hinted", "login", "short"))
     squats, hints = F.size(squat) > 0, F.size(hinted) > 0
-    risk, login, short = domain_risk(host), has_login_words(url), is_shortlink(host)
-    flags = [("shortlink", short), ("brand-spoof", squats), ("login-intent", login), ("punycode", host.contains("xn--")), ("suspicious-pattern", is_suspicious(url)), ("brand-spoof", ~squats & hints), ("domain-high-risk", risk >= high_domain)]
+    flags = [("shortlink", short), ("brand-spoof", squats), ("login-intent", login), ("punycode", host.contains("xn--")), ("suspicious-pattern", facts["odd"]), ("brand-spoof", ~squats & hints), ("domain-high-risk", risk >= high_domain)]
     total = F.least(F.lit(100), risk + F.when(short, 16).otherwise(0) + F.when(squats | hints, 14).otherwise(0) + F.when(login, 12).otherwise(0))
     return F.struct(
         url.alias("url"),
@@ -147,16 +157,24 @@ def ipv4(host: Column) -> Column:
 
 
 def private_address(host: Column) -> Column:
-    """Whether a host is a literal IPv4 address that isn't public; names aren't looked up."""
-    n = ipv4(host)
+    """Whether a host is a literal IPv4 or IPv6 address that isn't public; names aren't looked up."""
+    return F.coalesce(bind(ipv4(F.regexp_replace(host, r"^::ffff:", "")), _private_number), F.lit(False)) | _private_ipv6(host)
+
+
+def _private_ipv6(host: Column) -> Column:
+    """By the start of the address: unspecified, loopback, local, link-local, multicast and documentation ranges."""
+    return F.coalesce(host.contains(":") & host.rlike(r"^(0*:)*:?0*:?[01]?$|^::$|^f[cd]|^fe[89ab]|^ff|^2001:0?db8:|^100::"), F.lit(False))
+
+
+def _private_number(n: Column) -> Column:
     tests = []
     for first, bits in PRIVATE_RANGES:
         low = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(first.split(".")))
         tests.append(n.between(low, low + 2 ** (32 - bits) - 1))
-    return F.coalesce(any_of(tests), F.lit(False))
+    return any_of(tests)
 
 
 def fetch_refusal(url: Column) -> Column:
     """Why a URL may not be fetched, null if nothing but its name's address is left to check."""
-    scheme, host = F.lower(F.regexp_extract(F.trim(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)), hostname(F.trim(url))
+    scheme, host = F.lower(F.regexp_extract(strip(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)), hostname(strip(url))
     return F.when(~scheme.isin("http", "https"), "unsupported_scheme").when(host == "", "missing_host").when(private_address(host), "private_network_blocked")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailgauge.functions import text as T
 from mailgauge.functions import url as U
 from mailgauge.operators import evidence as E
 from mailgauge.plans.triage import barrier
@@ -21,7 +22,7 @@ REFS = "array<struct<evidence_path:string,category:string,source:string,key:stri
 
 def clean(values: Column, most: int | Column) -> Column:
     """Trimmed, without blanks and repeats, at most ``most``."""
-    kept = F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
+    kept = F.array_distinct(F.filter(F.transform(values, T.strip), lambda x: x != ""))
     return F.slice(kept, F.lit(1), F.lit(most) if isinstance(most, int) else most)
 
 
@@ -71,7 +72,7 @@ def judge_context(triaged: DataFrame) -> DataFrame:
     status = lambda k: F.struct((F.col(f"{k}_admission.status") == "admitted").alias("collected"), F.col(f"{k}_admission.reason").alias("reason"), F.col(f"{k}_admission.status").alias("status"))
     odd = F.transform(F.filter("url_signals", lambda s: F.size(s["risk_flags"]) > 0), lambda s: s["url"])
     sections = {
-        "email_context": F.struct(*[F.trim(c).alias(c) for c in ("sender", "subject", "reply_to")], F.size("urls").alias("urls_count"), F.size("files").alias("attachments_count")),
+        "email_context": F.struct(*[T.strip(F.col(c)).alias(c) for c in ("sender", "subject", "reply_to")], F.size("urls").alias("urls_count"), F.size("files").alias("attachments_count")),
         "pre_score": F.struct(F.col("raw_score").alias("risk_score"), "route", F.slice("indicators", 1, 12).alias("reasons")),
         "precheck_summary": F.struct(F.col("raw_score").alias("heuristic_score"), clean(F.col("indicators"), 8).alias("indicators"), clean(odd, 6).alias("suspicious_urls"), F.size("urls").alias("combined_url_count"), F.col("components").alias("component_scores"), limits.alias("limits_hit"), status("web").alias("web"), status("attachment").alias("attachment")),
         "header_summary": F.struct("header.spf", "header.dkim", "header.dmarc", F.col("header.mismatch").alias("from_replyto_mismatch"), F.col("header.hops").alias("received_hops"), clean(F.col("header.received_patterns"), 4).alias("received_anomalies"), "header.confidence"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
 from mailgauge.functions.attachment import extension_mismatch
+from mailgauge.functions.text import strip
 from mailgauge.functions.url import confidence
 
 
@@ -62,12 +63,12 @@ def enriched_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"extension_mismatch": wrong, "risk_flags": F.array_distinct(F.concat("risk_flags", more)), "confidence": sure})
 
 
-def evaluate(df: DataFrame, predicted: str = "predicted", truth: str = "truth", positive: str = "phishing", suspicious_as_positive: bool = True) -> DataFrame:
-    """One row: confusion matrix, accuracy, precision, recall and F1, 0 where a denominator is 0."""
+def evaluate(df: DataFrame, predicted: str = "predicted", truth: str = "truth", positive: str = "phishing", suspicious_as_positive: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row: confusion matrix, accuracy, precision, recall and F1, 0 where a denominator is 0; and ``more`` aggregates."""
     yes = (positive, "suspicious") if suspicious_as_positive else (positive,)
-    hit = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin(*yes)
+    hit = lambda c: F.lower(strip(F.coalesce(F.col(c), F.lit("")))).isin(*yes)
     p, t = hit(predicted), hit(truth)
-    n = df.agg(F.count("*").alias("total"), F.count_if(t).alias("positives"), F.count_if(p & t).alias("tp"), F.count_if(~p & ~t).alias("tn"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))
+    n = df.agg(F.count("*").alias("total"), F.count_if(t).alias("positives"), F.count_if(p & t).alias("tp"), F.count_if(~p & ~t).alias("tn"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), *more)
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     n = n.withColumns({"negatives": F.col("total") - F.col("positives"), "accuracy": share(F.col("tp") + F.col("tn"), F.col("total")), "precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
     return n.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
@@ -84,12 +85,10 @@ def summarize_reports(reports: DataFrame, risky: int = 60) -> DataFrame:
 
 def run_metrics(df: DataFrame, score: str = "risk_score", source: str = "provider") -> DataFrame:
     """One row over (predicted, truth, score, source): evaluate()'s figures, specificity, mean score, share of fallbacks."""
-    n = evaluate(df, suspicious_as_positive=False)
     fallback = F.coalesce(F.col(source).endswith(":fallback"), F.lit(False))
-    more = df.agg(F.coalesce(F.try_divide(F.sum(score), F.count("*")), F.lit(0.0)).alias("mean_risk"), F.coalesce(F.try_divide(F.count_if(fallback), F.count("*")), F.lit(0.0)).alias("fallback_rate"))
-    # Both sides are aggregates of exactly one row.
-    both = n.withColumn("__one", F.lit(1)).join(F.broadcast(more.withColumn("__one", F.lit(1))), "__one").drop("__one")
-    return both.withColumn("specificity", F.coalesce(F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")), F.lit(0.0)))
+    share = lambda a: F.coalesce(F.try_divide(a, F.count("*")), F.lit(0.0))
+    n = evaluate(df, suspicious_as_positive=False, more=(share(F.sum(score)).alias("mean_risk"), share(F.count_if(fallback)).alias("fallback_rate")))
+    return n.withColumn("specificity", F.coalesce(F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")), F.lit(0.0)))
 
 
 def balanced_sample(df: DataFrame, key: str, label: str, each: int, seed: str) -> DataFrame:

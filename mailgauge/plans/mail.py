@@ -14,7 +14,7 @@ SUBJECTS = (
     "PayPal account limited", "Lunch on Friday", "Email account termination",
 )
 PHRASES = (
-    "", "Please click to verify your account within the next 24 hours.", "The attached invoice is due, open it immediately.",
+    "", "Please click to verify your account within the next 24 hours.\t\r", "The attached invoice is due, open it immediately.",
     "Your account has been limited. Confirm your identity and password.", "Special offer: buy now, 50 discount, click here to unsubscribe!!!",
     "Final notice: unauthorized log-in, security alert. Upgrade your mailbox.", "See you at the meeting tomorrow.",
 )
@@ -22,12 +22,12 @@ LINKS = (
     "", "https://bit.ly/reset", "https://www.example.org/news?page=2&ref=x", "http://secure-login-paypa1-update.xyz/verify?id=7",
     "https://xn--pple-43d.com/account", "https://MICROSOFT-support.top/Portal;v=1?x=1#top and http://10.1.2.3/login", "https://paypal-billing.com/confirm?token=abcdef",
     "https://docs.example.net/a_b/c?u=https%3A%2F%2Fevil.example%2Fx and https://rb.gy/z and https://docs.example.net/a_b/c?u=https%3A%2F%2Fevil.example%2Fx",
-    "http://user@chase9.com:8080/path",
+    "http://user@chase9.com:8080/path", "https://docs.example.net/q?u=a+b%20c%2B*~&email=jo.hn%40example.org&empty=&flag&token=%41bc&long=%E2%82%AC%E2%82%AC%E2%82%ACabcdefghijklmnopqrstuvwxyz&bad=100%",
 )
 SENDERS = ("Team <news@example.org>", "IT support <help@micros0ft.com>", "Bank <alert@bank.example>")
 REPLIES = ("", "news@example.org", "reply@other.example", "help@micros0ft.com", "x@mail.example.net")
 AUTHS = ("spf=pass dkim=pass dmarc=pass p=none", "spf=fail smtp.mailfrom=a@evil.example dkim=none dmarc=fail p=reject", "spf=softfail dkim=fail d=evil.example", "", "spf=pass; spf=fail dkim = pass")
-RECEIVED = ("Received: from mx.example.org", "Received: from 10.0.0.8 by mx", "Subject: x", "", "Received: from localhost by mx")
+RECEIVED = ("Received: from mx.example.org", "Received: from 10.0.0.8 by mx", "Subject: x", "", "Received: from localhost by mx", "X-Note: a\n Received: from 10.2.2.2 folded")
 FILES = ("", "invoice.pdf", "setup.exe", "report.docm", "photos.zip", "a.tar.gz", "notes.txt", "scan.JS", "budget.xlsm", "README", ".zip")
 
 

@@ -77,7 +77,9 @@ signals AS (SELECT *, CASE WHEN len(squat) > 0 THEN squat[1] WHEN len(hinted) >
    {named([("shortlink", "short"), ("brand-spoof", "len(squat) > 0"), ("login-intent", "login"), ("punycode", "contains(host, 'xn--')"), ("suspicious-pattern", "odd"), ("brand-spoof", "len(squat) = 0 AND len(hinted) > 0"), ("domain-high-risk", "domain_risk >= 35")])} AS flags,
    least(100, domain_risk + CASE WHEN short THEN 16 ELSE 0 END + CASE WHEN len(squat) > 0 OR len(hinted) > 0 THEN 14 ELSE 0 END + CASE WHEN login THEN 12 ELSE 0 END) AS signal_risk FROM rated)
 """
-_RAW = "trim(subject || chr(10) || text || chr(10))"
+#: Fixed value: the white space that is taken off at the ends.
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_RAW = f"trim(subject || chr(10) || text || chr(10), {_WHITE})"
 _SHARE = lambda n: f"least(1.0::DOUBLE, {n} / 3.0::DOUBLE)"
 CUE_LISTS = {"urgency": L.URGENCY, "threat": L.THREAT, "payment": L.PAYMENT, "credential": L.CREDENTIAL, "action": L.ACTION, "takeover": L.TAKEOVER}
 _S = "lower(subject)"
@@ -92,7 +94,7 @@ CUES = f"""
 lowered AS (SELECT *, lower(subject || chr(10) || text || chr(10)) AS low FROM mail),
 cues AS (SELECT *, {', '.join(f"{_SHARE(matches('low', p))} AS {k}" for k, p in CUE_LISTS.items())}, {_SHARE(SUBJECT)} AS subject_risk, {words('low', L.KEYWORDS)} AS keyword_hits,
    {named([(label, f"contains(low, {q(n)})") for n, label in L.IMPERSONATION])} AS roles,
-   list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(subject || chr(10) || text || chr(10), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)),
+   list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(subject || chr(10) || text || chr(10), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, {_WHITE})),
      lambda x: regexp_matches(lower(x), {q(_CUE)}))[1:4], lambda x: substring(x, 1, 180)) AS highlights FROM lowered)
 """
 _AUTH = lambda k: f"coalesce(list_last(regexp_extract_all(lower(auth), '\\b{k}\\s*=\\s*([a-zA-Z_]+)', 1)), 'none')"
@@ -217,7 +219,7 @@ domains AS (SELECT email_id, count(*) AS n, arg_min(host, (-risk, -marks, pos))
 odds AS (SELECT email_id, count(*) AS n FROM signals WHERE flags <> '' GROUP BY email_id),
 context AS (SELECT t.email_id, path, CAST(least(n_urls, {_BUDGET('url_signals')}) AS INTEGER) AS urls, CAST(least(CAST(present AS INTEGER), {_BUDGET('attachment_signals')}) AS INTEGER) AS files,
    CAST(least(coalesce(d.n, 0), {_BUDGET('domain_reports')}) AS INTEGER) AS domains, coalesce(d.top, '') AS top_domain, CAST(least(6, coalesce(o.n, 0)) AS INTEGER) AS odd,
-   CAST(least(len(list_distinct(list_filter(list_transform(highlights, lambda x: trim(x)), lambda x: x <> ''))), {_BUDGET('highlights')}) AS INTEGER) AS highlights
+   CAST(least(len(list_distinct(list_filter(list_transform(highlights, lambda x: trim(x, {_WHITE})), lambda x: x <> ''))), {_BUDGET('highlights')}) AS INTEGER) AS highlights
    FROM triage t LEFT JOIN domains d USING (email_id) LEFT JOIN odds o USING (email_id)),
 refs AS (SELECT email_id, n, p, c FROM (SELECT email_id, unnest([1, 2, 3, 4, 5]) AS n, unnest(['email_context', 'pre_score', 'precheck_summary', 'header_summary', 'nlp_summary']) AS p, unnest(['email', 'pre_score', 'precheck', 'header', 'nlp']) AS c FROM context)
   UNION ALL SELECT email_id, 5 + i, 'selected_url_signals[' || (i - 1) || ']', 'url_signal' FROM (SELECT email_id, unnest(range(1, urls + 1)) AS i FROM context)
@@ -253,3 +255,19 @@ SQL |= {
       SELECT total, tp, fp, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, mean_risk, fallback_rate FROM n""",
     "balanced_sample": "SELECT doc_id, quality FROM labels QUALIFY row_number() OVER (PARTITION BY quality ORDER BY sha256('balance|' || doc_id), doc_id) <= 20",
 }
+
+_DECODED = lambda x: f"url_decode(replace({x}, '+', ' '))"
+_ENCODED = lambda x: f"replace(url_encode({x}), '%20', '+')"
+_HIDDEN = "CASE WHEN NOT (lower(x.k) IN (" + ", ".join(map(q, sorted(L.TOKEN_KEYS))) + ") OR length(x.v) > 24) THEN x.v WHEN x.v = '' THEN '<redacted>' ELSE '<redacted:' || substring(sha256(x.v), 1, 12) || '>' END"
+_MASKED = lambda x: f"regexp_replace({x}, '(?i)\\b([a-z0-9._%+-]{{1,2}})[a-z0-9._%+-]{{0,62}}@([a-z0-9.-]+\\.[a-z]{{2,}})\\b', '\\1***@\\2', 'g')"
+SQL["redact_urls"] = W + URLS.rstrip().rstrip(",") + f""",
+parts AS (SELECT email_id, pos, regexp_extract(url, '^([^?#]*)', 1) AS base,
+   list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> ''),
+     lambda p: struct_pack(k := {_DECODED("regexp_extract(p, '^([^=]*)', 1)")}, v := {_DECODED("regexp_extract(p, '^[^=]*=(.*)$', 1)")})) AS pairs FROM urls)
+SELECT email_id, pos, {_MASKED(f"CASE WHEN len(pairs) = 0 THEN base ELSE base || '?' || array_to_string(list_transform(pairs, lambda x: {_ENCODED('x.k')} || '=' || {_ENCODED(_HIDDEN)}), '&') END")} AS redacted FROM parts
+"""
+SQL["evidence_ids"] = f"""
+WITH s AS ({SQL["url_signals"]})
+SELECT email_id, printf('evd_%04d', row_number() OVER (PARTITION BY email_id ORDER BY pos)) AS evidence_id,
+       sha256(CAST(to_json(struct_pack(c := 'url', p := url, s := 'url_intel', t := CASE WHEN flags = '' THEN []::VARCHAR[] ELSE list_sort(string_split(flags, ',')) END)) AS VARCHAR)) AS fingerprint FROM s
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailgauge.functions import attachment as A
 from mailgauge.functions import decode, html
+from mailgauge.functions import header as H
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
 from mailgauge.operators import evidence as E
@@ -174,3 +175,28 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(str(r.start)[14:16], r.verdict): r.messages for r in spark.table("counts").collect()} == {("00", "phishing"): 5, ("00", "benign"): 5, ("10", "phishing"): 5, ("10", "benign"): 5}
+
+
+def test_url_redaction_decodes_first(spark):
+    urls = ["https://docs.example.net/c?u=https%3A%2F%2Fevil.example%2Fx", "https://x.y/?q=a+b%20c*~&flag&Token=%41", "https://x.y/?v=%E2%82%ACabcdefghijklmnopqrstuvwxyz#f", "https://x.y/p?&", "https://x.y/?bad=100%"]
+    from mailgauge.functions.redact import redacted
+
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(T.redact_url(F.col("u"))).collect()]
+    assert got == [redacted(u) for u in urls]
+
+
+def test_folded_lines_are_no_hops(spark):
+    r = one(spark, H.header_signals(F.col("a"), F.col("b"), F.lit("x@y.zz"), F.lit("")).alias("h"), a="", b="X: a\n Received: from 10.0.0.1\r\nReceived: from mx").h
+    assert r.hops == 1 and r.received_patterns == []
+
+
+def test_ipv6_literals(spark):
+    urls = {"http://[::1]:80/x": "::1", "http://u@[FE80::1]/": "fe80::1", "http://[2606:4700::1111]/": "2606:4700::1111", "http://[::ffff:10.0.0.1]/": "::ffff:10.0.0.1", "http://a.example:8/": "a.example"}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.hostname(F.col("u")).alias("h"), U.fetch_refusal(F.col("u")).alias("r")).collect()
+    assert {r.u: r.h for r in rows} == urls
+    assert [r.r for r in rows] == ["private_network_blocked", "private_network_blocked", None, "private_network_blocked", None]
+
+
+def test_white_space_at_the_ends(spark):
+    r = one(spark, T.strip(F.col("a")).alias("a"), T.highlights(F.col("b"), F.lower("b")).alias("b"), a="\t x\r\n ", b="\tverify your account now\t\r\n")
+    assert r.a == "x" and all(x == x.strip() for x in r.b)
