@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles, broadcasts and checkpoints of finished steps.
+
+    Its cleaner follows the driver's garbage collections, which may not come before a long chain of jobs has ended.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df``, computed once, to be broadcast if it has at most ``most_rows`` rows and joined by a shuffle otherwise."""
     df = cut(df)
@@ -76,6 +87,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b")
         e = cut(packed(packed(small, n).distinct(), n))
         now = _mark(e)
+        release(e.sparkSession)
         if now == seen:
             break
         seen = now

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailgauge.llm.common import LOWER, NO_ID, UPPER, WIDE, components, cut, packed, small, table
+from mailgauge.llm.common import LOWER, NO_ID, UPPER, WIDE, components, cut, packed, release, small, table
 
 SEED, BITS = 42, 64
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -406,6 +406,7 @@ def near_texts(texts: DataFrame, docs: DataFrame, width: int, similarity: float,
     asked = small(texts.join(met.select("node").distinct(), "node").select("node", "id", "t", "u"), MOST_ASKED)
     body = docs.select(*_keys_of(), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     bodies = cut(packed(body.join(asked, ["id", "t", "u"]).select("node", "data").dropDuplicates(["node"]), n, WIDE))
+    release(docs.sparkSession)
     left = packed(pairs.join(bodies.select(F.col("node").alias("a"), F.col("data").alias("x")), "a"), n, WIDE)
     sides = left.join(bodies.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
 
@@ -416,6 +417,7 @@ def near_texts(texts: DataFrame, docs: DataFrame, width: int, similarity: float,
     near = sides.where(F.arrow_udf(rate, "double")("x", "y") >= similarity).select("a", "b")
     roots = components(links(classes, distance).unionAll(alike).unionAll(near))
     rest = blocks(texts, roots, n)
+    release(docs.sparkSession)
     late = cut(rest.join(bodies, "node").groupBy("band", "key", "a", "b").applyInArrow(_compare_block(width, similarity), "a long, b long"))
     if late.isEmpty():
         return roots
