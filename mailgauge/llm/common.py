@@ -50,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def resized(df: DataFrame) -> DataFrame:
+    """A thin checkpointed ``df`` without the size that Spark estimated for it, which a loop of joins would carry on.
+
+    A checkpoint keeps the estimate of the plan behind it, and a join's is the product of its sides: with several joins
+    a round its digits multiply each round, until the numbers fill the driver.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffles, broadcasts and checkpoints of finished steps.
 
@@ -85,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = cut(packed(large.groupBy("a").agg(F.min("b").alias("m")), n))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("p"))
         small = small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b")
-        e = cut(packed(packed(small, n).distinct(), n))
+        e = resized(cut(packed(packed(small, n).distinct(), n)))
         now = _mark(e)
         release(e.sparkSession)
         if now == seen:

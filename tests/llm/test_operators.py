@@ -582,6 +582,13 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_rounds_carry_no_size(spark):
+    path = spark.range(1, 600).selectExpr("xxhash64(id) a", "xxhash64(id + 1) b")
+    out = components(path)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert len({r.root for r in out.collect()}) == 1 and out.count() == 599
+
+
 def test_frequent_words(spark):
     rows = [(f"w{i:03d}", n) for i, n in enumerate([1] * 50 + [2] * 30 + [1000, 999, 5, 5, 5, 70])]
     got = {tuple(r) for r in url_filter.frequent(spark.createDataFrame(rows, "w string, n long"), 500).collect()}
