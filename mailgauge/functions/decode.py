@@ -162,3 +162,14 @@ def data_uri_column(value: Column) -> Column:
 
 def obfuscation_column(url: Column) -> Column:
     return arrow_struct(obfuscation, _HIDDEN)(url)
+
+
+def obfuscations_column(urls: Column) -> Column:
+    """What the query of each URL of an array hides, in the same order."""
+    kind = pa.list_(pa.struct(list(_HIDDEN.items())))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array([[obfuscation(u) for u in us or []] for us in values.to_pylist()], kind)
+
+    return F.arrow_udf(run, "array<struct<" + ",".join(f"{k}:{_NAMES[t]}" for k, t in _HIDDEN.items()) + ">>")(urls)

@@ -111,9 +111,21 @@ def confidence(risk: Column, bonus: float = 0.0) -> Column:
     return F.get(F.array(*map(F.lit, values)), risk)
 
 
-def url_signal(url: Column, high_domain: int = 35) -> Column:
-    """The signal of one URL, as a struct: parts, brand, domain risk, flags in order and confidence; query decoding apart."""
-    return bind(hostname(url), lambda host: bind(_facts(url, host), lambda facts: _signal(url, host, facts, high_domain)))
+#: Flags of a signal by the flags of its decoded query.
+QUERY_FLAGS = (("encoded-query", "percent_encoded_query"), ("base64-query", "base64_decoded_query_value"), ("nested-url-param", "nested_url_in_query"))
+
+
+def url_signal(url: Column, high_domain: int = 35, hidden: Column | None = None) -> Column:
+    """The signal of one URL, as a struct: parts, brand, domain risk, flags in order, confidence and nested URLs.
+
+    ``hidden``: what ``decode`` found in its query, a struct with flags and nested; without it the query isn't decoded.
+    """
+    return bind(hostname(url), lambda host: bind(_facts(url, host), lambda facts: _signal(url, host, facts, high_domain, hidden)))
+
+
+def nested_urls(signals: Column) -> Column:
+    """Distinct URLs in the queries of all signals of a message, in order."""
+    return F.array_distinct(F.flatten(F.transform(signals, lambda s: s["nested_urls"])))
 
 
 def _facts(url: Column, host: Column) -> Column:
@@ -122,10 +134,16 @@ def _facts(url: Column, host: Column) -> Column:
     return bind(typosquat_brands(host), both)
 
 
-def _signal(url: Column, host: Column, facts: Column, high_domain: int) -> Column:
+def _query_flags(hidden: Column | None) -> list[tuple[str, Column]]:
+    if hidden is None:
+        return []
+    return [*((name, F.array_contains(hidden["flags"], found)) for name, found in QUERY_FLAGS), ("query-redirect", F.size(hidden["nested"]) > 0)]
+
+
+def _signal(url: Column, host: Column, facts: Column, high_domain: int, hidden: Column | None) -> Column:
     squat, risk, hinted, login, short = (facts[k] for k in ("squat", "risk", "hinted", "login", "short"))
     squats, hints = F.size(squat) > 0, F.size(hinted) > 0
-    flags = [("shortlink", short), ("brand-spoof", squats), ("login-intent", login), ("punycode", host.contains("xn--")), ("suspicious-pattern", facts["odd"]), ("brand-spoof", ~squats & hints), ("domain-high-risk", risk >= high_domain)]
+    flags = [("shortlink", short), ("brand-spoof", squats), ("login-intent", login), ("punycode", host.contains("xn--")), ("suspicious-pattern", facts["odd"]), *_query_flags(hidden), ("brand-spoof", ~squats & hints), ("domain-high-risk", risk >= high_domain)]
     total = F.least(F.lit(100), risk + F.when(short, 16).otherwise(0) + F.when(squats | hints, 14).otherwise(0) + F.when(login, 12).otherwise(0))
     return F.struct(
         url.alias("url"),
@@ -138,6 +156,7 @@ def _signal(url: Column, host: Column, facts: Column, high_domain: int) -> Colum
         login.alias("has_login_keywords"),
         F.array_distinct(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags]))).alias("risk_flags"),
         F.when(short, confidence(total, 0.08)).otherwise(confidence(total)).alias("confidence"),
+        (F.array().cast("array<string>") if hidden is None else hidden["nested"]).alias("nested_urls"),
     )
 
 

@@ -157,6 +157,19 @@ def redact_urls(spark, sf_dir):
     return mail_urls(spark, sf_dir).select("email_id", "pos", T.redact_url(F.col("url")).alias("redacted"))
 
 
+def triage_decoded(spark, sf_dir):
+    """The triage with the queries of URLs decoded."""
+    t = P.triage(mail(spark, sf_dir), decode=True)
+    flags = F.array_sort(F.array_distinct(F.flatten(F.transform("url_signals", lambda s: s["risk_flags"]))))
+    return t.select("email_id", "raw_score", "verdict", _joined(flags).alias("flags"), _joined("nested_urls").alias("nested"), _joined("limits_hit").alias("limits"))
+
+
+def triage_messages(spark, sf_dir):
+    """The triage of raw messages, parsed first."""
+    t = P.triage_messages(parse_messages(_raw(spark, sf_dir)))
+    return t.select("email_id", "raw_score", "risk_score", "verdict", F.size("urls").alias("urls"), _joined("indicators").alias("indicators"))
+
+
 def _pages(spark, sf_dir):
     return mail_pages(spark, sf_dir).withColumn("f", html.features_column(F.col("html")))
 
@@ -178,11 +191,16 @@ def text_layers(spark, sf_dir):
     return mail_pages(spark, sf_dir).withColumn("l", decode.layers_column(F.col("html"))).select("page_id", _joined("l.steps").alias("steps"), "l.percent", "l.entities")
 
 
-def message_parse(spark, sf_dir):
+def _raw(spark, sf_dir):
+    """(email_id, raw): messages as header blocks, JSON and text."""
     m = mail(spark, sf_dir)
     head = F.concat(F.lit("Subject: "), "subject", F.lit("\nFrom: "), "sender", F.lit("\n"))
     raw = F.when(F.col("email_id") % 4 == 0, F.concat(head, F.lit("\n"), "text")).when(F.col("email_id") % 4 == 1, F.to_json(F.struct("subject", "sender", "reply_to", "text"))).when(F.col("email_id") % 4 == 2, F.concat(F.lit("Subject: "), "subject", F.lit("\n\n"), "text")).otherwise(F.col("text"))
-    return parse_messages(m.select("email_id", raw.alias("raw"))).select("email_id", "format", "subject", "sender", F.size("urls").alias("urls"), F.length("text").alias("chars"), "parse_error")
+    return m.select("email_id", raw.alias("raw"))
+
+
+def message_parse(spark, sf_dir):
+    return parse_messages(_raw(spark, sf_dir)).select("email_id", "format", "subject", "sender", F.size("urls").alias("urls"), F.length("text").alias("chars"), "parse_error")
 
 
 def flag_sets(spark, sf_dir):
@@ -203,6 +221,24 @@ def beacon_cv(spark, sf_dir):
     return X.beacons(_table(spark, sf_dir, "events")).select("user_id", "gaps", F.round("cv", 6).alias("cv"))
 
 
+def _packets(spark, sf_dir):
+    """Events as if they were packets: a number of their properties is the port, all kinds but one open without an answer."""
+    port = F.regexp_extract("props", r'"k": (\d+)', 1)
+    return _table(spark, sf_dir, "events").select("user_id", "ts", port.alias("port"), (F.col("event_type") != "click").alias("syn_only"))
+
+
+def port_scan(spark, sf_dir):
+    return X.port_scans(_packets(spark, sf_dir), "user_id", "port", "syn_only").select("user_id", "n", "ports", F.round("entropy", 6).alias("entropy"), F.round("syn_ratio", 6).alias("syn_ratio"), "scan")
+
+
+def benign_traffic(spark, sf_dir):
+    return X.assess(_packets(spark, sf_dir), "user_id", "port", "syn_only")
+
+
+def gap_variation(spark, sf_dir):
+    return X.gap_variation(_table(spark, sf_dir, "events")).withColumn("cv", F.round("cv", 6))
+
+
 def fuzzy_match(spark, sf_dir):
     names = _table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", r"://(?:www\.)?([^./?#]+)", 1)).alias("name")).distinct()
     return X.best_match(names, list(L.BRANDS), cutoff=0.4).withColumn("similarity", F.round("similarity", 6))
@@ -312,5 +348,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, html_features, web_signals, hidden_links, text_layers, message_parse, flag_sets, traffic_entropy, rate_spike, beacon_cv, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

@@ -178,6 +178,13 @@ SQL = {
     "flag_sets": W + SIGNALS + ", f AS (SELECT email_id, unnest(string_split(flags, ',')) AS flag FROM signals WHERE flags <> '') SELECT email_id, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags, bool_or(flag IN ('shortlink', 'brand-spoof')) AS risky FROM f GROUP BY email_id",
     "fuzzy_match": f"WITH n AS (SELECT DISTINCT host FROM (SELECT lower(regexp_extract(url, '://(?:www\\.)?([^./?#]+)', 1)) AS host FROM pages)), r AS (SELECT host, b, 1 - levenshtein(host, b)::DOUBLE / greatest(length(host), length(b), 1) AS s FROM n, (SELECT unnest([{', '.join(map(q, L.BRANDS))}]) AS b)), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY s DESC, b) AS i FROM r) SELECT host AS name, round(s, 6) AS similarity, CASE WHEN s >= 0.4 THEN b END AS match FROM k WHERE i = 1",
 }
+_GAPS = "SELECT count(gap) AS gaps, stddev_pop(gap) / nullif(avg(gap), 0) AS cv FROM (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts)) / 1e6 AS gap FROM events)"
+_SCANS = "WITH c AS (SELECT user_id, regexp_extract(props, '\"k\": (\\d+)', 1) AS port, count(*) AS n, count(*) FILTER (event_type <> 'click') AS opened FROM events GROUP BY ALL), s AS (SELECT user_id, sum(n)::BIGINT AS n, count(*) AS ports, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy, sum(opened)::DOUBLE / sum(n) AS syn_ratio FROM c GROUP BY user_id), p AS (SELECT *, n >= 50 AND entropy > 6 AND syn_ratio > 0.7 AND ports > 100 AS scan FROM s)"
+SQL["gap_variation"] = f"SELECT gaps, round(cv, 6) AS cv FROM ({_GAPS})"
+SQL["port_scan"] = _SCANS + " SELECT user_id, n, ports, round(entropy, 6) AS entropy, round(syn_ratio, 6) AS syn_ratio, scan FROM p"
+SQL["benign_traffic"] = _SCANS + f""", r AS (SELECT time_bucket(INTERVAL 1 minute, ts) AS w, count(*) AS n FROM events GROUP BY 1),
+d AS (SELECT (SELECT coalesce(bool_or(scan), false) FROM p) AS port_scan, (SELECT coalesce(max(n) > 20.0 * avg(n), false) FROM r) AS dos, (SELECT coalesce(cv < 0.5, false) FROM ({_GAPS})) AS beaconing)
+SELECT *, NOT (port_scan OR dos OR beaconing) AS benign FROM d"""
 #: A score's confidence, to two places, by score.
 _BY_SCORE = [round(0.35 + r / 100.0 * 0.55, 2) for r in range(101)]
 SQL["confidence"] = W + TRIAGE + f""", c AS (SELECT email_id, [{', '.join(f'{x}::DOUBLE' for x in _BY_SCORE)}][risk_score + 1] - least(0.2::DOUBLE, (email_id % 3) * 0.05::DOUBLE) AS c, verdict = 'benign' AND risk_score >= 20 AS unsure FROM triage)

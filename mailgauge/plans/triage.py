@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgauge.functions import attachment as A
+from mailgauge.functions import decode as D
 from mailgauge.functions import header as H
+from mailgauge.functions import html as W
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
 from mailgauge.operators import score as S
 from mailgauge.operators import verdict as V
 
 NO_SIGNALS = "array<struct<risk_flags:array<string>>>"
+#: Fixed value: nested URLs of a message that its record shows.
+MOST_NESTED = 20
+#: The headers that hold results of authentication.
+AUTH_HEADERS = ("authentication-results", "received-spf", "arc-authentication-results")
 
 
 def barrier(df: DataFrame, **cols: Column) -> DataFrame:
@@ -24,27 +30,59 @@ def barrier(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def signals(mail: DataFrame, p: S.Policy = S.Policy()) -> DataFrame:
-    """``mail`` (email_id, subject, text, sender, reply_to, auth, received, attachment) plus urls, cues, header, url_signals, files."""
-    name = F.trim(F.col("attachment"))
-    out = barrier(mail, urls=U.extract_urls(F.col("text")), raw=T.cue_text(F.col("subject"), F.col("text"), F.lit("")))
+def _has(df: DataFrame, name: str, otherwise: Column) -> Column:
+    return F.col(name) if name in df.columns else otherwise
+
+
+def _names(mail: DataFrame) -> Column:
+    """The attachments' names without white space around them, empty ones left out."""
+    names = _has(mail, "names", F.array("attachment"))
+    return F.filter(F.transform(names, T.strip), lambda x: x != "")
+
+
+def signals(mail: DataFrame, p: S.Policy = S.Policy(), decode: bool = False) -> DataFrame:
+    """``mail`` (email_id, subject, text, sender, reply_to, auth, received, attachment) plus urls, cues, header, url_signals, files.
+
+    Optional columns of ``mail``: body (text of the body), known_urls (found before, they come first), html_urls (they
+    come last), names (of attachments, instead of attachment). ``decode``: also look into the queries of URLs, in Arrow
+    batches of Python; what is found there gives flags, nested_urls and limits_hit.
+    """
+    none = F.array().cast("array<string>")
+    body = _has(mail, "body", F.lit(""))
+    urls = U.extract_urls(F.col("text"))
+    if {"known_urls", "body", "html_urls"} & set(mail.columns):
+        urls = F.array_distinct(F.concat(_has(mail, "known_urls", none), urls, U.extract_urls(body), _has(mail, "html_urls", none)))
+    out = barrier(mail, urls=urls, raw=T.cue_text(F.col("subject"), F.col("text"), body))
     out = barrier(out, low=F.lower("raw"))
+    if decode:
+        out = out.withColumn("hidden", D.obfuscations_column(F.col("urls")))
+        signal = lambda u, i: U.url_signal(u, p.high_domain, F.get(F.col("hidden"), i))
+    else:
+        signal = lambda u: U.url_signal(u, p.high_domain)
     return barrier(
         out,
         cues=F.struct(*T.nlp_cues(F.col("subject"), F.col("raw"), F.col("low"))),
         header=H.header_signals(F.col("auth"), F.col("received"), F.col("sender"), F.col("reply_to")),
-        url_signals=F.transform("urls", lambda u: U.url_signal(u, p.high_domain)),
-        files=F.filter(F.array(A.signal(name)), lambda s: s["filename"] != ""),
+        url_signals=F.transform("urls", signal),
+        files=F.transform(_names(mail), A.signal),
     )
 
 
-def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy(), fetch: bool = False) -> DataFrame:
+def limits_hit(hidden: Column, nested: Column, most: int = MOST_NESTED) -> Column:
+    """Names of the bounds that decoding the queries of a message's URLs has met."""
+    some = lambda flag: F.exists(hidden, lambda h: F.array_contains(h["flags"], flag))
+    tests = [("url_query_param_cap_hit", some("query_param_cap_hit")), ("url_query_nested_url_cap_hit", some("nested_url_cap_hit")), ("query_nested_url_cap_hit", F.size(nested) > most)]
+    return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
+
+
+def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy(), fetch: bool = False, decode: bool = False) -> DataFrame:
     """The record of each message: score, route, path, verdict, labels, confidence, reasons and what context was admitted.
 
     ``web``, if given and ``fetch`` is on, holds (email_id, web_signals) of fetched pages, which count where the
-    first score's gate asks for them.
+    first score's gate asks for them. ``mail`` may have the optional columns of ``signals``, html (a body) and
+    hidden_links; the columns nested_urls and limits_hit are filled with ``decode``.
     """
-    out = signals(mail, p)
+    out = signals(mail, p, decode)
     none = F.array().cast(NO_SIGNALS)
     out = barrier(out, first=S.pre_score(F.col("header"), F.col("url_signals"), none, F.col("files"), F.col("cues"), p))
     out = barrier(
@@ -59,10 +97,14 @@ def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy
         out = barrier(out, scored=F.when(F.size(seen) > 0, second).otherwise(F.col("first")))
     else:
         out = out.withColumn("scored", F.col("first"))
-    score, chain = F.col("scored.risk_score"), S.chain_flags(F.col("urls"), F.filter(F.array(F.trim("attachment")), lambda x: x != ""), F.lit(""))
+    score, chain = F.col("scored.risk_score"), S.chain_flags(_has(mail, "known_urls", F.col("urls")), _names(mail), _has(mail, "html", F.lit("")))
+    if "hidden_links" in mail.columns:
+        chain = F.concat(chain, F.array_compact(F.array(F.when(F.size("hidden_links") > 0, F.lit("hidden_html_links")))))
     verdict, final = V.final_verdict(score, p)
     spam = T.spam_score(F.col("low"), F.size("urls"))
     n_urls, n_files = F.size("url_signals"), F.size("files")
+    nested = U.nested_urls(F.col("url_signals"))
+    limits = limits_hit(F.col("hidden"), nested) if decode else F.array().cast("array<string>")
     out = barrier(out, risk_score=final, route=F.col("scored.route"), path=V.path_of(F.col("scored.route")), verdict=verdict, spam_score=spam, indicators=F.array_distinct(F.concat("scored.reasons", chain)))
     return out.select(
         "email_id", "risk_score", F.col("scored.risk_score").alias("raw_score"), "route", "path", "verdict", "spam_score", "indicators",
@@ -71,10 +113,41 @@ def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy
         S.component_scores(F.col("cues"), F.col("url_signals"), F.col("files")).alias("components"),
         S.admission("web", F.col("url_gate"), F.col("url_gate.collect") & F.lit(fetch), n_urls, fetch).alias("web_admission"),
         S.admission("attachment", F.col("file_gate"), F.col("file_gate.collect"), n_files, None).alias("attachment_admission"),
+        F.slice(nested, 1, MOST_NESTED).alias("nested_urls"), limits.alias("limits_hit"),
         "urls", "url_signals", "files", "header", "cues", "subject", "sender", "reply_to",
     )
 
 
+def of_messages(parsed: DataFrame) -> DataFrame:
+    """The columns that ``signals`` and ``triage`` take, from ``email_id`` and the columns of ``parse_messages``."""
+    page = parsed.withColumn("__page", W.features_column(F.col("body_html")))
+    return page.select(
+        "email_id", "subject", "text", "sender", "reply_to",
+        F.concat_ws(" ", *[F.coalesce(F.col("headers")[k], F.lit("")) for k in AUTH_HEADERS]).alias("auth"),
+        F.col("headers_raw").alias("received"), F.lit("").alias("attachment"), F.col("body_text").alias("body"),
+        F.col("urls").alias("known_urls"), F.col("__page.urls").alias("html_urls"), F.col("__page.hidden_links").alias("hidden_links"),
+        F.col("attachments").alias("names"), F.col("body_html").alias("html"),
+    )
+
+
+def emergency(triaged: DataFrame, failed: Column) -> DataFrame:
+    """``triaged`` with fixed values in the rows of messages that ``failed``: a score that sends them to review."""
+    labels = F.struct(F.lit("phish_email").alias("email_label"), F.lit(False).alias("is_spam"), F.lit(True).alias("is_phish_email"), F.array(F.lit("fallback-error")).alias("threat_tags"))
+    # Fixed values of the record of a message that couldn't be judged.
+    fixed = {
+        "risk_score": F.lit(35), "raw_score": F.lit(35), "route": F.lit("review"), "path": F.lit("STANDARD"), "verdict": F.lit("phishing"),
+        "spam_score": F.lit(8), "confidence": F.lit(0.35), "indicators": F.array(F.lit("runtime:fallback_emergency")), "labels": labels,
+    }
+    return triaged.withColumns({n: F.when(failed, v.cast(triaged.schema[n].dataType)).otherwise(F.col(n)) for n, v in fixed.items()})
+
+
+def triage_messages(parsed: DataFrame, p: S.Policy = S.Policy(), decode: bool = True) -> DataFrame:
+    """The triage of messages as ``parse_messages`` gives them, a row each; those with a parse_error get the emergency record."""
+    keyed = parsed.withColumn("email_id", F.struct("email_id", F.col("parse_error").isNotNull().alias("failed")))
+    out = emergency(triage(of_messages(keyed), p=p, decode=decode), F.col("email_id.failed"))
+    return out.withColumn("email_id", F.col("email_id.email_id"))
+
+
 def summary(triaged: DataFrame) -> DataFrame:
     """Messages and mean score by path and verdict; combines before its shuffle of a row a group."""
     return triaged.groupBy("path", "verdict").agg(F.count("*").alias("messages"), (F.sum("risk_score") / F.count("*")).alias("mean_risk"))

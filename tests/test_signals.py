@@ -200,3 +200,46 @@ def test_ipv6_literals(spark):
 def test_white_space_at_the_ends(spark):
     r = one(spark, T.strip(F.col("a")).alias("a"), T.highlights(F.col("b"), F.lower("b")).alias("b"), a="\t x\r\n ", b="\tverify your account now\t\r\n")
     assert r.a == "x" and all(x == x.strip() for x in r.b)
+
+
+def test_decoded_queries(spark):
+    text = "https://a.example/?u=https%3A%2F%2Fevil.example%2Fx https://a.example/p"
+    df = spark.createDataFrame([("m", "", text, "", "", "", "", ""), ("n", "", "no link", "", "", "", "", "")], MAIL)
+    r, none = P.triage(df, decode=True).orderBy("email_id").collect()
+    assert r.url_signals[0].risk_flags == ["encoded-query", "nested-url-param", "query-redirect"] and r.url_signals[1].risk_flags == []
+    assert (r.nested_urls, r.limits_hit, none.nested_urls, none.limits_hit) == (["https://evil.example/x"], [], [], [])
+    assert r.raw_score > triaged(spark, text=text).raw_score
+
+
+def test_bounds_of_nested_urls(spark):
+    link = lambda i: "https://a.example/?" + "&".join(f"u{j}=https%3A%2F%2Fe{i}-{j}.example" for j in range(9))
+    df = spark.createDataFrame([("m", "", " ".join(map(link, range(3))) + " https://b.example/?" + "&".join(f"p{i}=1" for i in range(31)), "", "", "", "", "")], MAIL)
+    r = P.triage(df, decode=True).first()
+    assert len(r.nested_urls) == 20 and r.limits_hit == ["url_query_param_cap_hit", "url_query_nested_url_cap_hit", "query_nested_url_cap_hit"]
+
+
+def test_triage_of_parsed_messages(spark):
+    eml = (
+        "Subject: Hello\nFrom: a@bank.example\nReply-To: b@other.example\nAuthentication-Results: mx; spf=fail\nReceived: from localhost by mx\nMIME-Version: 1.0\n"
+        'Content-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Type: text/html\n\n<form></form><a href="https://evil.example/a">https://bank.example/login</a>\n'
+        "--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename=\"setup.exe\"\n\nx\n--b--\n"
+    )
+    df = parse_messages(spark.createDataFrame([("e", eml), ("t", "hello team"), ("z", None)], "email_id string, raw string"))
+    df = df.withColumn("parse_error", F.when(F.col("email_id") == "z", "ValueError: x"))
+    e, t, z = P.triage_messages(df).orderBy("email_id").collect()
+    assert set(e.urls) == {"https://evil.example/a", "https://bank.example/login"} and [f.filename for f in e.files] == ["setup.exe"]
+    assert (e.header.spf, e.header.mismatch, e.header.received_patterns) == ("fail", True, ["localhost_received_hop"])
+    assert {"contains_url", "contains_attachment", "html_active_content", "url_to_attachment_chain", "hidden_html_links"} <= set(e.indicators)
+    assert (t.email_id, t.raw_score, t.verdict, t.urls) == ("t", 0, "benign", [])
+    assert (z.risk_score, z.verdict, z.path, z.confidence, z.spam_score, z.indicators, z.labels.threat_tags) == (35, "phishing", "STANDARD", 0.35, 8, ["runtime:fallback_emergency"], ["fallback-error"])
+
+
+def test_traffic_assessment(spark):
+    scan = [("s", f"2024-01-01 00:00:{i % 60:02d}.{i:03d}", str(i), True) for i in range(128)]
+    quiet = [("q", f"2024-01-01 00:0{i}:00", "443", False) for i in range(1, 9)]
+    df = lambda rows: spark.createDataFrame(rows, "src string, at string, port string, syn boolean").withColumn("at", F.to_timestamp("at"))
+    assert [(r.src, r.n, r.ports, round(r.entropy, 6), r.syn_ratio, r.scan) for r in X.port_scans(df(scan + quiet), "src", "port", "syn").orderBy("src").collect()] == [("q", 8, 1, 0.0, 0.0, False), ("s", 128, 128, 7.0, 1.0, True)]
+    r = X.assess(df(scan + quiet), "src", "port", "syn", "at").first()
+    assert (r.port_scan, r.dos, r.benign) == (True, False, False)
+    assert X.assess(df(quiet), "src", "port", "syn", "at").first().asDict() == {"port_scan": False, "dos": False, "beaconing": True, "benign": False}
+    assert X.assess(df([]), "src", "port", "syn", "at").first().benign
