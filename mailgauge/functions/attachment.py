@@ -105,9 +105,10 @@ MOST_MEMBER, MOST_ARCHIVE = 4_000_000, 16_000_000
 def zip_members(data: bytes | None) -> dict:
     """What an archive's member names and XML parts tell; an archive that can't be read tells nothing.
 
-    Members over the bounds, by the size that the archive gives, are left out and named in ``skipped``.
+    Members over the bounds, by the size that the archive gives, are left out and named in ``skipped``, which is
+    there (in a column: not null) only then.
     """
-    out = {"macro_like": False, "entries": [], "urls": [], "risk_score": 0, "skipped": []}
+    out = {"macro_like": False, "entries": [], "urls": [], "risk_score": 0}
     try:
         archive = zipfile.ZipFile(io.BytesIO(data or b""))
     except (zipfile.BadZipFile, ValueError):
@@ -117,7 +118,7 @@ def zip_members(data: bytes | None) -> dict:
     found, left = [], MOST_ARCHIVE
     for m in (m for m in members if m.filename.lower().endswith((".xml", ".rels"))):
         if m.file_size > min(MOST_MEMBER, left):
-            out["skipped"].append(m.filename)
+            out.setdefault("skipped", []).append(m.filename)
             continue
         left -= m.file_size
         try:

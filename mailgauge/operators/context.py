@@ -102,6 +102,8 @@ def _item_refs(name: str, category: str, source: str) -> Column:
 def with_refs(context: DataFrame) -> DataFrame:
     """``context`` plus ``evidence_refs``: (evidence_id, evidence_path, category, source) of each section and item.
 
+    Sections and items themselves get the fields evidence_id and evidence_path too.
+
     Equal evidence has one number, given at its first sight; at most MOST_REFS numbers are listed. All
     happens inside the message's row.
     """
@@ -113,7 +115,11 @@ def with_refs(context: DataFrame) -> DataFrame:
     out = barrier(out, __keys=F.array_distinct(F.transform("__refs", lambda r: r["key"])))
     named = lambda r: F.struct(F.format_string("evd_%04d", F.array_position(F.col("__keys"), r["key"])).alias("evidence_id"), r["evidence_path"].alias("evidence_path"), r["category"].alias("category"), r["source"].alias("source"))
     shown = F.filter(F.transform("__refs", named), lambda r: F.substring(r["evidence_id"], 5, 12).cast("int") <= MOST_REFS)
-    return out.withColumn("evidence_refs", shown).drop("__refs", "__keys")
+    out = barrier(out, evidence_refs=shown, __ids=F.map_from_entries(F.array_distinct(F.transform("__refs", lambda r: F.struct(r["evidence_path"], named(r)["evidence_id"])))))
+    marked = lambda x, at: x.withField("evidence_id", F.col("__ids")[at]).withField("evidence_path", at)
+    items = lambda k: F.transform(k, lambda x, i: marked(x, F.concat(F.lit(k + "["), i.cast("string"), F.lit("]"))))
+    own = {k: marked(F.col(k), F.lit(k)) for k, *_ in SECTIONS} | {k: items(k) for k, *_ in LISTS if k in context.columns}
+    return out.withColumns(own).drop("__refs", "__keys", "__ids")
 
 
 def current_path(path: Column) -> Column:

@@ -15,6 +15,7 @@ from mailgauge.functions import text as T
 from mailgauge.functions import url as U
 from mailgauge.operators import score as S
 from mailgauge.plans.triage import NO_SIGNALS, barrier
+from mailgauge.sources.messages import parse_column
 
 MOST_STEPS = 5
 
@@ -89,8 +90,8 @@ def _deep(df: DataFrame) -> DataFrame:
         return df
     mark = lambda s: s.withField("risk_flags", F.array_append(s["risk_flags"], F.lit("nested_url_in_attachment")))
     more = F.transform(F.coalesce("attachment_urls", F.array().cast("array<string>")), lambda u: mark(U.url_signal(u)))
-    own = barrier(df.withColumnRenamed("url_signals", "__own"), url_signals=F.concat("__own", more))
-    return own.drop("__own")
+    own = barrier(df.withColumnsRenamed({"url_signals": "__own", "chain_flags": "__flags"}), url_signals=F.concat("__own", more), chain_flags=F.when(F.size("attachment_urls") > 0, F.array_append("__flags", F.lit("nested_url_in_attachment"))).otherwise(F.col("__flags")))
+    return own.drop("__own", "__flags")
 
 
 def _fuse(df: DataFrame) -> DataFrame:
@@ -131,7 +132,13 @@ def _intel(url: Column) -> Column:
     return F.struct(host.alias("domain"), U.base_domain(host).alias("base_domain"), U.domain_risk(host).alias("risk_score"), U.domain_indicators(host).alias("indicators"))
 
 
-#: Column functions by the name of the tool, in a fixed order; messages and files are parsed by functions of sources.
+def _deep_reports(names: Column) -> Column:
+    """The reports of attachments of which only the names are known."""
+    no_bytes, no_archive = F.lit(None).cast("binary"), F.lit(None).cast("struct<risk_score:int,urls:array<string>>")
+    return F.transform(names, lambda n: A.report(n, no_bytes, A.magic_type(no_bytes, n), F.lit(0), no_archive, F.lit(""), F.array().cast("array<string>"), F.lit("")))
+
+
+#: Column functions by the name of the tool, in a fixed order.
 TOOLS: dict[str, Callable[..., Column]] = {
     "normalize_text": T.normalize,
     "keyword_scan": keyword_scan,
@@ -139,7 +146,9 @@ TOOLS: dict[str, Callable[..., Column]] = {
     "extract_urls": lambda t: F.struct(U.extract_urls(t).alias("urls"), F.size(U.extract_urls(t)).alias("count")),
     "check_url": lambda u: F.struct(u.alias("url"), U.is_suspicious(u).alias("suspicious")),
     "attachment_risk": lambda n: F.struct(n.alias("filename"), A.classify(n).alias("risk")),
+    "parse_email": parse_column,
     "domain_intel": _intel,
+    "attachments_deep": _deep_reports,
 }
 
 

@@ -10,7 +10,7 @@ from email.parser import BytesParser
 from email.utils import getaddresses
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.functions.decode import urls_in
@@ -143,15 +143,20 @@ def parse(raw: str | None) -> dict:
     return empty(format="text", text=clean, urls=urls_in(clean))
 
 
-def parse_messages(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """``df`` plus the columns of the e-mail schema, parsed from ``raw_col`` in Arrow batches."""
+def parse_column(raw: Column) -> Column:
+    """The e-mail in a raw message as a struct, parsed in Arrow batches."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for raws in batches:
             rows = [parse(r) for r in raws.to_pylist()]
             yield pa.array([r | {n: list(r[n].items()) for n in MAPS} for r in rows], ARROW)
 
-    return df.withColumn("__m", F.arrow_udf(run, SCHEMA)(F.col(raw_col))).select(*df.columns, "__m.*")
+    return F.arrow_udf(run, SCHEMA)(raw)
+
+
+def parse_messages(df: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """``df`` plus the columns of the e-mail schema, parsed from ``raw_col`` in Arrow batches."""
+    return df.withColumn("__m", parse_column(F.col(raw_col))).select(*df.columns, "__m.*")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:

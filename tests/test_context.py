@@ -153,3 +153,24 @@ def test_balanced_sample_and_metrics_of_nothing(spark):
     none = spark.createDataFrame([], "predicted string, truth string, risk_score int, provider string")
     r = E.run_metrics(none).first()
     assert (r.total, r.specificity, r.mean_risk, r.fallback_rate) == (0, 0.0, 0.0, 0.0)
+
+
+def test_context_items_carry_their_number(spark):
+    r = C.with_refs(C.judge_context(triaged(spark, "https://bit.ly/reset https://bit.ly/reset2", "a.exe"))).first()
+    known = {x.evidence_path: x.evidence_id for x in r.evidence_refs}
+    items = {x.evidence_path: x.evidence_id for x in [*r.selected_url_signals, *r.selected_attachment_signals, r.pre_score, r.nlp_summary]}
+    assert {"selected_url_signals[0]", "selected_url_signals[1]", "selected_attachment_signals[0]", "pre_score", "nlp_summary"} == set(items)
+    assert all(known[k] == v for k, v in items.items())
+
+
+def test_tools_of_messages_and_files(spark):
+    df = spark.createDataFrame([("Subject: x\nFrom: a@b.example\n\nhello", ["setup.exe", "notes.txt"])], "raw string, names array<string>")
+    r = df.select(G.tool("parse_email", F.col("raw")).alias("m"), G.tool("attachments_deep", F.col("names")).alias("d")).first()
+    assert (r.m.subject, r.m.sender, r.m.parse_error) == ("x", "a@b.example", None)
+    assert [x.name for x in r.d] == ["setup.exe", "notes.txt"] and r.d[0].risk_score > r.d[1].risk_score
+
+
+def test_large_members_are_named(monkeypatch):
+    monkeypatch.setattr(A, "MOST_MEMBER", 60)
+    got = A.zip_members(archive(a_xml="https://a.example/x", b_xml="https://b.example/" + "x" * 60))
+    assert got == {"macro_like": False, "entries": [], "urls": ["https://a.example/x"], "risk_score": 4, "skipped": ["b.xml"]}
