@@ -35,8 +35,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], percent: int, mos
     return by.withColumn("found", found).select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("found"), "cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row of (doc_id, source, text).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, row: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row of (doc_id, source, text), and ``row`` if given.
+
+    ``row``: what tells rows of one id apart, such as a digest; a caller finds each row's copies by it.
 
     Each source's documents are shuffled by the MD5 of their id. A document's virtual finish time is the
     source's words up to and with it over the source's target; a second pass over the source follows the
@@ -45,22 +47,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
     source and over ranges of finish time, so neither a hot source nor the table meets in one task. Only
     ids, sources and sizes are shuffled.
 
-    Null text: size 0. Null source: a source of its own, last. Null ids: hashed as the empty string. Rows
-    that agree in id, source and size are alike; any of them may be the one taken once more. A source
+    Null text: size 0. Null source: a source of its own, last. Null ids: the MD5 of the text stands for the
+    id, so rows without an id are shuffled too. Rows that agree in id, source, size and ``row`` are alike; any
+    of them may be the one taken once more. Very long texts are only counted, in their own row. A source
     without words has target 0. Extra columns don't matter. An empty table gives an empty result.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select("doc_id", "source", words.alias("size")))
+    no_id = F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), no_id)))
+    told = [] if row is None else ["row"]
+    sized = cut(docs.select("doc_id", "source", words.alias("size"), key.alias("key"), *([] if row is None else [row.alias("row")])))
     targets = source_targets(sized, weights, percent, most)
-    one = sized.withColumn("key", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    one = one.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    one = sized.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = one.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*_ALL_BEFORE)), F.lit(0)))
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(*_UP_TO_HERE)
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *told).rowsBetween(*_UP_TO_HERE)
     a, b, t = one.withColumn("in_bucket", F.sum("size").over(inner)).alias("a"), sums.alias("b"), targets.alias("t")
     placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")))
     placed = placed.join(t, F.col("a.source").eqNullSafe(F.col("t.source")))
-    placed = cut(placed.select("a.doc_id", "a.source", "size", "source_size", "target", (F.col("in_bucket") + F.col("before")).alias("upto"), "key"))
+    placed = cut(placed.select("a.doc_id", "a.source", "size", "source_size", "target", (F.col("in_bucket") + F.col("before")).alias("upto"), "key", *told))
     real = (F.col("size") > 0) & (F.col("target") > 0)
     passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
     items = placed.where(real).select("*", passes).withColumn("range", _range(F.col("pass")))
@@ -76,7 +81,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
         within = lambda c: (_place(c) <= F.struct(*[F.lit(x) for x in end]).cast("struct<f:double,key:string,i:bigint,s:string,size:bigint,c:int>")) if end else F.lit(False)
         early = lambda c: (_range(c) < over["range"]) | ((_range(c) == over["range"]) & within(c))
         taken = sum(F.when(early(F.lit(c)), 1).otherwise(0) for c in range(most))
-    return placed.withColumn("copies", F.when(real, taken).otherwise(0)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    out = placed.withColumn("copies", F.when(real, taken).otherwise(0))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *told)
 
 
 def _finish(copy: Column) -> Column:
@@ -99,7 +105,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+         md5('mix:' || coalesce(doc_id::VARCHAR, ':' || md5(coalesce(text, '')))) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

@@ -1,8 +1,12 @@
 """The pipeline's stages: columns, what goes and what stays."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from mailgauge.llm.common import WORD
 
 
 def test_stages(spark, small):
@@ -27,6 +31,19 @@ def test_mixed_documents_follow_the_mix(spark, small):
     assert got == copies
 
 
+@pytest.mark.parametrize("ids", ["cast(null as bigint)", "doc_id % 3", "doc_id"])
+def test_mix_returns_the_words_it_takes_with_null_shared_and_repeated_ids(spark, small, ids):
+    from mailgauge.llm import mixing
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr(f"{ids} as doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.union(docs.where("n_chars % 3 = 0"))
+    taken = mixing.mix(docs).selectExpr("sum(taken)").first()[0]
+    got = cp.mix_sources(spark, docs, small).select("*", F.regexp_count("text", F.lit(WORD)).alias("w"))
+    assert got.agg(F.sum("w")).first()[0] == taken > 0
+    there = Counter(tuple(r) for r in docs.collect())
+    assert all(n <= 2 * there[k] for k, n in Counter(tuple(r)[:-1] for r in got.collect()).items())
+
+
 @pytest.mark.parametrize("name", ["line_dedup", "near_dedup", "source_mixing", "byte_bpe"])
 def test_stages_take_odd_and_empty_tables(spark, odd, empty, small, name):
     stage = dict(cp.STAGES)[name]
