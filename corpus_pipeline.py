@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import bpe, line_dedup, mixing, quality_classifier, simhash
-from mailgauge.llm.common import cut, table
+from mailgauge.llm.common import cut, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,11 +34,20 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to twice."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
-    both = docs.select(COLUMNS).alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return both.select("d.*", copies).select(COLUMNS)
+    """Documents as often as the mix takes them, none to twice.
+
+    A row is told by a digest of all its columns, so rows of one id, or without one, keep their own number of copies.
+    Of rows that agree in all columns each gets the whole part of their copies' mean; what is left goes to one of them.
+    Null texts have no words and aren't taken. An empty table gives an empty result; other columns are dropped.
+    """
+    told = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    docs = docs.select(COLUMNS).withColumn("row", F.concat(F.hex(F.xxhash64(*told)), F.lit("-"), F.hex(F.xxhash64(F.lit(4), *told))))
+    taken = mixing.mix(docs, row=F.col("row")).groupBy("row").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")
+    taken = cut(taken)
+    times = lambda n: F.explode(F.sequence(F.lit(1), F.expr(n))).alias("time")
+    each = docs.join(taken.where("copies >= n"), "row").select(*COLUMNS, times("copies div n"))
+    left = docs.join(small(taken.where("copies % n > 0"), 10_000), "row").select(*COLUMNS, "n", "copies").distinct().select(*COLUMNS, times("copies % n"))
+    return each.unionByName(left).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
