@@ -1,8 +1,8 @@
-"""The thin queries of the ten operators and the SQL of those that SQL can express."""
+"""The thin queries of the operators and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from mailgauge.llm import bpe, fingerprints, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
+from mailgauge.llm import bpe, fingerprints, licenses, line_dedup, mixing, prefix_bpe, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         quality_classifier.op8_quality_classifier,
         line_dedup.op9_line_dedup,
         bpe.op10_byte_bpe,
+        prefix_bpe.op11_prefix_bpe,
     )
 }
 ORACLES = {"op4_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
