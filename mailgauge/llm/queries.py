@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgauge.llm import bpe, conversations, fingerprints, licenses, line_dedup, mixing, prefix_bpe, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
+from mailgauge.llm import bpe, conversations, fingerprints, licenses, line_dedup, mixing, prefix_bpe, quality_classifier, quality_rules, resampling, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         bpe.op10_byte_bpe,
         prefix_bpe.op11_prefix_bpe,
         conversations.op12_conversation_repair,
+        resampling.op13_importance_resampling,
     )
 }
-ORACLES = {"op4_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_conversation_repair": conversations.ORACLE}
+ORACLES = {"op4_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_importance_resampling": resampling.ORACLE}
