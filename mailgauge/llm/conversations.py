@@ -399,10 +399,11 @@ WITH RECURSIVE d AS (
   SELECT conv, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
          CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM d, range(CASE fate WHEN 3 THEN 2 ELSE 1 END) WHERE fate <> 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS pos FROM e
 ), o AS (
-  SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST) > 1 AS repeated,
-         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, left(role, 1) AS initial
-  FROM e WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text))
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS repeated,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, left(role, 1) AS initial FROM p
 ), r AS (
   SELECT *, last = '' AS blank, last <> '' AND repeated AS duplicate, last <> '' AND NOT repeated AND last NOT IN ('.', '!', '?') AS truncated,
          last = '' OR repeated AS must_go, lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial NOT IN ('su', 'ua', 'au') AS illegal
