@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
-from mailgauge.functions.decode import arrow_struct, urls_in
+from mailgauge.functions.arrow import arrow_struct, urls_in
 from mailgauge.functions.text import keyword_hits
 from mailgauge.functions.url import any_of, confidence, extract_urls
 

@@ -23,9 +23,10 @@ def auth_result(source: Column, key: str) -> Column:
 
 def header_signals(auth: Column, headers_raw: Column, sender: Column, reply_to: Column) -> Column:
     """The header struct of a message; ``auth``: its authentication headers joined by blanks."""
+    auth, headers_raw = F.coalesce(auth, F.lit("")), F.coalesce(headers_raw, F.lit(""))
     low = F.lower(auth)
     # A folded line, which starts with a blank, is no hop of its own.
-    received = F.filter(F.split(F.coalesce(headers_raw, F.lit("")), r"\r?\n"), lambda x: F.lower(x).startswith("received:"))
+    received = F.filter(F.split(headers_raw, r"\r?\n"), lambda x: F.lower(x).startswith("received:"))
     patterns = [
         ("missing_received_headers", (strip(headers_raw) != "") & (F.size(received) == 0)),
         ("unusually_long_received_chain", F.size(received) >= 9),

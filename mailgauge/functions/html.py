@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
-from mailgauge.functions.decode import arrow_struct, canonical, text_layers, urls_in
+from mailgauge.functions.arrow import arrow_struct, canonical, urls_in
 from mailgauge.functions.url import confidence
 
 #: Fixed bounds: characters and pieces of visible text, links, snippets and their length.
 TEXT_CHARS, PIECES, LINKS, SNIPPETS, SNIPPET_CHARS = 20_000, 1_000, 40, 8, 280
+#: Fixed bound: characters that are searched for words, behind references and two rounds of percent-encoding.
+LAYERED_CHARS = 12_000
 #: Points that make a piece of text worth showing.
 SNIPPET_POINTS = ((5, ("password",)), (4, ("verify",)), (4, ("login",)), (3, ("mfa", "otp")), (3, ("invoice", "payment")), (2, ("urgent", "immediately")))
 
@@ -78,7 +82,10 @@ def features(html: str | None) -> dict:
     """Counts, title, visible text, words of risk and brands, snippets in order of points, links and hidden links of a page."""
     p = _Page()
     p.feed(html or "")
-    low = text_layers(" ".join(p.pieces))["text"].lower()
+    low = " ".join(p.pieces)[:LAYERED_CHARS]
+    for layer in (unescape, unquote, unquote):
+        low = layer(low)[:LAYERED_CHARS]
+    low = low.lower()
     words, brands = [w for w in L.HTML_KEYWORDS if w in low], [b for b in L.HTML_BRANDS if b in low]
     rated = []
     for i, piece in enumerate(p.pieces):

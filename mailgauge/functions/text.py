@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,22 @@ from mailgauge.functions import lexicon as L
 CUES = {"urgency": L.URGENCY, "threat": L.THREAT, "payment": L.PAYMENT, "credential": L.CREDENTIAL, "action": L.ACTION, "takeover": L.TAKEOVER}
 
 
+def once(build: Callable) -> Callable:
+    """``build``, whose expressions are made once for each of its arguments: thousands of calls to the JVM, whatever the data."""
+    made: dict = {}
+
+    @functools.wraps(build)
+    def get(*key):
+        key = (id(SparkContext._gateway), *key)
+        if key not in made:
+            if len(made) >= 32:
+                made.clear()
+            made[key] = build(*key[1:])
+        return made[key]
+
+    return get
+
+
 def certain_words(pattern: str) -> str:
     """The longest plain text that every match of a pattern contains, empty if there is none."""
     bare = re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\][?*+]?|\\.[?*+]?|[^\\]\?", "\n", pattern)
@@ -67,7 +85,7 @@ def bang_count(text: Column) -> Column:
 
 
 def subject_points(subject: Column) -> Column:
-    s = F.lower(strip(subject))
+    s = F.lower(strip(F.coalesce(subject, F.lit(""))))
     action = any_keyword(s, L.SUBJECT_ACTIONS)
     points = F.when(any_keyword(s, L.SUBJECT_ACCOUNTS) & action, 2).otherwise(0)
     for flag in (s.contains("action required"), any_keyword(s, L.SUBJECT_BRANDS) & action, s.contains("pending") & s.contains("message"), bang_count(s) >= 2):
@@ -98,8 +116,9 @@ def cue_text(subject: Column, text: Column, body: Column) -> Column:
 def nlp_cues(subject: Column, raw: Column, low: Column) -> list[Column]:
     """Shares of three hits capped at 1, keyword hits, impersonation and highlights; ``raw``: the cue text, ``low``: in lower case.
 
-    Both should be columns computed before, as dozens of searches read them.
+    Both should be columns computed before, as dozens of searches read them. Nulls count as empty.
     """
+    raw, low = F.coalesce(raw, F.lit("")), F.coalesce(low, F.lit(""))
     share = lambda n: F.least(F.lit(1.0), n / F.lit(3.0))
     out = [share(pattern_hits(low, p)).alias(name) for name, p in CUES.items()]
     return [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,7 +28,7 @@ def canonicalize(url: Column) -> Column:
 
 
 def extract_urls(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0)), canonicalize))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(URL_PATTERN), F.lit(0)), canonicalize))
 
 
 def netloc(url: Column) -> Column:
@@ -157,40 +159,78 @@ def _signal(url: Column, host: Column, facts: Column, high_domain: int, hidden:
         F.array_distinct(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags]))).alias("risk_flags"),
         F.when(short, confidence(total, 0.08)).otherwise(confidence(total)).alias("confidence"),
         (F.array().cast("array<string>") if hidden is None else hidden["nested"]).alias("nested_urls"),
+        (F.array().cast("array<string>") if hidden is None else hidden["flags"]).alias("query_flags"),
     )
 
 
-#: Private, local and reserved IPv4 ranges, as first number and bits of their prefix.
-PRIVATE_RANGES = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
-    ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+#: Ranges of addresses that aren't public: private, local, multicast, documentation and reserved ones.
+PRIVATE_4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
+PRIVATE_6 = (
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8",
+)
+#: Public addresses and ranges inside those.
+PUBLIC_4 = ("192.0.0.9/32", "192.0.0.10/32")
+PUBLIC_6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 
 
 def ipv4(host: Column) -> Column:
-    """The number of a dotted IPv4 address, null for anything else."""
-    part = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
-    whole = rf"^{part}\.{part}\.{part}\.{part}$"
-    n = sum((F.regexp_extract(host, whole, i + 1).try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long"))
-    return F.when(host.rlike(whole), n)
+    """The number of an IPv4 address as a resolver reads it: one to four decimal, octal or hexadecimal parts, the last of which fills the rest; null for anything else."""
+    part = r"(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9][0-9]{0,9})"
+    number = lambda p: F.when(p.startswith("0x"), F.conv(F.substr(p, F.lit(3)), 16, 10)).when(p.startswith("0"), F.conv(p, 8, 10)).otherwise(p).cast("long")
 
+    def whole(parts: Column) -> Column:
+        count = F.size(parts)
+        heads, last = F.slice(parts, 1, count - 1), F.get(parts, count - 1)
+        room = F.get(F.array(*[F.lit(256 ** (4 - k)) for k in range(4)]), count - 1)
+        value = F.aggregate(F.transform(heads, lambda x: x), F.lit(0).cast("long"), lambda a, x: a * 256 + x) * room + last
+        return F.when(~F.exists(heads, lambda x: x > 255) & (last < room), value)
 
-def private_address(host: Column) -> Column:
-    """Whether a host is a literal IPv4 or IPv6 address that isn't public; names aren't looked up."""
-    return F.coalesce(bind(ipv4(F.regexp_replace(host, r"^::ffff:", "")), _private_number), F.lit(False)) | _private_ipv6(host)
+    return F.when(host.rlike(rf"^{part}(?:\.{part}){{0,3}}$"), bind(F.transform(F.split(host, r"\."), number), whole))
+
+
+def ipv6(host: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, without its zone, null for anything else."""
+    quad = r"^([0-9a-f:]*:)((?:[0-9]{1,3}\.){3}[0-9]{1,3})$"
+    pair = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    dotted = lambda h: F.when(h.rlike(quad), F.concat(F.regexp_extract(h, quad, 1), bind(ipv4(F.regexp_extract(h, quad, 2)), pair))).otherwise(h)
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+
+    def filled(h: Column) -> Column:
+        short = h.contains("::")
+        left = groups(F.substring_index(h, "::", 1))
+        right = F.when(short, groups(F.substring_index(h, "::", -1))).otherwise(F.array().cast("array<string>"))
+        return bind(F.struct(left.alias("l"), right.alias("r")), lambda s: told(h, short, s))
+
+    def told(h: Column, short: Column, s: Column) -> Column:
+        n = F.size(s["l"]) + F.size(s["r"])
+        sound = h.rlike("^[0-9a-f:]+$") & ~h.rlike(":::|::.*::|[0-9a-f]{5}|^:[^:]|[^:]:$") & F.when(short, n <= 7).otherwise(n == 8)
+        every = F.concat(s["l"], F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), s["r"])
+        return F.when(sound, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
+    return F.when(host.contains(":"), bind(dotted(F.regexp_replace(host, "%.*$", "")), filled))
 
-def _private_ipv6(host: Column) -> Column:
-    """By the start of the address: unspecified, loopback, local, link-local, multicast and documentation ranges."""
-    return F.coalesce(host.contains(":") & host.rlike(r"^(0*:)*:?0*:?[01]?$|^::$|^f[cd]|^fe[89ab]|^ff|^2001:0?db8:|^100::"), F.lit(False))
+
+def _inside(value: Column, ranges: tuple[str, ...], show: Callable[[int], int | str]) -> Column:
+    nets = map(ipaddress.ip_network, ranges)
+    return any_of([value.between(show(int(n.network_address)), show(int(n.broadcast_address))) for n in nets])
 
 
 def _private_number(n: Column) -> Column:
-    tests = []
-    for first, bits in PRIVATE_RANGES:
-        low = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(first.split(".")))
-        tests.append(n.between(low, low + 2 ** (32 - bits) - 1))
-    return any_of(tests)
+    return _inside(n, PRIVATE_4, int) & ~_inside(n, PUBLIC_4, int)
+
+
+def _private_digits(h: Column) -> Column:
+    """IPv4 addresses inside IPv6 ones lie in reserved ranges, whatever they are."""
+    digits = lambda n: f"{n:032x}"
+    return _inside(h, PRIVATE_6, digits) & ~_inside(h, PUBLIC_6, digits)
+
+
+def private_address(host: Column) -> Column:
+    """Whether a host is an IPv4 or IPv6 address, in any form that a resolver takes, or a local name, that isn't public; other names aren't looked up."""
+    local = (host == "localhost") | host.endswith(".localhost")
+    return local | F.coalesce(bind(ipv4(host), _private_number), bind(ipv6(host), _private_digits), F.lit(False))
 
 
 def fetch_refusal(url: Column) -> Column:

@@ -171,7 +171,7 @@ def heuristic_path(text: Column, suspicious: Column, url_count: Column, attachme
     """FAST, STANDARD or DEEP by a score of its own with overrides."""
     from mailgauge.functions.text import keyword_hits, pattern_hits
 
-    low, cap = F.lower(text), lambda n, x: F.least(F.lit(n), x)
+    low, cap = F.lower(F.coalesce(text, F.lit(""))), lambda n, x: F.least(F.lit(n), x)
     has = lambda f: F.array_contains(chain, f)
     links = sum((has(f).cast("int") for f in ("url_to_attachment_chain", "nested_url_in_attachment", "hidden_html_links", "contains_attachment")), F.lit(0))
     score = cap(4, keyword_hits(low, L.ROUTER_TOKENS)) + cap(3, keyword_hits(low, L.ROUTER_URGENCY)) + cap(3, pattern_hits(low, L.ROUTER_ACTIONS)) + cap(4, suspicious * 2) + F.when(url_count >= 3, 2).otherwise(0)

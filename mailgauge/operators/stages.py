@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgauge.functions import attachment as A
+from mailgauge.functions import decode as D
 from mailgauge.functions import header as H
 from mailgauge.functions import lexicon as L
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
 from mailgauge.operators import score as S
-from mailgauge.plans.triage import NO_SIGNALS, barrier
+from mailgauge.plans.triage import NO_SIGNALS, barrier, filled, with_url_signals
 from mailgauge.sources.messages import parse_column
 
 MOST_STEPS = 5
@@ -58,8 +59,9 @@ class Stages:
 
 
 def _surface(df: DataFrame) -> DataFrame:
+    df = filled(df)
     out = barrier(df, urls=U.extract_urls(F.col("text")), raw=T.cue_text(F.col("subject"), F.col("text"), F.lit("")))
-    names = F.filter(F.array(F.trim("attachment")), lambda x: x != "")
+    names = F.filter(F.array(T.strip(F.col("attachment"))), lambda x: x != "")
     return barrier(out, low=F.lower("raw"), chain_flags=S.chain_flags(F.col("urls"), names, F.lit("")))
 
 
@@ -68,7 +70,7 @@ def _headers(df: DataFrame) -> DataFrame:
 
 
 def _urls(df: DataFrame) -> DataFrame:
-    return barrier(df, url_signals=F.transform("urls", lambda u: U.url_signal(u)))
+    return with_url_signals(df, S.Policy().high_domain)
 
 
 def _cues(df: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def _cues(df: DataFrame) -> DataFrame:
 
 
 def _files(df: DataFrame) -> DataFrame:
-    return barrier(df, files=F.filter(F.array(A.signal(F.trim("attachment"))), lambda s: s["filename"] != ""))
+    return barrier(df, files=F.filter(F.array(A.signal(T.strip(F.col("attachment")))), lambda s: s["filename"] != ""))
 
 
 def _pages(df: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def _deep(df: DataFrame) -> DataFrame:
     if "attachment_urls" not in df.columns:
         return df
     mark = lambda s: s.withField("risk_flags", F.array_append(s["risk_flags"], F.lit("nested_url_in_attachment")))
-    more = F.transform(F.coalesce("attachment_urls", F.array().cast("array<string>")), lambda u: mark(U.url_signal(u)))
+    more = F.transform(F.coalesce("attachment_urls", F.array().cast("array<string>")), lambda u: mark(U.url_signal(u, hidden=D.obfuscation(u))))
     own = barrier(df.withColumnsRenamed({"url_signals": "__own", "chain_flags": "__flags"}), url_signals=F.concat("__own", more), chain_flags=F.when(F.size("attachment_urls") > 0, F.array_append("__flags", F.lit("nested_url_in_attachment"))).otherwise(F.col("__flags")))
     return own.drop("__own", "__flags")
 

@@ -17,7 +17,7 @@ from mailgauge.operators import stages as G
 from mailgauge.operators import traffic as X
 from mailgauge.operators import verdict as V
 from mailgauge.plans import triage as P
-from mailgauge.plans.mail import FETCHED, mail, mail_files, mail_pages, requests
+from mailgauge.plans.mail import FETCHED, fetch_targets, mail, mail_files, mail_pages, requests
 from mailgauge.sources.messages import parse_messages
 
 
@@ -51,13 +51,17 @@ def typosquat_join(spark, sf_dir):
 
 
 def url_signals(spark, sf_dir):
-    u = P.barrier(mail_urls(spark, sf_dir), s=U.url_signal(F.col("url")))
+    u = P.barrier(mail_urls(spark, sf_dir), hidden=decode.obfuscation(F.col("url")))
+    u = P.barrier(u, s=U.url_signal(F.col("url"), hidden=F.col("hidden")))
     return u.select("email_id", "pos", "url", "s.brand", "s.similarity", "s.domain_risk", _joined("s.risk_flags").alias("flags"), F.col("s.has_login_keywords").alias("login"))
 
 
 def url_obfuscation(spark, sf_dir):
-    u = mail_urls(spark, sf_dir).withColumn("o", decode.obfuscation_column(F.col("url")))
-    return u.select("email_id", "pos", "url", "o.params", _joined("o.flags").alias("flags"), _joined("o.nested").alias("nested"))
+    u = mail_urls(spark, sf_dir).withColumn("o", F.explode(F.array(decode.obfuscation(F.col("url")))))
+    steps = F.array_join(F.flatten(F.transform("o.samples", lambda s: s["steps"])), ",")
+    coded = F.array_join(F.array_compact(F.transform("o.samples", lambda s: s["base64"]["text"])), "|")
+    texts = F.array_join(F.transform("o.samples", lambda s: s["text"]), "|")
+    return u.select("email_id", "pos", "url", "o.params", _joined("o.flags").alias("flags"), _joined("o.nested").alias("nested"), steps.alias("steps"), texts.alias("texts"), coded.alias("coded"))
 
 
 def _cues(spark, sf_dir):
@@ -158,8 +162,8 @@ def redact_urls(spark, sf_dir):
 
 
 def triage_decoded(spark, sf_dir):
-    """The triage with the queries of URLs decoded."""
-    t = P.triage(mail(spark, sf_dir), decode=True)
+    """What the queries of URLs hide, in the triage."""
+    t = _triage(spark, sf_dir)
     flags = F.array_sort(F.array_distinct(F.flatten(F.transform("url_signals", lambda s: s["risk_flags"]))))
     return t.select("email_id", "raw_score", "verdict", _joined(flags).alias("flags"), _joined("nested_urls").alias("nested"), _joined("limits_hit").alias("limits"))
 
@@ -188,7 +192,7 @@ def hidden_links(spark, sf_dir):
 
 
 def text_layers(spark, sf_dir):
-    return mail_pages(spark, sf_dir).withColumn("l", decode.layers_column(F.col("html"))).select("page_id", _joined("l.steps").alias("steps"), "l.percent", "l.entities")
+    return mail_pages(spark, sf_dir).withColumn("l", F.explode(F.array(decode.text_layers(F.col("html"))))).select("page_id", _joined("l.steps").alias("steps"), "l.percent", "l.entities", F.md5("l.text").alias("digest"), "l.input_truncated")
 
 
 def _raw(spark, sf_dir):
@@ -269,7 +273,7 @@ def attachment_enriched(spark, sf_dir):
 
 
 def fetch_policy(spark, sf_dir):
-    return mail_urls(spark, sf_dir).select("email_id", "pos", U.fetch_refusal(F.col("url")).alias("refused"), U.private_address(U.hostname(F.col("url"))).alias("private"))
+    return mail_urls(spark, sf_dir).unionByName(fetch_targets(spark, sf_dir)).select("email_id", "pos", U.fetch_refusal(F.col("url")).alias("refused"), U.private_address(U.hostname(F.col("url"))).alias("private"))
 
 
 def input_check(spark, sf_dir):

@@ -23,6 +23,8 @@ LINKS = (
     "https://xn--pple-43d.com/account", "https://MICROSOFT-support.top/Portal;v=1?x=1#top and http://10.1.2.3/login", "https://paypal-billing.com/confirm?token=abcdef",
     "https://docs.example.net/a_b/c?u=https%3A%2F%2Fevil.example%2Fx and https://rb.gy/z and https://docs.example.net/a_b/c?u=https%3A%2F%2Fevil.example%2Fx",
     "http://user@chase9.com:8080/path", "https://docs.example.net/q?u=a+b%20c%2B*~&email=jo.hn%40example.org&empty=&flag&token=%41bc&long=%E2%82%AC%E2%82%AC%E2%82%ACabcdefghijklmnopqrstuvwxyz&bad=100%",
+    "https://tracker.example.com/?r=aHR0cHM6Ly9ldmlsLmNvbS9sb2dpbg==&s=PGh0bWw-PGI-eG48L2I-aGVsbG8", "https://a.example/?x=%2568ttps%253A%252F%252Fdeep.example%252Fa&y=%26%23104%3Bttp%26colon%3B%2F%2Fent.example%2Fb&z=a%26amp%3Bb",
+    "https://b.example/?" + "&".join(f"u{i}=http%3A%2F%2Fn{i}.example%2F" for i in range(10)), "https://c.example/?" + "&".join(f"p{i}=1" for i in range(31)) + "&q=%41", "https://d.example/?v=" + "a+" * 400 + "http://cut.example",
 )
 SENDERS = ("Team <news@example.org>", "IT support <help@micros0ft.com>", "Bank <alert@bank.example>")
 REPLIES = ("", "news@example.org", "reply@other.example", "help@micros0ft.com", "x@mail.example.net")
@@ -37,10 +39,16 @@ def _pick(values: tuple[str, ...], number: str = "doc_id", of: int = 0) -> str:
     return f"CASE {number} % {max(of, len(values))} {cases} ELSE '{values[0]}' END"
 
 
+def _or_null(value: str, every: int) -> str:
+    """``value``, or null in one of ``every`` rows."""
+    return f"CASE WHEN doc_id % {every} <> 3 THEN {value} END"
+
+
 MAIL_SQL = f"""
-SELECT doc_id AS email_id, {_pick(SUBJECTS, of=11)} AS subject,
-       coalesce(text, '') || '. ' || {_pick(PHRASES, of=23)} || ' ' || {_pick(LINKS, of=19)} AS text,
-       {_pick(SENDERS)} AS sender, {_pick(REPLIES, of=7)} AS reply_to, {_pick(AUTHS, of=13)} AS auth, {_pick(RECEIVED, of=17)} AS received, {_pick(FILES, of=29)} AS attachment
+SELECT doc_id AS email_id, {_or_null(_pick(SUBJECTS, of=11), 31)} AS subject,
+       {_or_null(f"coalesce(text, '') || '. ' || {_pick(PHRASES, of=23)} || ' ' || {_pick(LINKS, of=19)}", 83)} AS text,
+       {_or_null(_pick(SENDERS), 37)} AS sender, {_or_null(_pick(REPLIES, of=7), 41)} AS reply_to, {_or_null(_pick(AUTHS, of=13), 43)} AS auth,
+       {_or_null(_pick(RECEIVED, of=17), 47)} AS received, {_or_null(_pick(FILES, of=29), 53)} AS attachment
 FROM documents
 """
 
@@ -81,6 +89,19 @@ def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MAIL_FILES_SQL.replace("FROM documents", "FROM {docs}").replace("doc_id // 3", "doc_id div 3"), docs=docs.select("doc_id", "text"))
 
 
+#: Hosts whose addresses a fetch must or must not reach.
+HOSTS = (
+    "[::ffff:7f00:1]", "[::127.0.0.1]", "[64:ff9b::7f00:1]", "[2002:7f00:1::]:8080", "[2001::1]", "[::2]", "[2606:4700::1111]", "[2001:4860:4860:0:0:0:0:8888]", "127.1", "2130706433", "0x7f.0.0.1", "0177.0.0.1", "8.8.8.8", "134744072",
+    "localhost", "x.localhost:80", "192.0.0.9", "192.0.0.8", "[fe80::1%25eth0]", "[2001:db8::1]", "u@[::1]", "[1::2::3]", "1.2.3.4.5", "300.1.1.1", "[ff02::1]", "example.org", "[2001:20::1]",
+)
+TARGETS_SQL = f"SELECT doc_id AS email_id, -1 AS pos, 'http://' || {_pick(HOSTS)} || '/' AS url FROM documents"
+
+
+def fetch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql(TARGETS_SQL.replace("FROM documents", "FROM {docs}"), docs=docs.select("doc_id"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return spark.sql(REQUESTS_SQL.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {docs}"), docs=docs.select("doc_id"))

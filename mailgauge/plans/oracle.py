@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from mailgauge.functions import lexicon as L
-from mailgauge.plans.mail import FETCHED, MAIL_FILES_SQL, MAIL_SQL, PAGES_SQL, REQUESTS_SQL
+from mailgauge.functions.url import PRIVATE_4, PRIVATE_6, PUBLIC_4, PUBLIC_6
+from mailgauge.plans.mail import FETCHED, MAIL_FILES_SQL, PAGES_SQL, REQUESTS_SQL, TARGETS_SQL
+from mailgauge.plans.mail import MAIL_SQL as SENT_SQL
 
 
 def q(s: str) -> str:
@@ -41,6 +45,8 @@ def canonical(u: str) -> str:
     return f"(CASE WHEN {head} = '' THEN {u} ELSE lower({head}) || regexp_replace({rest}, '^([^?#]*)\\?(#.*)?$', '\\1\\2') END)"
 
 
+#: Messages, nulls as empty texts.
+MAIL_SQL = "SELECT email_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("subject", "text", "sender", "reply_to", "auth", "received", "attachment")) + f" FROM ({SENT_SQL})"
 #: Tables that other queries start from.
 URLS = f"""
 mail AS ({MAIL_SQL}),
@@ -70,11 +76,52 @@ DOMAIN_RISK = "(CASE WHEN host = '' THEN 0 ELSE least(100, " + " + ".join(f"CASE
 SUSPICIOUS = f"({words('netloc', (*L.SHORTENERS, 'xn--'))} > 0 OR contains(lower(url), '@') OR regexp_matches(lower(url), 'https?://[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') OR {words('lower(url)', L.URL_TOKENS)} > 0)"
 SHORT = either(f"host = {q(d)} OR ends_with(host, {q('.' + d)})" for d in L.SHORTENERS)
 LOGIN = f"({words('path_query', L.LOGIN_TOKENS)} > 0)"
-SIGNALS = URLS + f"""
-rated AS (SELECT *, {DOMAIN_RISK} AS domain_risk, {SHORT} AS short, {LOGIN} AS login, {SUSPICIOUS} AS odd FROM brands),
+_PCT, _ENT, _URL = "'%[0-9A-Fa-f]{2}'", "'&(#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,32});'", "'(?i)https?://[^\\s<>()\\[\\]{}\"'']+'"
+#: References that occur in these data, each replaced once; the ampersand last.
+_REFERENCES = (("&#104;", "h"), ("&colon;?", ":"), ("&quot;?", '"'), ("&middot;?", "·"), ("&copy;?", "©"), ("&amp;?", "&"))
+
+
+def unescaped(x: str) -> str:
+    for found, char in _REFERENCES:
+        x = f"regexp_replace({x}, {q(found)}, {q(char)}, 'g')"
+    return x
+
+
+def decoded64(x: str) -> str:
+    """The text of a base64 string of up to 4,000 characters, null for anything else."""
+    bare = f"rtrim(translate({x}, '-_', '+/'), '=')"
+    looks = f"(regexp_full_match({x}, '[A-Za-z0-9+/]+={{0,2}}') OR regexp_full_match({x}, '[A-Za-z0-9_-]+={{0,2}}'))"
+    return f"CASE WHEN length({x}) BETWEEN 16 AND 4000 AND {looks} AND length({bare}) % 4 <> 1 THEN TRY(left(decode(from_base64({bare} || repeat('=', (4 - length({bare}) % 4) % 4))), 600)) END"
+
+
+#: What the queries of URLs hide.
+HIDDEN = f"""
+queries AS (SELECT email_id, pos, url, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query FROM urls),
+pairs AS (SELECT *, list_filter(string_split(query, '&'), lambda p: p <> '') AS pairs FROM queries),
+params AS (SELECT email_id, pos, unnest(pairs[1:30]) AS p, generate_subscripts(pairs[1:30], 1) AS k FROM pairs),
+values_of AS (SELECT email_id, pos, k, left(v, 800) AS v, length(v) > 800 AS long FROM (SELECT *, url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' ')) AS v FROM params) WHERE v <> ''),
+layer_1 AS (SELECT *, CASE WHEN regexp_matches(v, {_ENT}) THEN {unescaped('v')} ELSE v END AS l1 FROM values_of),
+layer_2 AS (SELECT *, CASE WHEN regexp_matches(l1, {_PCT}) THEN url_decode(l1) ELSE l1 END AS l2 FROM layer_1),
+layer_3 AS (SELECT *, CASE WHEN regexp_matches(l1, {_PCT}) AND regexp_matches(l2, {_PCT}) THEN url_decode(l2) ELSE l2 END AS l3 FROM layer_2),
+coded AS (SELECT *, coalesce({decoded64('l3')}, {decoded64('v')}) AS c, list_transform(regexp_extract_all(l3, {_URL}), lambda u: {canonical('u')}) AS found,
+   CASE WHEN l1 <> v THEN ['html_unescape'] ELSE [] END || CASE WHEN l2 <> l1 THEN ['percent_decode'] ELSE [] END || CASE WHEN l3 <> l2 THEN ['percent_decode'] ELSE [] END AS steps FROM layer_3),
+spoken AS (SELECT *, coalesce(regexp_matches(c, 'https?://') OR contains(lower(c), '<html'), false) AS speaks FROM coded),
+all_found AS (SELECT *, found || CASE WHEN speaks THEN list_transform(regexp_extract_all(c, {_URL}), lambda u: {canonical('u')}) ELSE [] END AS every,
+   len(steps) > 0 OR regexp_matches(v, {_PCT}) OR long OR len(found) > 0 OR speaks AS shown FROM spoken),
+nested_rows AS (SELECT email_id, pos, u, row_number() OVER (PARTITION BY email_id, pos ORDER BY min(k * 1000 + i)) AS n FROM (SELECT email_id, pos, k, unnest(every) AS u, generate_subscripts(every, 1) AS i FROM all_found) GROUP BY email_id, pos, u),
+nested_of AS (SELECT email_id, pos, max(n) AS found, string_agg(u, ',' ORDER BY n) FILTER (WHERE n <= 8) AS nested FROM nested_rows GROUP BY email_id, pos),
+samples AS (SELECT *, row_number() OVER (PARTITION BY email_id, pos ORDER BY k) AS place FROM all_found WHERE shown),
+shown AS (SELECT email_id, pos, string_agg(array_to_string(steps, ','), ',' ORDER BY k) FILTER (WHERE len(steps) > 0) AS steps, string_agg(left(l3, 600), '|' ORDER BY k) AS texts, string_agg(c, '|' ORDER BY k) AS coded FROM samples WHERE place <= 8 GROUP BY email_id, pos),
+per_url AS (SELECT email_id, pos, bool_or(len(found) > 0) AS direct, bool_or(speaks) AS speaks FROM all_found GROUP BY email_id, pos),
+hidden AS (SELECT email_id, pos, p.url, least(len(pairs), 30)::INTEGER AS params, regexp_matches(query, {_PCT}) AS encoded, coalesce(direct, false) AS direct, coalesce(speaks, false) AS speaks, len(pairs) > 30 AS capped, coalesce(found, 0) > 8 AS nested_capped,
+   coalesce(nested, '') AS nested, coalesce(steps, '') AS steps, coalesce(texts, '') AS texts, coalesce(coded, '') AS coded
+   FROM pairs p LEFT JOIN per_url USING (email_id, pos) LEFT JOIN nested_of USING (email_id, pos) LEFT JOIN shown USING (email_id, pos)),
+"""
+SIGNALS = URLS + HIDDEN + f"""
+rated AS (SELECT b.*, {DOMAIN_RISK} AS domain_risk, {SHORT} AS short, {LOGIN} AS login, {SUSPICIOUS.replace("lower(url)", "lower(b.url)")} AS odd, encoded, direct, h.speaks, h.nested, capped, nested_capped FROM brands b JOIN hidden h USING (email_id, pos)),
 signals AS (SELECT *, CASE WHEN len(squat) > 0 THEN squat[1] WHEN len(hinted) > 0 THEN hinted[1] ELSE '' END AS brand,
    CASE WHEN len(squat) > 0 THEN 0.92 WHEN len(hinted) > 0 THEN 0.74 ELSE 0.0 END::DOUBLE AS similarity,
-   {named([("shortlink", "short"), ("brand-spoof", "len(squat) > 0"), ("login-intent", "login"), ("punycode", "contains(host, 'xn--')"), ("suspicious-pattern", "odd"), ("brand-spoof", "len(squat) = 0 AND len(hinted) > 0"), ("domain-high-risk", "domain_risk >= 35")])} AS flags,
+   {named([("shortlink", "short"), ("brand-spoof", "len(squat) > 0"), ("login-intent", "login"), ("punycode", "contains(host, 'xn--')"), ("suspicious-pattern", "odd"), ("encoded-query", "encoded"), ("base64-query", "speaks"), ("nested-url-param", "direct"), ("query-redirect", "nested <> ''"), ("brand-spoof", "len(squat) = 0 AND len(hinted) > 0"), ("domain-high-risk", "domain_risk >= 35")])} AS flags,
    least(100, domain_risk + CASE WHEN short THEN 16 ELSE 0 END + CASE WHEN len(squat) > 0 OR len(hinted) > 0 THEN 14 ELSE 0 END + CASE WHEN login THEN 12 ELSE 0 END) AS signal_risk FROM rated)
 """
 #: Fixed value: the white space that is taken off at the ends.
@@ -216,8 +263,6 @@ reports AS (SELECT email_id, pos, clean AS name, type, risk_score, class, urls,
 _ODD_TYPE = " OR ".join(f"(r.type = {q(k)} AND lower(regexp_extract(s.name, '[^/.][^/]*(\\.[^./]+)$', 1)) NOT IN ({', '.join(map(q, ends))}))" for k, ends in L.EXPECTED_SUFFIXES.items())
 _S_END = "lower(regexp_extract(s.name, '[^/.][^/]*(\\.[^./]+)$', 1))"
 _S_IN = lambda xs: f"{_S_END} IN ({', '.join(map(q, xs))})"
-_BYTE = lambda i: f"CAST(split_part(host, '.', {i}) AS BIGINT)"
-_PRIVATE = f"({_BYTE(1)} IN (0, 10, 127) OR {_BYTE(1)} >= 224 OR ({_BYTE(1)} = 172 AND {_BYTE(2)} BETWEEN 16 AND 31) OR ({_BYTE(1)} = 192 AND {_BYTE(2)} = 168) OR ({_BYTE(1)} = 169 AND {_BYTE(2)} = 254))"
 _STRING = lambda j, k: f"CASE WHEN json_type({j}, '$.{k}') = 'VARCHAR' THEN {j} ->> '$.{k}' END"
 _BUDGET = lambda k: "CASE path " + " ".join(f"WHEN {q(n)} THEN {b.get(k, 0)}" for n, b in L.BUDGETS.items()) + " END"
 CONTEXT = TRIAGE + f""",
@@ -242,8 +287,6 @@ SQL |= {
     "attachment_enriched": W + REPORTS + f""", last AS (SELECT * FROM reports WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY email_id, name ORDER BY pos DESC) = 1),
       j AS (SELECT s.email_id, s.pos, s.name, s.class, r.type, {_ODD_TYPE} AS odd, r.type = 'ole' AS macro, len(r.urls) > 0 AS linked, {_S_IN(L.ARCHIVES)} AS archive, {_S_IN(L.EXECUTABLES)} AS program FROM reports s JOIN last r ON s.email_id = r.email_id AND s.name = r.name)
       SELECT email_id, pos, name, type, odd AS extension_mismatch, {named([("archive", "archive"), ("executable-like", "program"), ("macro-suspected", "class = 'macro_risk'"), ("high-risk-extension", "class = 'high_risk'"), ("extension-mismatch", "odd"), ("macro-suspected", "macro AND class <> 'macro_risk'"), ("attachment-url-chain", "linked")])} AS flags FROM j""",
-    "fetch_policy": W + URLS.rstrip().rstrip(",") + f""", a AS (SELECT email_id, pos, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) AS scheme, host, CASE WHEN regexp_full_match(host, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') THEN {_PRIVATE} ELSE false END AS private FROM hosts)
-      SELECT email_id, pos, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN host = '' THEN 'missing_host' WHEN private THEN 'private_network_blocked' END AS refused, private FROM a""",
     "input_check": f"""WITH r AS ({REQUESTS_SQL}), j AS (SELECT doc_id, CASE WHEN json_valid(raw) AND starts_with(raw, '{{') THEN CAST(raw AS JSON) END AS j FROM r),
       n AS (SELECT *, CASE WHEN json_type(j, '$.attachments') = 'ARRAY' THEN list_transform(CAST(json_extract(j, '$.attachments') AS JSON[]), lambda x: CASE WHEN json_type(x) <> 'OBJECT' THEN '' ELSE trim(coalesce({_STRING('x', 'name')}, {_STRING('x', 'filename')}, '')) END) END AS names FROM j)
       SELECT doc_id, CASE WHEN trim(coalesce({_STRING('j', 'eml_path')}, '')) <> '' THEN 'unsupported_eml_path' WHEN json_type(j, '$.attachments') NOT IN ('ARRAY', 'NULL') THEN 'invalid_attachment_schema'
@@ -278,3 +321,36 @@ WITH s AS ({SQL["url_signals"]})
 SELECT email_id, printf('evd_%04d', row_number() OVER (PARTITION BY email_id ORDER BY pos)) AS evidence_id,
        sha256(CAST(to_json(struct_pack(c := 'url', p := url, s := 'url_intel', t := CASE WHEN flags = '' THEN []::VARCHAR[] ELSE list_sort(string_split(flags, ',')) END)) AS VARCHAR)) AS fingerprint FROM s
 """
+_FLAGS = [(n, t) for n, t in (("base64_decoded_query_value", "speaks"), ("nested_url_cap_hit", "nested_capped"), ("nested_url_in_query", "direct"), ("percent_encoded_query", "encoded"), ("query_param_cap_hit", "capped"))]
+SQL["url_obfuscation"] = W + URLS + HIDDEN.rstrip().rstrip(",") + f" SELECT email_id, pos, url, params, {named(_FLAGS)} AS flags, nested, steps, texts, coded FROM hidden"
+SQL["triage_decoded"] = W + TRIAGE + """,
+flags_of AS (SELECT email_id, string_agg(DISTINCT f, ',' ORDER BY f) AS flags FROM (SELECT email_id, unnest(string_split(flags, ',')) AS f FROM signals WHERE flags <> '') GROUP BY email_id),
+urls_of AS (SELECT email_id, u, row_number() OVER (PARTITION BY email_id ORDER BY min(pos * 1000 + n)) AS place FROM nested_rows WHERE n <= 8 GROUP BY email_id, u),
+lists_of AS (SELECT email_id, max(place) > 20 AS many, string_agg(u, ',' ORDER BY place) FILTER (WHERE place <= 20) AS nested FROM urls_of GROUP BY email_id),
+caps AS (SELECT email_id, bool_or(capped) AS capped, bool_or(nested_capped) AS nested_capped FROM hidden GROUP BY email_id)
+SELECT t.email_id, raw_score, verdict, coalesce(f.flags, '') AS flags, coalesce(l.nested, '') AS nested, array_to_string(list_filter([CASE WHEN capped THEN 'url_query_param_cap_hit' END, CASE WHEN nested_capped THEN 'url_query_nested_url_cap_hit' END, CASE WHEN many THEN 'query_nested_url_cap_hit' END], lambda x: x IS NOT NULL), ',') AS limits
+FROM triage t LEFT JOIN flags_of f USING (email_id) LEFT JOIN lists_of l USING (email_id) LEFT JOIN caps USING (email_id)"""
+SQL["text_layers"] = f"""WITH p AS ({PAGES_SQL}), c AS (SELECT page_id, left(html, 12000) AS t, length(html) > 12000 AS input_truncated FROM p),
+l1 AS (SELECT *, CASE WHEN regexp_matches(t, {_ENT}) THEN {unescaped('t')} ELSE t END AS a FROM c), l2 AS (SELECT *, CASE WHEN regexp_matches(a, {_PCT}) THEN url_decode(a) ELSE a END AS b FROM l1), l3 AS (SELECT *, CASE WHEN b <> a AND regexp_matches(b, {_PCT}) THEN url_decode(b) ELSE b END AS d FROM l2)
+SELECT page_id, array_to_string(CASE WHEN a <> t THEN ['html_unescape'] ELSE [] END || CASE WHEN b <> a THEN ['percent_decode'] ELSE [] END || CASE WHEN d <> b THEN ['percent_decode'] ELSE [] END, ',') AS steps,
+  len(regexp_extract_all(t, {_PCT}))::INTEGER AS percent, len(regexp_extract_all(t, {_ENT}))::INTEGER AS entities, md5(d) AS digest, input_truncated FROM l3"""
+
+
+def _ranges(x: str, nets, show) -> str:
+    return either(f"{x} BETWEEN {show(int(n.network_address))} AND {show(int(n.broadcast_address))}" for n in map(ipaddress.ip_network, nets))
+
+
+_NUMBER = lambda p: f"CASE WHEN {p} LIKE '0x%' THEN {p}::BIGINT WHEN {p} LIKE '0%' THEN list_reduce([0] || list_transform(string_split({p}, ''), lambda d: d::BIGINT), lambda a, d: a * 8 + d) ELSE {p}::BIGINT END"
+_V4 = "(0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9][0-9]{0,9})"
+_DIGITS = lambda n: f"'{n:032x}'"
+SQL["fetch_policy"] = W + URLS.rstrip().rstrip(",") + rf""", every AS (SELECT email_id, pos, url FROM urls UNION ALL SELECT * FROM ({TARGETS_SQL})),
+a AS (SELECT email_id, pos, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*):', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', '') AS place FROM every),
+b AS (SELECT *, CASE WHEN starts_with(place, '[') THEN regexp_extract(place, '^\[([^\]]*)\]', 1) ELSE regexp_replace(place, ':[0-9]*$', '') END AS host FROM a),
+c AS (SELECT *, CASE WHEN regexp_full_match(host, '{_V4}([.]{_V4}){{0,3}}') THEN list_transform(string_split(host, '.'), lambda p: {_NUMBER('p')}) END AS v4,
+   CASE WHEN contains(host, ':') THEN regexp_replace(host, '%.*$', '') END AS bare FROM b),
+d AS (SELECT *, CASE WHEN list_max(v4[1:-2]) > 255 OR v4[-1] >= 256 ** (5 - len(v4)) THEN NULL ELSE list_reduce([0::BIGINT] || v4[1:-2], lambda x, y: x * 256 + y) * (256 ** (5 - len(v4)))::BIGINT + v4[-1] END AS n4,
+   CASE WHEN regexp_matches(bare, '[0-9]+[.]') THEN regexp_extract(bare, '^(.*:)', 1) || (SELECT printf('%x:%x', x[1] * 256 + x[2], x[3] * 256 + x[4]) FROM (SELECT list_transform(string_split(regexp_extract(bare, '([^:]*)$', 1), '.'), lambda p: TRY_CAST(p AS BIGINT)) AS x)) ELSE bare END AS hex6 FROM c),
+e AS (SELECT *, list_filter(string_split(split_part(hex6, '::', 1), ':'), lambda g: g <> '') AS l, CASE WHEN contains(hex6, '::') THEN list_filter(string_split(split_part(hex6, '::', 2), ':'), lambda g: g <> '') ELSE [] END AS r FROM d),
+f AS (SELECT *, CASE WHEN len(string_split(hex6, '::')) <= 2 AND (len(l) + len(r) = 8 OR contains(hex6, '::')) THEN array_to_string(list_transform(l || CASE WHEN len(l) + len(r) < 8 THEN list_transform(range(8 - len(l) - len(r)), lambda z: '0') ELSE [] END || r, lambda g: lpad(g, 4, '0')), '') END AS h6 FROM e),
+g AS (SELECT *, host = 'localhost' OR ends_with(host, '.localhost') OR coalesce(CASE WHEN n4 IS NOT NULL THEN {_ranges('n4', PRIVATE_4, str)} AND NOT {_ranges('n4', PUBLIC_4, str)} WHEN h6 IS NOT NULL THEN {_ranges('h6', PRIVATE_6, _DIGITS)} AND NOT {_ranges('h6', PUBLIC_6, _DIGITS)} END, false) AS private FROM f)
+SELECT email_id, pos, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN host = '' THEN 'missing_host' WHEN private THEN 'private_network_blocked' END AS refused, private FROM g"""

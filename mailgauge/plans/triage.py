@@ -34,88 +34,121 @@ def _has(df: DataFrame, name: str, otherwise: Column) -> Column:
     return F.col(name) if name in df.columns else otherwise
 
 
-def _names(mail: DataFrame) -> Column:
-    """The attachments' names without white space around them, empty ones left out."""
-    names = _has(mail, "names", F.array("attachment"))
-    return F.filter(F.transform(names, T.strip), lambda x: x != "")
+def _names(many: bool) -> Column:
+    """The attachments' names without white space around them, empty ones left out; ``many``: there is a column of several."""
+    return F.filter(F.transform(F.col("names") if many else F.array("attachment"), T.strip), lambda x: x != "")
 
 
-def signals(mail: DataFrame, p: S.Policy = S.Policy(), decode: bool = False) -> DataFrame:
+#: Columns of a message that count as empty where they are null.
+TEXTS = ("subject", "text", "sender", "reply_to", "auth", "received", "attachment", "body", "html")
+
+
+def filled(mail: DataFrame) -> DataFrame:
+    return mail.withColumns({c: F.coalesce(c, F.lit("")) for c in TEXTS if c in mail.columns})
+
+
+@T.once
+def url_signals(high_domain: int) -> Column:
+    return F.transform(F.col("urls"), lambda u: T.bind(D.obfuscation(u), lambda hidden: U.url_signal(u, high_domain, hidden)))
+
+
+def with_url_signals(df: DataFrame, high_domain: int) -> DataFrame:
+    """``df`` plus url_signals, a signal of each of ``urls`` with what its query hides."""
+    return barrier(df, url_signals=url_signals(high_domain))
+
+
+@T.once
+def _of_text(many: bool) -> dict[str, Column]:
+    return {
+        "cues": F.struct(*T.nlp_cues(F.col("subject"), F.col("raw"), F.col("low"))),
+        "header": H.header_signals(F.col("auth"), F.col("received"), F.col("sender"), F.col("reply_to")),
+        "files": F.transform(_names(many), A.signal),
+    }
+
+
+@T.once
+def _score(p: S.Policy, web: bool) -> Column:
+    """The score of a message; ``web``: with the signals of pages that the gate asks for, where there are any."""
+    seen = F.when(F.col("url_gate.collect"), F.col("web_signals")) if web else F.array().cast(NO_SIGNALS)
+    score = S.pre_score(F.col("header"), F.col("url_signals"), seen, F.col("files"), F.col("cues"), p)
+    return F.when(F.size(seen) > 0, score).otherwise(F.col("first")) if web else score
+
+
+@T.once
+def _gates(p: S.Policy) -> dict[str, Column]:
+    return {
+        "url_gate": S.context_gate("url", F.col("url_signals"), F.col("first.risk_score"), ("shortlink", "brand-spoof", "login-intent"), p),
+        "file_gate": S.context_gate("attachment", F.col("files"), F.col("first.risk_score"), ("macro-suspected", "extension-mismatch", "executable-like"), p),
+    }
+
+
+@T.once
+def _outcome(p: S.Policy, urls: str, many: bool, html: bool, hidden: bool) -> dict[str, Column]:
+    chain = S.chain_flags(F.col(urls), _names(many), F.col("html") if html else F.lit(""))
+    if hidden:
+        chain = F.concat(chain, F.array_compact(F.array(F.when(F.size("hidden_links") > 0, F.lit("hidden_html_links")))))
+    verdict, final = V.final_verdict(F.col("scored.risk_score"), p)
+    return {
+        "risk_score": final, "route": F.col("scored.route"), "path": V.path_of(F.col("scored.route")), "verdict": verdict,
+        "spam_score": T.spam_score(F.col("low"), F.size("urls")), "indicators": F.array_distinct(F.concat("scored.reasons", chain)),
+    }
+
+
+@T.once
+def _record(fetch: bool) -> list[Column | str]:
+    nested, n_urls, n_files = U.nested_urls(F.col("url_signals")), F.size("url_signals"), F.size("files")
+    return [
+        "email_id", "risk_score", F.col("scored.risk_score").alias("raw_score"), "route", "path", "verdict", "spam_score", "indicators",
+        V.confidence_of(F.col("risk_score"), F.col("verdict"), F.lit(0.0), F.lit(0)).alias("confidence"),
+        V.labels(F.col("verdict"), F.col("risk_score"), F.col("spam_score")).alias("labels"),
+        S.component_scores(F.col("cues"), F.col("url_signals"), F.col("files")).alias("components"),
+        S.admission("web", F.col("url_gate"), F.col("url_gate.collect") & F.lit(fetch), n_urls, fetch).alias("web_admission"),
+        S.admission("attachment", F.col("file_gate"), F.col("file_gate.collect"), n_files, None).alias("attachment_admission"),
+        F.slice(nested, 1, MOST_NESTED).alias("nested_urls"), limits_hit(F.col("url_signals"), nested).alias("limits_hit"),
+        "urls", "url_signals", "files", "header", "cues", "subject", "sender", "reply_to",
+    ]
+
+
+def signals(mail: DataFrame, p: S.Policy = S.Policy()) -> DataFrame:
     """``mail`` (email_id, subject, text, sender, reply_to, auth, received, attachment) plus urls, cues, header, url_signals, files.
 
     Optional columns of ``mail``: body (text of the body), known_urls (found before, they come first), html_urls (they
-    come last), names (of attachments, instead of attachment). ``decode``: also look into the queries of URLs, in Arrow
-    batches of Python; what is found there gives flags, nested_urls and limits_hit.
+    come last), names (of attachments, instead of attachment). Nulls count as empty. The queries of URLs are
+    decoded; what they hide gives flags, nested URLs and limits that were met.
     """
-    none = F.array().cast("array<string>")
+    mail, none = filled(mail), F.array().cast("array<string>")
     body = _has(mail, "body", F.lit(""))
     urls = U.extract_urls(F.col("text"))
     if {"known_urls", "body", "html_urls"} & set(mail.columns):
         urls = F.array_distinct(F.concat(_has(mail, "known_urls", none), urls, U.extract_urls(body), _has(mail, "html_urls", none)))
     out = barrier(mail, urls=urls, raw=T.cue_text(F.col("subject"), F.col("text"), body))
     out = barrier(out, low=F.lower("raw"))
-    if decode:
-        out = out.withColumn("hidden", D.obfuscations_column(F.col("urls")))
-        signal = lambda u, i: U.url_signal(u, p.high_domain, F.get(F.col("hidden"), i))
-    else:
-        signal = lambda u: U.url_signal(u, p.high_domain)
-    return barrier(
-        out,
-        cues=F.struct(*T.nlp_cues(F.col("subject"), F.col("raw"), F.col("low"))),
-        header=H.header_signals(F.col("auth"), F.col("received"), F.col("sender"), F.col("reply_to")),
-        url_signals=F.transform("urls", signal),
-        files=F.transform(_names(mail), A.signal),
-    )
+    return barrier(out, url_signals=url_signals(p.high_domain), **_of_text("names" in mail.columns))
 
 
-def limits_hit(hidden: Column, nested: Column, most: int = MOST_NESTED) -> Column:
+def limits_hit(signals: Column, nested: Column, most: int = MOST_NESTED) -> Column:
     """Names of the bounds that decoding the queries of a message's URLs has met."""
-    some = lambda flag: F.exists(hidden, lambda h: F.array_contains(h["flags"], flag))
+    some = lambda flag: F.exists(signals, lambda s: F.array_contains(s["query_flags"], flag))
     tests = [("url_query_param_cap_hit", some("query_param_cap_hit")), ("url_query_nested_url_cap_hit", some("nested_url_cap_hit")), ("query_nested_url_cap_hit", F.size(nested) > most)]
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
 
 
-def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy(), fetch: bool = False, decode: bool = False) -> DataFrame:
+def triage(mail: DataFrame, web: DataFrame | None = None, p: S.Policy = S.Policy(), fetch: bool = False) -> DataFrame:
     """The record of each message: score, route, path, verdict, labels, confidence, reasons and what context was admitted.
 
     ``web``, if given and ``fetch`` is on, holds (email_id, web_signals) of fetched pages, which count where the
     first score's gate asks for them. ``mail`` may have the optional columns of ``signals``, html (a body) and
-    hidden_links; the columns nested_urls and limits_hit are filled with ``decode``.
+    hidden_links. nested_urls and limits_hit tell what the queries of URLs hide.
     """
-    out = signals(mail, p, decode)
-    none = F.array().cast(NO_SIGNALS)
-    out = barrier(out, first=S.pre_score(F.col("header"), F.col("url_signals"), none, F.col("files"), F.col("cues"), p))
-    out = barrier(
-        out,
-        url_gate=S.context_gate("url", F.col("url_signals"), F.col("first.risk_score"), ("shortlink", "brand-spoof", "login-intent"), p),
-        file_gate=S.context_gate("attachment", F.col("files"), F.col("first.risk_score"), ("macro-suspected", "extension-mismatch", "executable-like"), p),
-    )
+    out = barrier(signals(mail, p), first=_score(p, False))
+    out = barrier(out, **_gates(p))
     if web is not None and fetch:
-        out = out.join(web, "email_id", "left")
-        seen = F.when(F.col("url_gate.collect"), F.col("web_signals"))
-        second = S.pre_score(F.col("header"), F.col("url_signals"), seen, F.col("files"), F.col("cues"), p)
-        out = barrier(out, scored=F.when(F.size(seen) > 0, second).otherwise(F.col("first")))
+        out = barrier(out.join(web, "email_id", "left"), scored=_score(p, True))
     else:
         out = out.withColumn("scored", F.col("first"))
-    score, chain = F.col("scored.risk_score"), S.chain_flags(_has(mail, "known_urls", F.col("urls")), _names(mail), _has(mail, "html", F.lit("")))
-    if "hidden_links" in mail.columns:
-        chain = F.concat(chain, F.array_compact(F.array(F.when(F.size("hidden_links") > 0, F.lit("hidden_html_links")))))
-    verdict, final = V.final_verdict(score, p)
-    spam = T.spam_score(F.col("low"), F.size("urls"))
-    n_urls, n_files = F.size("url_signals"), F.size("files")
-    nested = U.nested_urls(F.col("url_signals"))
-    limits = limits_hit(F.col("hidden"), nested) if decode else F.array().cast("array<string>")
-    out = barrier(out, risk_score=final, route=F.col("scored.route"), path=V.path_of(F.col("scored.route")), verdict=verdict, spam_score=spam, indicators=F.array_distinct(F.concat("scored.reasons", chain)))
-    return out.select(
-        "email_id", "risk_score", F.col("scored.risk_score").alias("raw_score"), "route", "path", "verdict", "spam_score", "indicators",
-        V.confidence_of(F.col("risk_score"), F.col("verdict"), F.lit(0.0), F.lit(0)).alias("confidence"),
-        V.labels(F.col("verdict"), F.col("risk_score"), F.col("spam_score")).alias("labels"),
-        S.component_scores(F.col("cues"), F.col("url_signals"), F.col("files")).alias("components"),
-        S.admission("web", F.col("url_gate"), F.col("url_gate.collect") & F.lit(fetch), n_urls, fetch).alias("web_admission"),
-        S.admission("attachment", F.col("file_gate"), F.col("file_gate.collect"), n_files, None).alias("attachment_admission"),
-        F.slice(nested, 1, MOST_NESTED).alias("nested_urls"), limits.alias("limits_hit"),
-        "urls", "url_signals", "files", "header", "cues", "subject", "sender", "reply_to",
-    )
+    there = set(mail.columns)
+    out = barrier(out, **_outcome(p, "known_urls" if "known_urls" in there else "urls", "names" in there, "html" in there, "hidden_links" in there))
+    return out.select(*_record(fetch))
 
 
 def of_messages(parsed: DataFrame) -> DataFrame:
@@ -141,10 +174,10 @@ def emergency(triaged: DataFrame, failed: Column) -> DataFrame:
     return triaged.withColumns({n: F.when(failed, v.cast(triaged.schema[n].dataType)).otherwise(F.col(n)) for n, v in fixed.items()})
 
 
-def triage_messages(parsed: DataFrame, p: S.Policy = S.Policy(), decode: bool = True) -> DataFrame:
+def triage_messages(parsed: DataFrame, p: S.Policy = S.Policy()) -> DataFrame:
     """The triage of messages as ``parse_messages`` gives them, a row each; those with a parse_error get the emergency record."""
     keyed = parsed.withColumn("email_id", F.struct("email_id", F.col("parse_error").isNotNull().alias("failed")))
-    out = emergency(triage(of_messages(keyed), p=p, decode=decode), F.col("email_id.failed"))
+    out = emergency(triage(of_messages(keyed), p=p), F.col("email_id.failed"))
     return out.withColumn("email_id", F.col("email_id.email_id"))
 
 

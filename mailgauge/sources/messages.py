@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgauge.functions.decode import urls_in
+from mailgauge.functions.arrow import urls_in
 from mailgauge.functions.html import features
 
 TEXTS = ("message_id", "date", "sender", "reply_to", "return_path", "subject", "text", "body_text", "body_html", "headers_raw", "format")

@@ -1,12 +1,11 @@
 """Signals, scores and verdicts of single messages against values worked out by hand."""
 
-import base64
-
 import pytest
 from pyspark.sql import functions as F
 
 from mailgauge.functions import attachment as A
-from mailgauge.functions import decode, html
+from mailgauge.functions import html
+from mailgauge.functions.arrow import canonical
 from mailgauge.functions import header as H
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
@@ -60,7 +59,7 @@ def test_header_results(spark):
 
 @pytest.mark.parametrize(("url", "want"), [("HTTP://A.Com/B?", "http://a.com/B"), ("https://x.y/#", "https://x.y/"), ("http://x.y/a?#f", "http://x.y/a#f"), ("nothing", "nothing")])
 def test_canonical_url(spark, url, want):
-    assert one(spark, U.canonicalize(F.col("u")).alias("u"), u=url).u == want == decode.canonical(url)
+    assert one(spark, U.canonicalize(F.col("u")).alias("u"), u=url).u == want == canonical(url)
 
 
 @pytest.mark.parametrize(("host", "brands", "risk"), [("micros0ft.com", ["microsoft"], 30), ("paypal-billing.com", ["paypal"], 36), ("secure-login-update-pay.xyz", [], 66), ("xn--a.org", [], 45), ("example.org", [], 0)])
@@ -122,14 +121,6 @@ def test_redaction(spark):
     assert r.b.startswith("https://x.y/p?token=%3Credacted%3Aba7816bf8f01%3E&q=1")
 
 
-def test_decoding():
-    assert decode.text_layers("a%20b &amp; c") | {"percent": 1} == {"steps": ["html_unescape", "percent_decode"], "percent": 1, "entities": 1, "truncated": False, "text": "a b & c"}
-    coded = base64.b64encode(b"https://deep.example/login").decode()
-    assert decode.base64_text(coded)["text"] == "https://deep.example/login" and decode.base64_text("short") is None
-    assert decode.data_uri("data:text/plain;base64,aGVsbG8=")["text"] == "hello" and decode.data_uri("x") is None
-    assert decode.obfuscation(f"https://a.b/?u=https%3A%2F%2Fevil.example%2F&z={coded}")["nested"] == ["https://evil.example/", "https://deep.example/login"]
-
-
 def test_html_features():
     f = html.features('<title>T</title><form><input type="password" name="otp"></form><iframe></iframe><a href="https://evil.example">https://bank.example/x</a><script src="//c.example/x.js">password</script>verify account')
     assert (f["title"], f["forms"], f["passwords"], f["otps"], f["iframes"], f["external_scripts"], f["keywords"], f["hidden_links"]) == ("T", 1, 1, 1, 1, 1, ["verify account"], ["https://evil.example"])
@@ -205,16 +196,16 @@ def test_white_space_at_the_ends(spark):
 def test_decoded_queries(spark):
     text = "https://a.example/?u=https%3A%2F%2Fevil.example%2Fx https://a.example/p"
     df = spark.createDataFrame([("m", "", text, "", "", "", "", ""), ("n", "", "no link", "", "", "", "", "")], MAIL)
-    r, none = P.triage(df, decode=True).orderBy("email_id").collect()
+    r, none = P.triage(df).orderBy("email_id").collect()
     assert r.url_signals[0].risk_flags == ["encoded-query", "nested-url-param", "query-redirect"] and r.url_signals[1].risk_flags == []
     assert (r.nested_urls, r.limits_hit, none.nested_urls, none.limits_hit) == (["https://evil.example/x"], [], [], [])
-    assert r.raw_score > triaged(spark, text=text).raw_score
+    assert r.raw_score > triaged(spark, text="https://a.example/ https://a.example/p").raw_score
 
 
 def test_bounds_of_nested_urls(spark):
     link = lambda i: "https://a.example/?" + "&".join(f"u{j}=https%3A%2F%2Fe{i}-{j}.example" for j in range(9))
     df = spark.createDataFrame([("m", "", " ".join(map(link, range(3))) + " https://b.example/?" + "&".join(f"p{i}=1" for i in range(31)), "", "", "", "", "")], MAIL)
-    r = P.triage(df, decode=True).first()
+    r = P.triage(df).first()
     assert len(r.nested_urls) == 20 and r.limits_hit == ["url_query_param_cap_hit", "url_query_nested_url_cap_hit", "query_nested_url_cap_hit"]
 
 
@@ -243,3 +234,38 @@ def test_traffic_assessment(spark):
     assert (r.port_scan, r.dos, r.benign) == (True, False, False)
     assert X.assess(df(quiet), "src", "port", "syn", "at").first().asDict() == {"port_scan": False, "dos": False, "beaconing": True, "benign": False}
     assert X.assess(df([]), "src", "port", "syn", "at").first().benign
+
+
+def test_null_texts_count_as_empty(spark):
+    texts = ["subject", "text", "sender", "reply_to", "auth", "received", "attachment"]
+    none = spark.createDataFrame([("m", *[None] * 7)], MAIL)
+    empty = spark.createDataFrame([("m", *[""] * 7)], MAIL)
+    assert P.triage(none).first() == P.triage(empty).first()
+    said = spark.createDataFrame([("m", None, "See you at lunch.", None, None, None, None, None)], MAIL)
+    assert (P.triage(said).first().raw_score, P.triage(said).first().urls) == (0, [])
+    r = one(spark, *[c.alias(n) for c, n in zip(T.nlp_cues(*[F.lit(None).cast("string")] * 3), "abcdefghijk")])
+    assert set(r[:7]) == {0.0} and T.CUES and texts
+
+
+ADDRESSES = {
+    "127.1": True, "2130706433": True, "0x7f.1": True, "0177.0.0.1": True, "8.8.8.8": False, "134744072": False, "010.8.8.8": False, "256.1.1.1": False, "1.2.3.4.5": False, "192.0.0.9": False, "192.0.0.8": True, "100.64.0.1": False,
+    "::ffff:7f00:1": True, "::127.0.0.1": True, "64:ff9b::7f00:1": True, "2002:7f00:1::": True, "2001::1": True, "::2": True, "::": True, "fe80::1%eth0": True, "2606:4700::1111": False, "2001:4860:4860:0:0:0:0:8888": False, "2001:20::1": False,
+    "1::2::3": False, "1:2:3:4:5:6:7": False, "fc00::1": True, "ff02::1": True, "localhost": True, "x.localhost": True, "example.org": False, "": False,
+}
+
+
+def test_addresses_that_are_not_public(spark):
+    import ipaddress
+    import random
+
+    r = random.Random(3)
+    known = dict(ADDRESSES)
+    for start in ("2000::", "2001::", "2001:db8::", "2001:30::", "2002::", "fc00::", "fe80::", "100::", "400::", "5000::", "::ffff:0:0"):
+        for bits in (8, 64, 100):
+            ip = ipaddress.IPv6Address((int(ipaddress.IPv6Address(start)) + r.getrandbits(bits)) % (1 << 128))
+            known[str(ip)] = known[ip.exploded] = ip.is_private or ip.is_reserved or ip.is_multicast or ip.is_unspecified
+    for _ in range(200):
+        ip = ipaddress.IPv4Address(r.getrandbits(32))
+        known[str(ip)] = known[str(int(ip))] = ip.is_private or ip.is_reserved or ip.is_multicast
+    rows = spark.createDataFrame([(h,) for h in known], "h string").select("h", U.private_address(F.col("h")).alias("p")).collect()
+    assert {x.h: x.p for x in rows} == known
