@@ -80,23 +80,42 @@ def postfix(text: str) -> list[str]:
 
 
 def leading(text: str) -> str:
-    """``text`` up to the first operand or closing parenthesis that can't follow, less what keeps the rest from parsing; all of it if nothing parses."""
-    ends, operand, depth = [], False, 0
+    """The longest start of ``text`` that parses, all of it if none does; in one pass.
+
+    A start ends behind an operand outside of parentheses. What a ``with`` is followed by must be one identifier, also
+    in parentheses; where it isn't, no longer start parses. Of the identifiers of a parenthesis two are held, as one or
+    more is all that counts.
+    """
+    end, operand, groups, exception = len(text), False, [set()], [False]
+    known = False
     for found in _TOKEN.finditer(text):
         token = found.group().lower()
-        if token not in _ORDER and (operand if token != ")" else not operand or not depth):
-            break
-        depth += (token == "(") - (token == ")")
-        operand = token not in _ORDER and token != "("
-        if operand and not depth:
-            ends.append(found.end())
-    for end in reversed(ends):
-        try:
-            evaluate(text[:end])
-        except Bad:
-            continue
-        return text[:end]
-    return text
+        if token in _ORDER:
+            if not operand:
+                break
+            operand, exception[-1] = False, token == "with"
+        elif token == "(":
+            if operand:
+                break
+            groups.append(set())
+            exception.append(False)
+        elif token == ")":
+            if not operand or len(groups) == 1:
+                break
+            inner, _ = groups.pop(), exception.pop()
+            if exception[-1] and len(inner) != 1:
+                break
+            if not exception[-1] and len(groups[-1]) < 2:
+                groups[-1].update(inner)
+        else:
+            if operand:
+                break
+            operand = True
+            if not exception[-1] and len(groups[-1]) < 2:
+                groups[-1].add(token)
+        if operand and len(groups) == 1:
+            end, known = found.end(), True
+    return text[:end] if known else text
 
 
 def binds(identifier: str) -> float:
@@ -104,7 +123,10 @@ def binds(identifier: str) -> float:
 
 
 def evaluate(text: str) -> tuple[set[str], float]:
-    """The identifiers of an expression and how far it binds: and takes the stricter side, or the looser, with loosens."""
+    """The identifiers of an expression and how far it binds: and takes the stricter side, or the looser, with loosens.
+
+    The larger side's set takes in the smaller one's, so a long chain costs what its identifiers do.
+    """
     stack: list[tuple[set[str], float]] = []
     for token in postfix(text):
         if token not in _ORDER:
@@ -113,7 +135,12 @@ def evaluate(text: str) -> tuple[set[str], float]:
         (b, y), (a, x) = stack.pop(), stack.pop()
         if token == "with" and len(b) != 1:
             raise Bad(text)
-        stack.append({"or": (a | b, min(x, y)), "and": (a | b, max(x, y)), "with": (a, max(0.0, x - EXCEPTION))}[token])
+        if token == "with":
+            stack.append((a, max(0.0, x - EXCEPTION)))
+            continue
+        both, fewer = (a, b) if len(a) >= len(b) else (b, a)
+        both.update(fewer)
+        stack.append((both, min(x, y) if token == "or" else max(x, y)))
     return stack[0]
 
 
