@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +52,39 @@ class Segmenter:
         self.score = {w: math.log(n / total) for w, n in counts.items() if n > 0}
         for w in SEEDS:
             self.score[w] = math.log(max(counts.get(w, 0), floor) / total)
-        # A word unknown to the model gets less with each letter; words are as long as the model's longest at most.
-        self.longest = max(map(len, self.score))
-        self.unknown = [math.log(10 / total) - n * math.log(10) for n in range(self.longest + 1)]
+        # A word unknown to the model gets less with each letter.
+        self.start, self.letter = math.log(10 / total), math.log(10)
+        self.words: ahocorasick.Automaton | None = None
         self.kept: dict[str, list[str]] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None, "kept": {}}
+
+    def ending(self, run: str) -> dict[int, list[str]]:
+        """The known words of a run by the place behind their last letter."""
+        if self.words is None:
+            self.words = ahocorasick.Automaton()
+            for w in self.score:
+                self.words.add_word(w, w)
+            self.words.make_automaton()
+        out: dict[int, list[str]] = {}
+        for at, word in self.words.iter(run):
+            out.setdefault(at + 1, []).append(word)
+        return out
+
     def __call__(self, run: str) -> list[str]:
         if run in self.kept:
             return self.kept[run]
-        best, back = [0.0], [0]
+        # Known words come from the automaton; of the places where an unknown word could start only the best is held, so
+        # time is that of the run's letters and of the known words in it.
+        best, back, known = [0.0], [0], self.ending(run)
+        start, worth = 0, 0.0
         for end in range(1, len(run) + 1):
-            choice = max((best[i] + self.score.get(run[i:end], self.unknown[end - i]), i) for i in range(max(0, end - self.longest), end))
+            if (here := best[end - 1] + (end - 1) * self.letter) >= worth:
+                start, worth = end - 1, here
+            ways = [(best[start] + self.start - (end - start) * self.letter, start)]
+            ways += [(best[end - len(w)] + self.score[w], end - len(w)) for w in known.get(end, ())]
+            choice = max(ways)
             best.append(choice[0])
             back.append(choice[1])
         out, end = [], len(run)
@@ -69,7 +92,7 @@ class Segmenter:
             out.append(run[back[end] : end])
             end = back[end]
         out.reverse()
-        if len(self.kept) < 100_000:
+        if len(self.kept) < 100_000 and len(run) < 64:
             self.kept[run] = out
         return out
 
@@ -135,24 +158,28 @@ def score(urls: DataFrame, segmenter: Segmenter, odds: DataFrame) -> DataFrame:
     return tokens.groupBy("host", "path").agg(F.sum(part).cast("double").alias("known"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", html_col: str = "html", rare: int = RARE) -> DataFrame:
     """``pages`` plus host, path, rule, verdict and block_odds, the classifier's log-odds for blocking.
 
-    The longest fitting rule decides; without one the classifier does, blocking at log-odds over 0. A null
-    URL or one without ``://`` has no tokens and is allowed, as is every URL of a table from which nothing
-    can be learnt. Repeated rows are judged alike; other columns pass through, but for ones of the added names.
+    The longest fitting rule decides; without one the classifier does, blocking at log-odds over 0. ``rare``: the segmenter
+    knows the words that are at least one in so many of all words of the pages, by their share at every size; so as many
+    words at most. A null URL or one without ``://`` has no tokens and is allowed, as is every URL of a table from which
+    nothing can be learnt. Very long URLs and texts: linear time. Repeated rows are judged alike; other columns pass
+    through, whatever their names, but for ones of the added names, which are replaced. Empty table: an empty result.
     """
-    host, path = url_parts(F.col(url_col))
+    made = ("host", "path", "rule", "verdict", "block_odds")
+    pages = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in made]).alias("__all"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    host, path = url_parts(F.col("url"))
     parts = pages.select(host.alias("host"), path.alias("path"))
-    segmenter = Segmenter(word_counts(pages, html_col))
+    segmenter = Segmenter(word_counts(pages, "html", rare))
     odds, prior = learn(parts, segmenter)
 
     known = score(parts, segmenter, odds).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "known")
-    out = pages.withColumns({"host": host, "path": path})
+    out = pages.select("__all", host.alias("host"), path.alias("path"))
     out = out.withColumn("__best", best_rule(F.col("host"), F.col("path"), rules)).join(known.withColumnRenamed("known", "__known"), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
     out = out.withColumn("block_odds", F.coalesce(F.lit(prior) + F.col("__known"), F.lit(-math.inf)))
     own = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.coalesce(F.col("__best.verdict"), own)).drop("__best", "__host", "__path", "__known")
+    return out.withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.coalesce(F.col("__best.verdict"), own)).select("__all.*", *made)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

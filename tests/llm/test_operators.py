@@ -255,7 +255,7 @@ def test_segmentation_is_the_likeliest(monkeypatch):
         return [[x]] + [[x[:i], *rest] for i in range(1, len(x)) for rest in split(x[i:])]
 
     for run in ("freebets", "thenext", "zzthe"):
-        score = lambda ws: sum(s.score.get(w, s.unknown[len(w)]) for w in ws)
+        score = lambda ws: sum(s.score.get(w, s.start - len(w) * s.letter) for w in ws)
         assert score(s(run)) == pytest.approx(max(map(score, split(run))))
 
 
@@ -594,3 +594,69 @@ def test_frequent_words(spark):
     got = {tuple(r) for r in url_filter.frequent(spark.createDataFrame(rows, "w string, n long"), 500).collect()}
     assert got == {r for r in rows if r[1] * 500 >= sum(n for _, n in rows)} and len(got) == 6
     assert url_filter.frequent(spark.createDataFrame([], "w string, n long"), 8).count() == 0
+
+
+# 3 and 6 on long inputs ------------------------------------------------------
+
+
+def test_segmenter_equals_all_splits():
+    """Against Viterbi over every substring, with words as long as the run."""
+    import math
+
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("abc"), r.integers(1, 6))) for _ in range(40)] + ["abcabcabcabc"]
+    s = url_filter.Segmenter({w: int(r.integers(1, 50)) for w in words})
+    for _ in range(300):
+        run = "".join(r.choice(list("abcd"), r.integers(1, 24)))
+        best, back = [0.0], [0]
+        for end in range(1, len(run) + 1):
+            ways = [(best[i] + s.score.get(run[i:end], s.start - (end - i) * math.log(10)), i) for i in range(end)]
+            best.append(max(ways)[0])
+            back.append(max(ways)[1])
+        assert "".join(s(run)) == run
+        got, at = 0.0, 0
+        for w in s(run):
+            got, at = got + s.score.get(w, s.start - len(w) * math.log(10)), at + len(w)
+        assert abs(got - best[-1]) < 1e-9
+
+
+def test_segmenter_takes_linear_time():
+    import time
+
+    s = url_filter.Segmenter({"a" * 5000: 3, "word": 9, "x" * 100_000: 1})
+    began = time.process_time()
+    assert "".join(s("a" * 20_000 + "word" * 100_000)) and len(s("q" * 1_000_000)) == 1
+    assert time.process_time() - began < 6
+
+
+def test_url_filter_keeps_columns_of_any_name(spark):
+    rows = [(1, "https://casino.example/x", "<p>casino words</p>", "a", "b", 1, 2), (2, None, None, None, None, None, None), (3, "https://" + "q" * 5000 + "/y", "", "h", "p", 3, 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __host string, __path string, __best int, __known int")
+    out = url_filter.judge(df, url_filter.RULES)
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict", "block_odds"]
+    assert sorted((r.page_id, r["__host"], r["__best"], r["__known"]) for r in out.collect()) == [(1, "a", 1, 2), (2, None, None, None), (3, "h", 3, 4)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_start_of_expression_equals_trying_all(seed):
+    r = np.random.default_rng(seed)
+    for _ in range(400):
+        text = " ".join(r.choice(["mit", "gpl-2.0", "x", "(", ")", "and", "or", "with", ",", "with", "("], r.integers(1, 14)))
+        want = text
+        for end in sorted({m.end() for m in licenses._TOKEN.finditer(text)}, reverse=True):
+            try:
+                licenses.evaluate(text[:end])
+            except licenses.Bad:
+                continue
+            want = text[:end]
+            break
+        assert licenses.leading(text) == want, text
+
+
+def test_licence_expressions_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for long in ("mit with (a or b)" + " or c" * 200_000, "mit" + " or c" * 200_000, " or ".join(f"a{i}" for i in range(120_000)), "(" * 1_000_000, "(" * 300_000 + "mit" + ")" * 300_000):
+        licenses.scan(f"SPDX-License-Identifier: {long}")
+    assert time.process_time() - began < 15
