@@ -100,11 +100,11 @@ def _bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_labels: int = LABELS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_labels: int = LABELS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model of labels' column quality from the rows of (doc_id, text) that have a label and aren't held out.
 
     Bucket counts of each class come from the rows of at most ``most_labels`` labels; the support vector model from
-    at most ``sample`` rows of each class, of about SAMPLE_BYTES of text, three quarters of them, and the sigmoid from the
+    at most ``sample`` rows of each class, of about ``sample_bytes`` of text, three quarters of them, and the sigmoid from the
     other quarter, weighted to the classes' shares. Both samples are those of the smallest hash, so that reruns agree.
     Repeated labels of one document: the smallest counts. None if a class has no rows.
     """
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_labels: i
     thin = rows.select("doc_id", "quality", F.xxhash64("data").alias("h"), F.length("data").cast("long").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("quality").orderBy(order, "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1))
     drawn = [thin.where(F.col("quality") == q).orderBy(order, "doc_id", "h").limit(sample) for q in (0, 1)]
-    picked = drawn[0].unionAll(drawn[1]).withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) < SAMPLE_BYTES).select("doc_id", "h").distinct()
+    picked = drawn[0].unionAll(drawn[1]).withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) < sample_bytes).select("doc_id", "h").distinct()
     chosen = rows.withColumn("h", F.xxhash64("data")).join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     got = chosen.select("doc_id", "quality", "data").mapInArrow(find, "doc_id long, quality int, found array<int>").toArrow().sort_by([("doc_id", "ascending")])
     ids, y01 = got["doc_id"].to_numpy(), got["quality"].to_numpy()
