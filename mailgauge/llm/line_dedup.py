@@ -37,7 +37,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .where(F.col("__n") >= min_docs)
     )
     # Computed once: the join then meets both sides' own shuffles, whose hot partitions Spark splits.
-    shared = cut(shared)
+    # In few files: of all lines only few are shared by so many.
+    shared = cut(shared.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)))
     gone = hashed.join(shared, ["__h", "__g"]).where("__id <> __last").groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__gone"))
     out = docs.withColumns({"__id": ident, "__row": row}).join(gone, ["__id", "__row"], "left")
     out = out.withColumns({"__lines": F.split(text, "\n", -1)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailgauge.llm.common import WORD, cut, table
+from mailgauge.llm.common import WORD, cut, packed, table
 
 #: Ranges of virtual finish time, in which the cut is searched.
 RANGES = 65536
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
     a, b, t = one.withColumn("in_bucket", F.sum("size").over(inner)).alias("a"), sums.alias("b"), targets.alias("t")
     placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")))
     placed = placed.join(t, F.col("a.source").eqNullSafe(F.col("t.source")))
-    placed = cut(placed.select("a.doc_id", "a.source", "size", "source_size", "target", (F.col("in_bucket") + F.col("before")).alias("upto"), "key", *told))
+    placed = cut(packed(placed.select("a.doc_id", "a.source", "size", "source_size", "target", (F.col("in_bucket") + F.col("before")).alias("upto"), "key", *told), sized.count()))
     real = (F.col("size") > 0) & (F.col("target") > 0)
     passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
     items = placed.where(real).select("*", passes).withColumn("range", _range(F.col("pass")))
