@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import bpe, line_dedup, mixing, quality_classifier, simhash
-from mailgauge.llm.common import cut, small, table
+from mailgauge.llm.common import cut, packed, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
     docs = docs.select(COLUMNS).withColumn("row", F.concat(F.hex(F.xxhash64(*told)), F.lit("-"), F.hex(F.xxhash64(F.lit(4), *told))))
     taken = mixing.mix(docs, row=F.col("row")).groupBy("row").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")
-    taken = cut(taken)
+    taken = cut(packed(taken, docs.count()))
     times = lambda n: F.explode(F.sequence(F.lit(1), F.expr(n))).alias("time")
     each = docs.join(taken.where("copies >= n"), "row").select(*COLUMNS, times("copies div n"))
     left = docs.join(small(taken.where("copies % n > 0"), 10_000), "row").select(*COLUMNS, "n", "copies").distinct().select(*COLUMNS, times("copies % n"))
