@@ -17,7 +17,8 @@ from mailgauge.operators import stages as G
 from mailgauge.operators import traffic as X
 from mailgauge.operators import verdict as V
 from mailgauge.plans import triage as P
-from mailgauge.plans.mail import FETCHED, fetch_targets, mail, mail_files, mail_pages, requests
+from mailgauge.plans.mail import FETCHED, PATHS, fetch_targets, json_mail, mail, mail_files, mail_pages, requests
+from mailgauge.sources import plain
 from mailgauge.sources.messages import parse_messages
 
 
@@ -207,6 +208,26 @@ def message_parse(spark, sf_dir):
     return parse_messages(_raw(spark, sf_dir)).select("email_id", "format", "subject", "sender", F.size("urls").alias("urls"), F.length("text").alias("chars"), "parse_error")
 
 
+def json_messages(spark, sf_dir):
+    """JSON messages read through VARIANT, without a parser in Python."""
+    m = P.barrier(json_mail(spark, sf_dir), m=plain.plain_message(F.col("raw")))
+    lists = [_joined(f"m.{c}").alias(c) for c in ("to", "cc", "urls", "attachments")]
+    return m.select("email_id", "m.format", "m.subject", "m.sender", "m.date", "m.headers_raw", F.length("m.text").alias("chars"), *lists)
+
+
+def json_paths(spark, sf_dir):
+    """What stands at each of several paths of JSON messages."""
+    asked = P.barrier(json_mail(spark, sf_dir), v=plain.json_object(F.col("raw"))).select("email_id", "v", F.explode(F.array(*map(F.lit, PATHS))).alias("path"))
+    return asked.select("email_id", "path", F.coalesce(F.to_json(plain.value_at(F.col("v"), F.col("path"))), F.lit("")).alias("value"))
+
+
+def json_attachments(spark, sf_dir):
+    """A row for each item of the list of attachments of JSON messages."""
+    m = json_mail(spark, sf_dir).select("email_id", plain.json_object(F.col("raw")).alias("v"))
+    items = spark.sql("SELECT email_id, a.pos, a.value FROM {m}, LATERAL variant_explode(try_variant_get(v, '$.attachments', 'variant')) a WHERE schema_of_variant(try_variant_get(v, '$.attachments', 'variant')) LIKE 'ARRAY%'", m=m)
+    return items.select("email_id", "pos", plain.attachment_name(F.col("value")).alias("name"))
+
+
 def flag_sets(spark, sf_dir):
     flags = F.array_sort(F.array_distinct(F.flatten(F.transform("url_signals", lambda s: s["risk_flags"]))))
     t = P.signals(mail(spark, sf_dir)).select("email_id", flags.alias("all")).where(F.size("all") > 0)
@@ -352,5 +373,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

@@ -75,6 +75,24 @@ REQUESTS = (
     '{"attachments": [1]}', '{"attachments": [{"name": 3, "filename": "ok.txt"}]}', '{"attachments": [{"filename": " "}, {"name": "/x"}]}', "{broken}", '{"eml_path": " ", "attachments": null}', '[{"eml_path": "x"}]', '{"eml_path": 7}',
 )
 REQUESTS_SQL = f"SELECT doc_id, {_pick(REQUESTS)} AS raw FROM documents"
+#: Members of JSON messages besides the text, some of another type than theirs.
+MEMBERS = (
+    '"subject": " Order ", "attachments": ["a.pdf", " a.pdf ", {"name": "b.doc"}, {"filename": "c.js"}, 7]', '"subject": 5, "attachments": "a.pdf", "urls": ["https://json.example/u", " ", 3, null]', '"to": ["x@a.example", " x@a.example", 4], "cc": "none", "sender": "s@b.example "',
+    '"headers": {"X-B": "2", "a": "1", "x-b": "3", "n": 5, "t": true}, "attachments": [{"name": "", "filename": "d.zip"}, {"name": 0}, [], null]', '"url_signals": [{"risk_flags": ["a", "b"]}, {"url": "u"}], "nlp": {"urgency": 0.5, "deep": [[1], 2]}', '"body_text": "see http://b.example/ now", "date": " d ", "attachments": {"name": "x"}', '"reply_to": "", "subject": "", "urls": {}',
+)
+#: Paths that are looked up in them.
+PATHS = ("url_signals[0].risk_flags", "url_signals[0].risk_flags[1]", "url_signals[1].url", "nlp.urgency", "nlp.deep[0]", "attachments[0].filename", "attachments[2].name", "subject", "urls[3]", "no.such[0]", "bad path", "nlp..deep")
+
+
+def json_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(email_id, raw): JSON messages of whole documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    members = _pick(MEMBERS).replace("{", "{{").replace("}", "}}")
+    whole = "to_json(named_struct('text', coalesce(text, '')))"
+    return spark.sql(f"SELECT doc_id AS email_id, concat(substr({whole}, 1, length({whole}) - 1), ', ', {members}, '}}}}') AS raw FROM {{docs}}", docs=docs)
+
+
+JSON_MAIL_SQL = f"SELECT doc_id AS email_id, (left(to_json(struct_pack(text := coalesce(text, '')))::VARCHAR, -1) || ', ' || {_pick(MEMBERS)} || '}}')::JSON AS j FROM documents"
 #: Pages as if fetched before, by their canonical URL.
 FETCHED = (
     ("https://bit.ly/reset", '<title>Sign in</title><form action="/go"><input type="password" name="pw"></form> Microsoft password'),

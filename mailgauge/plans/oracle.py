@@ -6,7 +6,7 @@ import ipaddress
 
 from mailgauge.functions import lexicon as L
 from mailgauge.functions.url import PRIVATE_4, PRIVATE_6, PUBLIC_4, PUBLIC_6
-from mailgauge.plans.mail import FETCHED, MAIL_FILES_SQL, PAGES_SQL, REQUESTS_SQL, TARGETS_SQL
+from mailgauge.plans.mail import FETCHED, JSON_MAIL_SQL, MAIL_FILES_SQL, PAGES_SQL, PATHS, REQUESTS_SQL, TARGETS_SQL
 from mailgauge.plans.mail import MAIL_SQL as SENT_SQL
 
 
@@ -354,3 +354,29 @@ e AS (SELECT *, list_filter(string_split(split_part(hex6, '::', 1), ':'), lambda
 f AS (SELECT *, CASE WHEN len(string_split(hex6, '::')) <= 2 AND (len(l) + len(r) = 8 OR contains(hex6, '::')) THEN array_to_string(list_transform(l || CASE WHEN len(l) + len(r) < 8 THEN list_transform(range(8 - len(l) - len(r)), lambda z: '0') ELSE [] END || r, lambda g: lpad(g, 4, '0')), '') END AS h6 FROM e),
 g AS (SELECT *, host = 'localhost' OR ends_with(host, '.localhost') OR coalesce(CASE WHEN n4 IS NOT NULL THEN {_ranges('n4', PRIVATE_4, str)} AND NOT {_ranges('n4', PUBLIC_4, str)} WHEN h6 IS NOT NULL THEN {_ranges('h6', PRIVATE_6, _DIGITS)} AND NOT {_ranges('h6', PUBLIC_6, _DIGITS)} END, false) AS private FROM f)
 SELECT email_id, pos, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN host = '' THEN 'missing_host' WHEN private THEN 'private_network_blocked' END AS refused, private FROM g"""
+_MEMBER = lambda j, k: f"CASE WHEN json_type({j}, '$.{k}') = 'VARCHAR' THEN {j} ->> '$.{k}' ELSE '' END"
+_ITEMS = lambda k: f"CASE WHEN json_type(j, '$.{k}') = 'ARRAY' THEN CAST(json_extract(j, '$.{k}') AS JSON[]) ELSE [] END"
+_TEXT_OF = lambda x: f"CASE json_type({x}) WHEN 'VARCHAR' THEN {x} ->> '$' WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE WHEN {x}::VARCHAR = 'true' THEN 'True' ELSE 'False' END ELSE {x}::VARCHAR END"
+_NAME_OF = f"trim(CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' WHEN 'OBJECT' THEN CASE WHEN {_MEMBER('x', 'name')} <> '' THEN {_MEMBER('x', 'name')} ELSE {_MEMBER('x', 'filename')} END ELSE '' END)"
+#: Lists without repeats, in order of first places.
+_FIRSTS = lambda x: f"list_filter({x}, lambda v, i: v <> '' AND list_position({x}, v) = i)"
+SQL["json_messages"] = f"""WITH m AS ({JSON_MAIL_SQL}),
+f AS (SELECT email_id, j, j ->> '$.text' AS text, {_MEMBER('j', 'body_text')} AS body, list_transform({_ITEMS('to')}, lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN trim(x ->> '$') ELSE '' END) AS people,
+   list_transform({_ITEMS('attachments')}, lambda x: {_NAME_OF}) AS names, list_transform({_ITEMS('urls')}, lambda x: coalesce(trim({_TEXT_OF('x')}), 'None')) AS given FROM m),
+u AS (SELECT *, list_transform(regexp_extract_all(body, {_URL}) || regexp_extract_all(text, {_URL}), lambda u: {canonical('u')}) || given AS links FROM f),
+h AS (SELECT email_id, string_agg(key || ': ' || value, chr(10) ORDER BY first) AS lines FROM (SELECT email_id, key, min(n) AS first, arg_max(value, n) AS value FROM
+   (SELECT email_id, lower(k) AS key, n, {_TEXT_OF("json_extract(j, '$.headers.\"' || k || '\"')")} AS value FROM (SELECT email_id, j, unnest(json_keys(j, '$.headers')) AS k, generate_subscripts(json_keys(j, '$.headers'), 1) AS n FROM m)) GROUP BY email_id, key) GROUP BY email_id)
+SELECT email_id, 'json' AS format, trim({_MEMBER('j', 'subject')}) AS subject, trim({_MEMBER('j', 'sender')}) AS sender, trim({_MEMBER('j', 'date')}) AS date, coalesce(lines, '') AS headers_raw,
+  length(CASE WHEN trim(text, {_WHITE}) <> '' THEN text ELSE body END)::INTEGER AS chars, array_to_string({_FIRSTS('people')}, ',') AS "to", '' AS cc, array_to_string({_FIRSTS('links')}, ',') AS urls, array_to_string({_FIRSTS('names')}, ',') AS attachments
+FROM u LEFT JOIN h USING (email_id)"""
+SQL["json_paths"] = f"""WITH m AS ({JSON_MAIL_SQL}) SELECT email_id, path, CASE WHEN regexp_full_match(path, '[A-Za-z_]\\w*(\\[\\d+\\])*([.][A-Za-z_]\\w*(\\[\\d+\\])*)*') THEN coalesce(json_extract(j, '$.' || path)::VARCHAR, '') ELSE '' END AS value
+FROM m, (SELECT unnest([{', '.join(map(q, PATHS))}]) AS path)"""
+SQL["json_attachments"] = f"""WITH m AS ({JSON_MAIL_SQL}), x AS (SELECT email_id, unnest({_ITEMS('attachments')}) AS x, generate_subscripts({_ITEMS('attachments')}, 1) - 1 AS pos FROM m) SELECT email_id, pos::INTEGER AS pos, {_NAME_OF} AS name FROM x"""
+_RAW_URLS = f"(SELECT email_id, count(*) AS n FROM urls GROUP BY email_id)"
+SQL["message_parse"] = W + URLS + f"""
+raw AS (SELECT email_id, CASE WHEN s.text IS NULL OR (email_id % 4 <> 3 AND email_id % 4 <> 1 AND s.subject IS NULL) OR (email_id % 4 = 0 AND s.sender IS NULL) THEN 'none' ELSE CASE email_id % 4 WHEN 0 THEN 'eml' WHEN 1 THEN 'json' WHEN 2 THEN 'header_block' ELSE 'text' END END AS kind, s.subject, s.sender, s.text FROM ({SENT_SQL}) s),
+k AS (SELECT *, CASE WHEN kind = 'none' AND email_id % 4 = 1 THEN 'json' WHEN kind = 'none' THEN 'empty' ELSE kind END AS format FROM raw)
+SELECT k.email_id, format, CASE WHEN format IN ('empty', 'text') THEN '' ELSE coalesce(subject, '') END AS subject, CASE WHEN format IN ('eml', 'json') THEN coalesce(sender, '') ELSE '' END AS sender,
+  CASE WHEN text IS NULL OR format = 'empty' THEN 0 ELSE coalesce(n, 0) END::INTEGER AS urls,
+  length(CASE format WHEN 'empty' THEN '' WHEN 'text' THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) WHEN 'header_block' THEN trim('Subject: ' || subject || chr(10) || chr(10) || text, {_WHITE}) ELSE coalesce(text, '') END)::INTEGER AS chars, NULL::VARCHAR AS parse_error
+FROM k LEFT JOIN {_RAW_URLS} u USING (email_id)"""

@@ -11,6 +11,7 @@ from mailgauge.functions import header as H
 from mailgauge.functions import html as W
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
+from mailgauge.functions.text import barrier
 from mailgauge.operators import score as S
 from mailgauge.operators import verdict as V
 
@@ -21,15 +22,6 @@ MOST_NESTED = 20
 AUTH_HEADERS = ("authentication-results", "received-spf", "arc-authentication-results")
 
 
-def barrier(df: DataFrame, **cols: Column) -> DataFrame:
-    """``df`` with columns computed once: later expressions refer to them instead of repeating what makes them.
-
-    Generating one row from a one-element array keeps Catalyst from merging the projections.
-    """
-    made = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
-    return df.select("*", F.inline(made))
-
-
 def _has(df: DataFrame, name: str, otherwise: Column) -> Column:
     return F.col(name) if name in df.columns else otherwise
 

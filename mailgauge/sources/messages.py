@@ -15,13 +15,10 @@ from pyspark.sql import functions as F
 
 from mailgauge.functions.arrow import urls_in
 from mailgauge.functions.html import features
+from mailgauge.functions.text import barrier, strip
+from mailgauge.sources.plain import HEADER_KEYS, LISTS, MAPS, SCHEMA, TEXTS, json_object, needs_parser, plain_message, string_at
 
-TEXTS = ("message_id", "date", "sender", "reply_to", "return_path", "subject", "text", "body_text", "body_html", "headers_raw", "format")
-LISTS = ("to", "cc", "urls", "attachments")
-MAPS = ("headers", "attachment_hashes")
-SCHEMA = "struct<" + ",".join([*(f"{n}:string" for n in TEXTS), *(f"{n}:array<string>" for n in LISTS), *(f"{n}:map<string,string>" for n in MAPS), "parse_error:string"]) + ">"
 ARROW = pa.struct([*((n, pa.string()) for n in TEXTS), *((n, pa.list_(pa.string())) for n in LISTS), *((n, pa.map_(pa.string(), pa.string())) for n in MAPS), ("parse_error", pa.string())])
-HEADER_KEYS = {"subject": "subject", "from": "sender", "to": "to", "cc": "cc", "reply-to": "reply_to", "return-path": "return_path", "date": "date", "message-id": "message_id"}
 
 
 def _distinct(xs) -> list[str]:
@@ -68,9 +65,10 @@ def _backfill(out: dict) -> dict:
     return out
 
 
-def from_json(payload: dict) -> dict:
-    """Fields of the right type over those of an embedded EML, if there is one."""
+def from_json(payload: dict, file: str | None = None) -> dict:
+    """Fields of the right type over those of an embedded EML, or else of ``file``, if there is one."""
     eml = payload.get("eml") or payload.get("eml_raw")
+    eml = eml if isinstance(eml, str) and eml.strip() else file
     out = from_eml(eml) if isinstance(eml, str) and eml.strip() else empty()
     out["format"] = "json"
     if isinstance(payload.get("headers"), dict):
@@ -120,7 +118,7 @@ def looks_like_eml(raw: str) -> bool:
     return bool(blank) and "subject:" in head and ("from:" in head or "to:" in head)
 
 
-def parse(raw: str | None) -> dict:
+def parse(raw: str | None, file: str | None = None) -> dict:
     """The e-mail in a raw message; a message that can't be parsed gives its text and the reason."""
     text = (raw or "").strip()
     if not text:
@@ -132,7 +130,7 @@ def parse(raw: str | None) -> dict:
             except ValueError:
                 payload = None
             if isinstance(payload, dict):
-                return from_json(payload)
+                return from_json(payload, file)
         if looks_like_eml(raw):
             return from_eml(raw)
         if (found := from_header_block(raw)) is not None:
@@ -143,20 +141,34 @@ def parse(raw: str | None) -> dict:
     return empty(format="text", text=clean, urls=urls_in(clean))
 
 
-def parse_column(raw: Column) -> Column:
-    """The e-mail in a raw message as a struct, parsed in Arrow batches."""
+def parse_column(raw: Column, file: Column | None = None) -> Column:
+    """The e-mail in a raw message as a struct, parsed in Arrow batches; ``file``: the message that its eml_path names."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for raws in batches:
-            rows = [parse(r) for r in raws.to_pylist()]
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for raws, files in batches:
+            rows = [parse(r, f) for r, f in zip(raws.to_pylist(), files.to_pylist(), strict=True)]
             yield pa.array([r | {n: list(r[n].items()) for n in MAPS} for r in rows], ARROW)
 
-    return F.arrow_udf(run, SCHEMA)(raw)
-
-
-def parse_messages(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """``df`` plus the columns of the e-mail schema, parsed from ``raw_col`` in Arrow batches."""
-    return df.withColumn("__m", parse_column(F.col(raw_col))).select(*df.columns, "__m.*")
+    return F.arrow_udf(run, SCHEMA)(raw, F.lit(None).cast("string") if file is None else file)
+
+
+def parse_messages(df: DataFrame, raw_col: str = "raw", files: DataFrame | None = None) -> DataFrame:
+    """``df`` plus the columns of the e-mail schema, parsed from ``raw_col``.
+
+    JSON objects, header blocks and plain texts are read by column expressions; only messages with MIME parts, links in
+    HTML or unusual addresses go through Arrow batches of Python. ``files`` (path, raw): messages that the eml_path of a
+    JSON object may name; without a match, or without ``files``, such a path is ignored. Null messages are empty ones.
+    """
+    asked = barrier(df, __parser=needs_parser(F.col(raw_col)))
+    plain = barrier(asked.where("not __parser").select(*df.columns), __m=plain_message(F.col(raw_col)))
+    rest = asked.where("__parser").select(*df.columns)
+    if files is None:
+        rest = rest.withColumn("__m", parse_column(F.col(raw_col)))
+    else:
+        named = rest.withColumn("__path", strip(string_at(json_object(F.col(raw_col)), "$.eml_path")))
+        named = named.join(files.select(F.col("path").alias("__path"), F.col("raw").alias("__file")), "__path", "left")
+        rest = named.withColumn("__m", parse_column(F.col(raw_col), F.col("__file"))).select(*df.columns, "__m")
+    return plain.unionByName(rest).select(*df.columns, "__m.*")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
