@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailgauge.functions import lexicon as L
-from mailgauge.functions.arrow import arrow_struct, urls_in
 from mailgauge.functions.text import keyword_hits
 from mailgauge.functions.url import any_of, confidence, extract_urls
 
@@ -98,46 +94,6 @@ def audio_score(name: Column, transcript: Column) -> Column:
     return F.least(F.lit(100), keyword_hits(F.lower(name), L.AUDIO_NAME_HINTS) * 10 + keyword_hits(low, L.AUDIO_TEXT_HINTS) * 15)
 
 
-#: Bytes of a member, and of all members of an archive, that are unpacked; larger members aren't read.
-MOST_MEMBER, MOST_ARCHIVE = 4_000_000, 16_000_000
-
-
-def zip_members(data: bytes | None) -> dict:
-    """What an archive's member names and XML parts tell; an archive that can't be read tells nothing.
-
-    Members over the bounds, by the size that the archive gives, are left out and named in ``skipped``, which is
-    there (in a column: not null) only then.
-    """
-    out = {"macro_like": False, "entries": [], "urls": [], "risk_score": 0}
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data or b""))
-    except (zipfile.BadZipFile, ValueError):
-        return out
-    members = archive.infolist()
-    out["entries"] = [m.filename for m in members if "vba" in m.filename.lower()]
-    found, left = [], MOST_ARCHIVE
-    for m in (m for m in members if m.filename.lower().endswith((".xml", ".rels"))):
-        if m.file_size > min(MOST_MEMBER, left):
-            out.setdefault("skipped", []).append(m.filename)
-            continue
-        left -= m.file_size
-        try:
-            with archive.open(m) as part:
-                found += urls_in(part.read(MOST_MEMBER).decode("utf-8", "ignore"))
-        except Exception:  # an encrypted or broken member
-            continue
-    out["macro_like"], out["urls"] = bool(out["entries"]), list(dict.fromkeys(found))
-    out["risk_score"] = 40 * out["macro_like"] + min(20, 4 * len(found))
-    return out
-
-
-_TEXTS = pa.list_(pa.string())
-
-
-def zip_column(data: Column) -> Column:
-    return arrow_struct(zip_members, {"macro_like": pa.bool_(), "entries": _TEXTS, "urls": _TEXTS, "risk_score": pa.int32(), "skipped": _TEXTS})(data)
-
-
 def html_score(impersonation: Column, url_count: Column) -> Column:
     return F.least(F.lit(100), (impersonation * 0.8).cast("int") + F.least(F.lit(20), url_count * 3))
 
@@ -145,8 +101,8 @@ def html_score(impersonation: Column, url_count: Column) -> Column:
 def report(name: Column, data: Column, kind: Column, page_score: Column, zipped: Column, ocr_text: Column, qr_urls: Column, transcript: Column) -> Column:
     """The report of one attachment, a struct; ``data`` is null where only the name is known.
 
-    ``kind`` is its magic_type, ``page_score`` the impersonation score of an HTML page, ``zipped`` what
-    zip_column gives; texts and codes found in pictures and recordings come as columns.
+    ``kind`` is its magic_type, ``page_score`` the impersonation score of an HTML page, ``zipped`` a struct
+    of risk_score and urls as archive_reports gives them; texts and codes found in pictures and recordings come as columns.
     """
     clean, none = F.trim(F.coalesce(name, F.lit(""))), F.array().cast("array<string>")
     base, risk = F.substring_index(clean, "/", -1), classify(name)

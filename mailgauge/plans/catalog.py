@@ -18,7 +18,7 @@ from mailgauge.operators import traffic as X
 from mailgauge.operators import verdict as V
 from mailgauge.plans import triage as P
 from mailgauge.plans.mail import FETCHED, PATHS, fetch_targets, json_mail, mail, mail_files, mail_pages, requests
-from mailgauge.sources import plain
+from mailgauge.sources import plain, tables
 from mailgauge.sources.messages import parse_messages
 
 
@@ -228,6 +228,51 @@ def json_attachments(spark, sf_dir):
     return items.select("email_id", "pos", plain.attachment_name(F.col("value")).alias("name"))
 
 
+def _base64(c: str) -> Column:
+    return F.base64(F.coalesce(F.col(c), F.lit("")).cast("binary"))
+
+
+def mime_parts(spark, sf_dir):
+    """The parts of messages that hold whole documents, a forwarded message and an attachment."""
+    part = lambda head, c: [F.lit(f"\n--b1\n{head}\nContent-Transfer-Encoding: base64\n\n"), _base64(c)]
+    name = F.coalesce("attachment", F.lit("none"))
+    file = [F.lit("\n--b1\nContent-Type: application/PDF\nContent-Disposition: Attachment; filename=\""), name, F.lit("\"\nContent-Transfer-Encoding: base64\n\n"), _base64("sender")]
+    inner = part("Content-Type: message/rfc822\n\nSubject: inner\nContent-Type: text/html; charset=utf-8", "subject")
+    raw = F.concat(F.lit("Subject: outer\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b1\n"), *part("Content-Type: text/plain; charset=utf-8", "text"), *inner, *file, F.lit("\n--b1--\n"))
+    parts = tables.mime_parts(mail(spark, sf_dir).select("email_id", raw.alias("raw")))
+    return parts.select("email_id", "part", "depth", "content_type", "name", "disposition", "size", "sha256", F.length("text").alias("chars"))
+
+
+def stored_zip(*members: tuple[str, Column]) -> Column:
+    """The bytes of a ZIP archive whose members aren't compressed."""
+    little = lambda n, size: F.array_join(F.transform(F.sequence(F.lit(size), F.lit(1), F.lit(-1)), lambda k: F.substr(F.lpad(F.hex(n), 2 * size, "0"), 2 * k - 1, F.lit(2))), "")
+    files, entries, at = [], [], F.lit(0).cast("long")
+    for name, text in members:
+        data, size = text.cast("binary"), F.octet_length(text).cast("long")
+        head = F.concat(F.lit("14000000000000002100"), little(F.crc32(data), 4), little(size, 4), little(size, 4), little(F.lit(len(name)), 2), F.lit("0000"))
+        entries.append(F.concat(F.lit("504B01021400"), head, F.lit("0000" + "0000" + "0000" + "00000000"), little(at, 4), F.hex(F.lit(name))))
+        files.append(F.concat(F.lit("504B0304"), head, F.hex(F.lit(name)), F.hex(data)))
+        at = at + 30 + len(name) + size
+    listed = F.concat(*entries)
+    end = F.concat(F.lit("504B050600000000"), little(F.lit(len(members)), 2), little(F.lit(len(members)), 2), little((F.length(listed) / 2).cast("long"), 4), little(at, 4), F.lit("0000"))
+    return F.unhex(F.concat(*files, listed, end))
+
+
+def archive_reports(spark, sf_dir):
+    """Reports of archives that hold whole documents; one in three has a macro."""
+    text = F.coalesce("text", F.lit(""))
+    macro = stored_zip(("word/document.xml", text), ("word/vbaProject.bin", F.lit("x")), ("_rels/.rels", F.coalesce("reply_to", F.lit(""))))
+    files = mail(spark, sf_dir).select("email_id", F.when(F.col("email_id") % 3 == 0, macro).otherwise(stored_zip(("notes.txt", text), ("a.xml", text))).alias("data"))
+    r = tables.archive_reports(tables.archive_members(files), "email_id")
+    return r.select("email_id", "members", "macro_like", _joined("entries").alias("entries"), _joined("urls").alias("urls"), _joined("skipped").alias("skipped"), "risk_score")
+
+
+def page_anchors(spark, sf_dir):
+    """The links of whole pages, with the text they show."""
+    a = tables.anchors(mail_pages(spark, sf_dir).select("page_id", "html"))
+    return a.select("page_id", "pos", "href", "shown", tables.hides_target(F.col("href"), F.col("shown")).alias("hides"))
+
+
 def flag_sets(spark, sf_dir):
     flags = F.array_sort(F.array_distinct(F.flatten(F.transform("url_signals", lambda s: s["risk_flags"]))))
     t = P.signals(mail(spark, sf_dir)).select("email_id", flags.alias("all")).where(F.size("all") > 0)
@@ -373,5 +418,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

@@ -380,3 +380,16 @@ SELECT k.email_id, format, CASE WHEN format IN ('empty', 'text') THEN '' ELSE co
   CASE WHEN text IS NULL OR format = 'empty' THEN 0 ELSE coalesce(n, 0) END::INTEGER AS urls,
   length(CASE format WHEN 'empty' THEN '' WHEN 'text' THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) WHEN 'header_block' THEN trim('Subject: ' || subject || chr(10) || chr(10) || text, {_WHITE}) ELSE coalesce(text, '') END)::INTEGER AS chars, NULL::VARCHAR AS parse_error
 FROM k LEFT JOIN {_RAW_URLS} u USING (email_id)"""
+SQL["mime_parts"] = f"""WITH m AS ({MAIL_SQL}), p AS (SELECT email_id, 0 AS part, 1 AS depth, 'text/plain' AS content_type, '' AS name, '' AS disposition, text AS body FROM m
+  UNION ALL SELECT email_id, 1, 2, 'text/html', '', '', subject FROM m
+  UNION ALL SELECT m.email_id, 2, 1, 'application/pdf', CASE WHEN s.attachment IS NULL THEN 'none' ELSE s.attachment END, 'attachment', m.sender FROM m JOIN ({SENT_SQL}) s USING (email_id))
+SELECT email_id, part, depth, content_type, name, disposition, octet_length(encode(body))::BIGINT AS size, sha256(body) AS sha256, CASE WHEN part < 2 THEN length(body)::INTEGER END AS chars FROM p"""
+SQL["archive_reports"] = W + URLS + """
+n AS (SELECT email_id, count(*) AS n, string_agg(url, ',' ORDER BY pos) AS urls FROM urls GROUP BY email_id)
+SELECT m.email_id, CASE WHEN m.email_id % 3 = 0 THEN 3 ELSE 2 END::BIGINT AS members, m.email_id % 3 = 0 AS macro_like, CASE WHEN m.email_id % 3 = 0 THEN 'word/vbaProject.bin' ELSE '' END AS entries, coalesce(urls, '') AS urls, '' AS skipped,
+  (CASE WHEN m.email_id % 3 = 0 THEN 40 ELSE 0 END + least(20, 4 * coalesce(n, 0)))::INTEGER AS risk_score FROM mail m LEFT JOIN n USING (email_id)"""
+_SHOWN = "trim(regexp_replace(" + unescaped("regexp_replace(b, '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g'))"
+SQL["page_anchors"] = f"""WITH p AS ({PAGES_SQL}), a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?s)<a href="[^"]*">.*?</a>'), 1) - 1 AS pos FROM p),
+b AS (SELECT page_id, pos::INTEGER AS pos, trim({unescaped("regexp_extract(a, 'href=" + chr(34) + "([^" + chr(34) + "]*)', 1)")}) AS href, regexp_extract(a, '(?s)^<a[^>]*>(.*)</a>$', 1) AS b FROM a),
+c AS (SELECT *, {_SHOWN} AS shown FROM b)
+SELECT page_id, pos, href, shown, len(list_filter(list_transform(regexp_extract_all(shown, {_URL}), lambda u: lower(regexp_extract(u, '//([^/?#]*)', 1))), lambda o: o <> '' AND o <> lower(regexp_extract(href, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)))) > 0 AS hides FROM c"""

@@ -13,6 +13,7 @@ from mailgauge.operators import evidence as E
 from mailgauge.operators import stages as G
 from mailgauge.operators import verdict as V
 from mailgauge.plans import triage as P
+from mailgauge.sources import tables
 from mailgauge.sources import packs
 from mailgauge.sources.messages import sanitize
 
@@ -27,15 +28,11 @@ def archive(**members):
     return out.getvalue()
 
 
-def test_zip_members():
-    got = A.zip_members(archive(word__vbaProject_bin="x", word__document_xml="<a>https://A.example/x</a> https://a.example/x"))
-    assert got == {"macro_like": True, "entries": ["word/vbaProject.bin"], "urls": ["https://a.example/x"], "risk_score": 44}
-    assert [A.zip_members(x)["risk_score"] for x in (None, b"", b"PK\x03\x04broken", archive())] == [0, 0, 0, 0]
-
-
 def test_reports(spark):
     rows = [("a.docm", archive(word__vbaProject_bin="x")), ("", b"x"), (None, None), ("run.exe", None), ("n.bin", b"see https://a.example/1 https://a.example/2"), ("p.pdf", b"%PDF-1.4 /JavaScript"), ("login.html", b"<html>https://b.example/</html>")]
-    df = spark.createDataFrame(rows, "name string, data binary").withColumn("kind", A.magic_type(F.col("data"), F.col("name"))).withColumn("z", A.zip_column(F.col("data")))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, name string, data binary").withColumn("kind", A.magic_type(F.col("data"), F.col("name")))
+    zipped = tables.archive_reports(tables.archive_members(df.select(F.col("name").alias("file"), "data").where("name = 'a.docm'")), "file").select(F.col("file").alias("name"), F.struct("risk_score", "urls").alias("z"))
+    df = df.join(zipped, "name", "left").orderBy("i")
     r = [x.r for x in df.select(A.report(F.col("name"), F.col("data"), F.col("kind"), F.lit(50), F.col("z"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(None).cast("string")).alias("r")).collect()]
     assert [(x.type, x.risk_score) for x in r] == [("zip", 55), ("unknown", 0), ("unknown", 0), ("filename_only", 70), ("unknown", 16), ("pdf", 30), ("html", 43)]
     assert r[1].indicators == ["empty_attachment_name"] and r[3].indicators == ["filename_risk:high_risk", "extension_high_risk"]
@@ -168,9 +165,3 @@ def test_tools_of_messages_and_files(spark):
     r = df.select(G.tool("parse_email", F.col("raw")).alias("m"), G.tool("attachments_deep", F.col("names")).alias("d")).first()
     assert (r.m.subject, r.m.sender, r.m.parse_error) == ("x", "a@b.example", None)
     assert [x.name for x in r.d] == ["setup.exe", "notes.txt"] and r.d[0].risk_score > r.d[1].risk_score
-
-
-def test_large_members_are_named(monkeypatch):
-    monkeypatch.setattr(A, "MOST_MEMBER", 60)
-    got = A.zip_members(archive(a_xml="https://a.example/x", b_xml="https://b.example/" + "x" * 60))
-    assert got == {"macro_like": False, "entries": [], "urls": ["https://a.example/x"], "risk_score": 4, "skipped": ["b.xml"]}
