@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.functions import attachment as A
-from mailgauge.functions import decode, html, lexicon as L
+from mailgauge.functions import decode, html, lexicon as L, sql
 from mailgauge.functions import header as H
 from mailgauge.functions import text as T
 from mailgauge.functions import url as U
@@ -273,6 +273,18 @@ def page_anchors(spark, sf_dir):
     return a.select("page_id", "pos", "href", "shown", tables.hides_target(F.col("href"), F.col("shown")).alias("hides"))
 
 
+def sql_tools(spark, sf_dir):
+    """All tools by plain SQL."""
+    sql.register(spark)
+    asked = """
+      SELECT email_id, length(normalize_text(text)) AS chars, keyword_scan(text).count AS words, route_path(text, found.urls, filter(array(attachment), x -> x <> '')) AS path, found.count AS urls,
+             check_url(url).suspicious AS odd, attachment_risk(attachment).risk AS file_risk, parse_email(plain).format AS format, domain_intel(url).domain AS domain, domain_intel(url).risk_score AS domain_risk,
+             url_target(url, true).status AS status, url_target(url, true).risk_score AS target_risk, size(attachments_deep(array(attachment))[0].indicators) AS marks
+      FROM (SELECT *, get(found.urls, 0) AS url FROM (SELECT *, extract_urls(text) AS found, concat('Subject: ', subject, '\n\n', text) AS plain FROM {m}))
+    """
+    return spark.sql(asked, m=P.filled(mail(spark, sf_dir)))
+
+
 def flag_sets(spark, sf_dir):
     flags = F.array_sort(F.array_distinct(F.flatten(F.transform("url_signals", lambda s: s["risk_flags"]))))
     t = P.signals(mail(spark, sf_dir)).select("email_id", flags.alias("all")).where(F.size("all") > 0)
@@ -418,5 +430,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

@@ -393,3 +393,13 @@ SQL["page_anchors"] = f"""WITH p AS ({PAGES_SQL}), a AS (SELECT page_id, unnest(
 b AS (SELECT page_id, pos::INTEGER AS pos, trim({unescaped("regexp_extract(a, 'href=" + chr(34) + "([^" + chr(34) + "]*)', 1)")}) AS href, regexp_extract(a, '(?s)^<a[^>]*>(.*)</a>$', 1) AS b FROM a),
 c AS (SELECT *, {_SHOWN} AS shown FROM b)
 SELECT page_id, pos, href, shown, len(list_filter(list_transform(regexp_extract_all(shown, {_URL}), lambda u: lower(regexp_extract(u, '//([^/?#]*)', 1))), lambda o: o <> '' AND o <> lower(regexp_extract(href, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)))) > 0 AS hides FROM c"""
+_FILE_MARKS = f"CASE WHEN attachment = '' THEN 1 ELSE 1 + CASE WHEN class IN ('high_risk', 'macro_risk') THEN 1 ELSE 0 END END"
+SQL["sql_tools"] = W + SIGNALS + "," + FILES + f""",
+paths AS (SELECT * FROM ({SQL["route_heuristic"]})),
+of_mail AS (SELECT email_id, count(*) AS n FROM signals GROUP BY email_id),
+gate AS (SELECT email_id, refused FROM ({SQL["fetch_policy"]}) WHERE pos = 0),
+firsts_of AS (SELECT s.*, refused, (encoded OR direct OR speaks OR capped OR nested_capped) AS hides FROM signals s JOIN gate USING (email_id) WHERE s.pos = 0)
+SELECT m.email_id, length(trim(regexp_replace(m.text, '\s+', ' ', 'g')))::INTEGER AS chars, {words('lower(m.text)', L.PHISHING_WORDS)} AS words, path, coalesce(n, 0)::INTEGER AS urls, odd,
+  CASE WHEN m.attachment = '' THEN 'unknown' ELSE k.class END AS file_risk, 'header_block' AS format, f.host AS domain, coalesce(f.domain_risk, 0) AS domain_risk, CASE WHEN f.email_id IS NULL OR refused IS NOT NULL THEN 'blocked' ELSE 'not_fetched' END AS status,
+  (CASE WHEN f.email_id IS NULL OR refused IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN hides THEN 6 ELSE 0 END)::INTEGER AS target_risk, ({_FILE_MARKS.replace('attachment', 'm.attachment').replace('class', 'k.class')})::INTEGER AS marks
+FROM mail m JOIN paths USING (email_id) JOIN files k USING (email_id) LEFT JOIN of_mail USING (email_id) LEFT JOIN firsts_of f USING (email_id)"""
