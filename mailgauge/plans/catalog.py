@@ -12,6 +12,7 @@ from mailgauge.functions import text as T
 from mailgauge.functions import url as U
 from mailgauge.operators import context as C
 from mailgauge.operators import evidence as E
+from mailgauge.operators import fuzzy
 from mailgauge.operators import score as S
 from mailgauge.operators import stages as G
 from mailgauge.operators import traffic as X
@@ -326,6 +327,15 @@ def fuzzy_match(spark, sf_dir):
     return X.best_match(names, list(L.BRANDS), cutoff=0.4).withColumn("similarity", F.round("similarity", 6))
 
 
+def close_matches(spark, sf_dir):
+    """The three brands or labels of linked hosts that are nearest to each host of the pages."""
+    label = lambda c: F.lower(F.regexp_extract(c, r"://(?:www\.)?([^./?#]+)", 1))
+    brands = spark.createDataFrame([(b,) for b in L.BRANDS], "word string")
+    known = brands.union(mail_urls(spark, sf_dir).select(label("url")))
+    out = fuzzy.close_matches(_table(spark, sf_dir, "pages").select(label("url").alias("name")), known, 0.4, 3)
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
 def _reports(spark, sf_dir):
     """Reports of invented attachments; none of them is an archive or a page."""
     f = mail_files(spark, sf_dir).withColumn("data", F.col("content").cast("binary"))
@@ -430,5 +440,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, close_matches, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

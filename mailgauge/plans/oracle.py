@@ -403,3 +403,13 @@ SELECT m.email_id, length(trim(regexp_replace(m.text, '\s+', ' ', 'g')))::INTEGE
   CASE WHEN m.attachment = '' THEN 'unknown' ELSE k.class END AS file_risk, 'header_block' AS format, f.host AS domain, coalesce(f.domain_risk, 0) AS domain_risk, CASE WHEN f.email_id IS NULL OR refused IS NOT NULL THEN 'blocked' ELSE 'not_fetched' END AS status,
   (CASE WHEN f.email_id IS NULL OR refused IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN hides THEN 6 ELSE 0 END)::INTEGER AS target_risk, ({_FILE_MARKS.replace('attachment', 'm.attachment').replace('class', 'k.class')})::INTEGER AS marks
 FROM mail m JOIN paths USING (email_id) JOIN files k USING (email_id) LEFT JOIN of_mail USING (email_id) LEFT JOIN firsts_of f USING (email_id)"""
+_BLOCK = "list_filter(flatten(list_transform(range(least(length(a), length(b)), 0, -1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: [n, i]))), lambda s: contains(b, substr(a, s[2], s[1])))[1]"
+SQL["close_matches"] = "WITH RECURSIVE " + URLS + f"""
+names AS (SELECT DISTINCT lower(regexp_extract(url, '://(?:www\\.)?([^./?#]+)', 1)) AS name FROM pages),
+known AS (SELECT unnest([{', '.join(map(q, L.BRANDS))}]) AS word UNION SELECT lower(regexp_extract(url, '://(?:www\\.)?([^./?#]+)', 1)) FROM urls),
+pairs AS (SELECT row_number() OVER () AS id, name, word FROM names, known WHERE name <> '' AND word <> ''),
+parts AS (SELECT id, word AS a, name AS b, 0::BIGINT AS n FROM pairs
+  UNION ALL SELECT id, unnest([substr(a, 1, s[2] - 1), substr(a, s[2] + s[1])]), unnest([substr(b, 1, instr(b, substr(a, s[2], s[1])) - 1), substr(b, instr(b, substr(a, s[2], s[1])) + s[1])]), unnest([s[1], 0])
+  FROM (SELECT id, a, b, {_BLOCK} AS s FROM parts) WHERE s IS NOT NULL),
+rated AS (SELECT p.name, p.word, 2.0::DOUBLE * sum(n)::DOUBLE / (length(p.name) + length(p.word)) AS ratio FROM parts JOIN pairs p USING (id) GROUP BY id, p.name, p.word)
+SELECT name, place, word AS match, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, word DESC)::INTEGER AS place FROM rated WHERE ratio >= 0.4) WHERE place <= 3"""
