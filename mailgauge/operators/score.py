@@ -86,13 +86,13 @@ def url_points(urls: Column, p: Policy) -> tuple[Column, list[tuple[Column, str]
 def text_points(c: Column, p: Policy) -> tuple[Column, list[tuple[Column, str]]]:
     on = {k: c[k] > 0 for k in ("urgency", "threat", "payment", "credential", "action", "takeover", "subject_risk", "keyword_hits")}
     base = (
-        c["urgency"] * float(p.urgency_weight + 6) + c["threat"] * 16.0 + c["payment"] * 9.0 + c["credential"] * 18.0
-        + c["action"] * float(p.action_weight + 2) + c["takeover"] * 20.0 + c["subject_risk"] * 18.0
+        c["urgency"] * (F.lit(p.urgency_weight) + 6).cast("double") + c["threat"] * 16.0 + c["payment"] * 9.0 + c["credential"] * 18.0
+        + c["action"] * (F.lit(p.action_weight) + 2).cast("double") + c["takeover"] * 20.0 + c["subject_risk"] * 18.0
     ).cast("int")
     asks, press = on["credential"] | on["action"], on["threat"] | on["urgency"]
     tests = [
-        (on["keyword_hits"], F.least(F.lit(24), c["keyword_hits"] * max(1, p.keyword_weight // 2)), "text:phishing_keyword_cluster"),
-        (on["credential"] & press, F.lit(min(20, max(0, p.core_bonus - 5))), "text:credential_pressure"),
+        (on["keyword_hits"], F.least(F.lit(24), c["keyword_hits"] * F.greatest(F.lit(1), F.floor(F.lit(p.keyword_weight) / 2).cast("int"))), "text:phishing_keyword_cluster"),
+        (on["credential"] & press, F.least(F.lit(20), F.greatest(F.lit(0), F.lit(p.core_bonus) - 5)), "text:credential_pressure"),
         (on["payment"] & asks, F.lit(p.finance_bonus), "text:finance_action_combo"),
         (on["payment"] & press, F.lit(p.finance_pressure), "text:finance_pressure"),
         (on["urgency"] & asks, F.lit(p.urgency_pressure), "text:urgency_pressure"),

@@ -70,7 +70,7 @@ def _headers(df: DataFrame) -> DataFrame:
 
 
 def _urls(df: DataFrame) -> DataFrame:
-    return with_url_signals(df, S.Policy().high_domain)
+    return with_url_signals(df, S.Policy())
 
 
 def _cues(df: DataFrame) -> DataFrame:

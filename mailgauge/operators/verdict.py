@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgauge.operators.score import Policy
@@ -22,9 +22,9 @@ def verdict_of(score: Column, p: Policy = Policy()) -> Column:
 
 def clamp(score: Column, verdict: Column, p: Policy = Policy()) -> Column:
     """The score moved into its verdict's band."""
-    top = max(1, p.suspicious_max + 1)
+    top = F.greatest(F.lit(1), F.lit(p.suspicious_max) + 1)
     middle = F.greatest(F.lit(p.suspicious_min), F.least(F.lit(p.suspicious_max), score))
-    return F.when(verdict == "phishing", F.greatest(F.lit(top), score)).when(verdict == "suspicious", middle).otherwise(F.least(F.lit(max(0, p.suspicious_min - 1)), score))
+    return F.when(verdict == "phishing", F.greatest(top, score)).when(verdict == "suspicious", middle).otherwise(F.least(F.greatest(F.lit(0), F.lit(p.suspicious_min) - 1), score))
 
 
 def merge_judge(score: Column, judge: Column, conf: Column, p: Policy = Policy()) -> Column:
@@ -36,7 +36,7 @@ def merge_judge(score: Column, judge: Column, conf: Column, p: Policy = Policy()
         F.when(score > p.suspicious_max, "phishing")
         .when(below & (own == "phishing"), F.when(conf >= hi, "phishing").when(conf >= lo, "suspicious").otherwise("benign"))
         .when(below & (own == "suspicious") & (conf >= OVERRIDE), "suspicious")
-        .when(below & (score >= max(1, p.suspicious_min - 10)) & (conf < OVERRIDE), "suspicious")
+        .when(below & (score >= F.greatest(F.lit(1), F.lit(p.suspicious_min) - 10)) & (conf < OVERRIDE), "suspicious")
         .when(below, "benign")
         .otherwise(own)
     )
@@ -119,3 +119,25 @@ def input_error(raw: Column) -> Column:
     path = F.coalesce(F.trim(string(v, "$.eml_path")), F.lit("")) != ""
     code = F.when(path, "unsupported_eml_path").when((kind(given) != "VOID") & ~listed, "invalid_attachment_schema").when(listed, first)
     return F.when(v.isNotNull() & kind(v).startswith("OBJECT"), code)
+
+
+def judged(p: Policy = Policy()) -> list[Column]:
+    """decided_by, final_verdict and final_score of columns raw_score, judge (null: none) and judge_confidence."""
+    there, score = F.col("judge").isNotNull(), F.col("raw_score")
+    merged = merge_judge(score, F.col("judge"), F.coalesce("judge_confidence", F.lit(0.0)), p)
+    alone, alone_score = final_verdict(score, p)
+    return [
+        F.when(there, "judge").otherwise("deterministic").alias("decided_by"), F.when(there, merged).otherwise(alone).alias("final_verdict"),
+        F.when(there, clamp(score, merged, p)).otherwise(alone_score).alias("final_score"),
+    ]
+
+
+def with_judges(triaged: DataFrame, verdicts: DataFrame, p: Policy = Policy()) -> DataFrame:
+    """``triaged`` (email_id, raw_score, ...) plus judge, judge_confidence, decided_by, final_verdict, final_score.
+
+    Of several verdicts (email_id, judged_at, judge, judge_confidence) on a message the first counts, found with map-side
+    combine; messages without one have the deterministic verdict. Verdicts without a judge's word or an id are left out.
+    """
+    first = verdicts.where("judge is not null and email_id is not null").groupBy("email_id").agg(F.min(F.struct("judged_at", "judge", "judge_confidence")).alias("v"))
+    both = triaged.join(first.select("email_id", "v.judge", "v.judge_confidence"), "email_id", "left")
+    return both.select(*triaged.columns, "judge", "judge_confidence", *judged(p))

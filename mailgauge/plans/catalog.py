@@ -13,12 +13,13 @@ from mailgauge.functions import url as U
 from mailgauge.operators import context as C
 from mailgauge.operators import evidence as E
 from mailgauge.operators import fuzzy
+from mailgauge.operators import policy as Y
 from mailgauge.operators import score as S
 from mailgauge.operators import stages as G
 from mailgauge.operators import traffic as X
 from mailgauge.operators import verdict as V
 from mailgauge.plans import triage as P
-from mailgauge.plans.mail import FETCHED, PATHS, fetch_targets, json_mail, mail, mail_files, mail_pages, requests
+from mailgauge.plans.mail import FETCHED, LABELS, PATHS, SETTINGS, fetch_targets, json_mail, mail, mail_files, mail_pages, requests
 from mailgauge.sources import plain, tables
 from mailgauge.sources.messages import parse_messages
 
@@ -102,6 +103,30 @@ def triage_summary(spark, sf_dir):
     return P.summary(_triage(spark, sf_dir))
 
 
+def triage_profiles(spark, sf_dir):
+    """The triage with each message's own profile of weights and thresholds, in one plan."""
+    profile = F.get(F.array(*map(F.lit, ("strict", "lenient", "unknown"))), (F.col("email_id") % 3).cast("int"))
+    settings = spark.createDataFrame(list(SETTINGS), "profile string, name string, value string")
+    m = Y.with_policy(mail(spark, sf_dir).withColumn("profile", profile), settings)
+    return P.triage(m, p=Y.PolicyColumn()).select("email_id", "raw_score", "risk_score", "route", "verdict")
+
+
+def label_values(spark, sf_dir):
+    """Labels and settings as texts, and what they stand for."""
+    text = F.get(F.array(*map(F.lit, LABELS)), (F.col("doc_id") % len(LABELS)).cast("int"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.concat_ws(",", "source", text, "source", F.lit(" ")).alias("many"))
+    n = Y.positive_int(F.col("text"), F.lit(8))
+    return d.select("doc_id", "text", Y.binary_label(F.col("text")).alias("label"), Y.is_true(F.col("text")).alias("truth"), n.alias("n"), Y.number(F.col("text"), F.lit(-1.0)).alias("x"), F.array_join(Y.choices(F.col("many")), "|").alias("choices"))
+
+
+def judge_join(spark, sf_dir):
+    """The triage with a table of judges' verdicts, of which the first on a message counts."""
+    said = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("email_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("at"), "quality", "toxic")
+    judge = F.when((F.col("toxic") == 1) & (F.col("at") == 1), "phishing").when(F.col("quality") == 1, "benign").otherwise("suspicious")
+    verdicts = said.where("email_id % 5 <> 0 or at = 2").select("email_id", F.col("at").alias("judged_at"), judge.alias("judge"), ((F.col("email_id") % 10) / F.lit(10.0)).alias("judge_confidence"))
+    return V.with_judges(_triage(spark, sf_dir).select("email_id", "raw_score"), verdicts).select("email_id", "raw_score", "judge", "decided_by", "final_verdict", "final_score")
+
+
 def context_gates(spark, sf_dir):
     status = F.col("web_admission.status")
     return _triage(spark, sf_dir).select("email_id", (status == "skipped_by_policy").alias("web_requested"), (F.col("attachment_admission.status") == "admitted").alias("attachment_admitted"), status.alias("web_status"))
@@ -440,5 +465,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, close_matches, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, triage_profiles, label_values, judge_join, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, close_matches, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

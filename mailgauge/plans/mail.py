@@ -93,6 +93,13 @@ def json_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JSON_MAIL_SQL = f"SELECT doc_id AS email_id, (left(to_json(struct_pack(text := coalesce(text, '')))::VARCHAR, -1) || ', ' || {_pick(MEMBERS)} || '}}')::JSON AS j FROM documents"
+#: Invented settings of profiles, some of which aren't whole numbers over 0.
+SETTINGS = (
+    ("strict", "review", "20"), ("strict", "deep", "40"), ("strict", "url_weight", " 34 "), ("strict", "suspicious_min", "15"), ("strict", "suspicious_max", "19"),
+    ("lenient", "review", "50"), ("lenient", "url_weight", "-3"), ("lenient", "suspicious_min", "45"), ("lenient", "suspicious_max", "49"), ("lenient", "deep", "many"), ("lenient", "colour", "7"), (None, "deep", "65"), (None, "review", "0"),
+)
+#: Labels as data sets write them.
+LABELS = ("Phishing", " 1.0 ", "legit", "Safe Email", "phishing-email", "non phishing email", "maybe", "", "SPAM!", "0", "unsafe", "true")
 #: Pages as if fetched before, by their canonical URL.
 FETCHED = (
     ("https://bit.ly/reset", '<title>Sign in</title><form action="/go"><input type="password" name="pw"></form> Microsoft password'),

@@ -6,7 +6,8 @@ import ipaddress
 
 from mailgauge.functions import lexicon as L
 from mailgauge.functions.url import PRIVATE_4, PRIVATE_6, PUBLIC_4, PUBLIC_6
-from mailgauge.plans.mail import FETCHED, JSON_MAIL_SQL, MAIL_FILES_SQL, PAGES_SQL, PATHS, REQUESTS_SQL, TARGETS_SQL
+from mailgauge.operators.policy import BAD, BAD_COMPACT, GOOD, GOOD_COMPACT
+from mailgauge.plans.mail import FETCHED, JSON_MAIL_SQL, LABELS, MAIL_FILES_SQL, PAGES_SQL, PATHS, REQUESTS_SQL, TARGETS_SQL
 from mailgauge.plans.mail import MAIL_SQL as SENT_SQL
 
 
@@ -413,3 +414,23 @@ parts AS (SELECT id, word AS a, name AS b, 0::BIGINT AS n FROM pairs
   FROM (SELECT id, a, b, {_BLOCK} AS s FROM parts) WHERE s IS NOT NULL),
 rated AS (SELECT p.name, p.word, 2.0::DOUBLE * sum(n)::DOUBLE / (length(p.name) + length(p.word)) AS ratio FROM parts JOIN pairs p USING (id) GROUP BY id, p.name, p.word)
 SELECT name, place, word AS match, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, word DESC)::INTEGER AS place FROM rated WHERE ratio >= 0.4) WHERE place <= 3"""
+
+
+def _profile(k: int, review: int, deep: int, weight: int, low: int, high: int) -> str:
+    """The triage of every third message by its profile's values."""
+    sql = TRIAGE.replace("WHEN flags <> '' THEN 24 ELSE 0 END", f"WHEN flags <> '' THEN {weight} ELSE 0 END").replace("raw_score <= 30 THEN 'allow' WHEN raw_score <= 70", f"raw_score <= {review} THEN 'allow' WHEN raw_score <= {deep}")
+    sql = sql.replace("CASE WHEN raw_score >= 30 THEN 'phishing'", f"CASE WHEN raw_score >= {low} THEN 'phishing'").replace("CASE WHEN raw_score >= 30 THEN greatest(35, raw_score)", f"CASE WHEN raw_score >= {low} THEN greatest(35, raw_score)")
+    return f"SELECT * FROM (WITH {sql} SELECT email_id, raw_score, risk_score, route, verdict FROM triage WHERE email_id % 3 = {k})"
+
+
+SQL["triage_profiles"] = " UNION ALL ".join([_profile(0, 20, 40, 34, 15, 19), _profile(1, 50, 65, 24, 45, 49), _profile(2, 30, 65, 24, 30, 34)])
+_LABEL = "lower(trim(text))"
+SQL["label_values"] = f"""WITH d AS (SELECT doc_id, source, [{', '.join(map(q, LABELS))}][doc_id % {len(LABELS)} + 1] AS text FROM documents), c AS (SELECT *, {_LABEL} AS l, regexp_replace({_LABEL}, '[^a-z0-9]', '', 'g') AS k FROM d)
+SELECT doc_id, text, CASE WHEN l IN ({', '.join(map(q, BAD))}) THEN 1 WHEN l IN ({', '.join(map(q, GOOD))}) OR k IN ({', '.join(map(q, GOOD_COMPACT))}) THEN 0 WHEN k IN ({', '.join(map(q, BAD_COMPACT))}) THEN 1 WHEN contains(l, 'safe') THEN 0
+  WHEN regexp_matches(l, 'phish|malicious|spam') THEN 1 END AS label, l IN ('1', 'true', 'yes', 'on') AS truth, CASE WHEN regexp_full_match(l, '[0-9]+') AND l <> '0' THEN l::INTEGER ELSE 8 END AS n, coalesce(TRY_CAST(l AS DOUBLE), -1.0::DOUBLE) AS x,
+  array_to_string({_FIRSTS("list_transform(string_split(array_to_string([source, text, source, ' '], ','), ','), lambda v: trim(v))")}, '|') AS choices FROM c"""
+SQL["judge_join"] = W + TRIAGE + """, v AS (SELECT doc_id AS email_id, CASE WHEN toxic = 1 AND doc_id % 5 <> 0 THEN 'phishing' WHEN quality = 1 THEN 'benign' ELSE 'suspicious' END AS judge, (doc_id % 10) / 10.0::DOUBLE AS conf FROM labels),
+m AS (SELECT email_id, raw_score AS s, judge, conf, CASE WHEN judge IS NULL THEN verdict WHEN raw_score > 34 THEN 'phishing' WHEN raw_score < 30 AND judge = 'phishing' THEN CASE WHEN conf >= 0.75 THEN 'phishing' WHEN conf >= 0.58 THEN 'suspicious' ELSE 'benign' END
+  WHEN raw_score < 30 AND judge = 'suspicious' AND conf >= 0.58 THEN 'suspicious' WHEN raw_score < 30 AND raw_score >= 20 AND conf < 0.58 THEN 'suspicious' WHEN raw_score < 30 THEN 'benign' ELSE judge END AS final_verdict, risk_score FROM triage LEFT JOIN v USING (email_id))
+SELECT email_id, s AS raw_score, judge, CASE WHEN judge IS NULL THEN 'deterministic' ELSE 'judge' END AS decided_by, final_verdict,
+  CASE WHEN judge IS NULL THEN risk_score WHEN final_verdict = 'phishing' THEN greatest(35, s) WHEN final_verdict = 'suspicious' THEN greatest(30, least(34, s)) ELSE least(29, s) END AS final_score FROM m"""

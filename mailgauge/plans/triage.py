@@ -40,13 +40,13 @@ def filled(mail: DataFrame) -> DataFrame:
 
 
 @T.once
-def url_signals(high_domain: int) -> Column:
-    return F.transform(F.col("urls"), lambda u: T.bind(D.obfuscation(u), lambda hidden: U.url_signal(u, high_domain, hidden)))
+def url_signals(p: S.Policy) -> Column:
+    return F.transform(F.col("urls"), lambda u: T.bind(D.obfuscation(u), lambda hidden: U.url_signal(u, p.high_domain, hidden)))
 
 
-def with_url_signals(df: DataFrame, high_domain: int) -> DataFrame:
+def with_url_signals(df: DataFrame, p: S.Policy) -> DataFrame:
     """``df`` plus url_signals, a signal of each of ``urls`` with what its query hides."""
-    return barrier(df, url_signals=url_signals(high_domain))
+    return barrier(df, url_signals=url_signals(p))
 
 
 @T.once
@@ -115,7 +115,7 @@ def signals(mail: DataFrame, p: S.Policy = S.Policy()) -> DataFrame:
         urls = F.array_distinct(F.concat(_has(mail, "known_urls", none), urls, U.extract_urls(body), _has(mail, "html_urls", none)))
     out = barrier(mail, urls=urls, raw=T.cue_text(F.col("subject"), F.col("text"), body))
     out = barrier(out, low=F.lower("raw"))
-    return barrier(out, url_signals=url_signals(p.high_domain), **_of_text("names" in mail.columns))
+    return barrier(out, url_signals=url_signals(p), **_of_text("names" in mail.columns))
 
 
 def limits_hit(signals: Column, nested: Column, most: int = MOST_NESTED) -> Column:

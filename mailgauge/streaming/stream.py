@@ -53,10 +53,4 @@ def judged_stream(triaged: DataFrame, verdicts: DataFrame, wait: str = "10 minut
     said = said.select(F.col("email_id").alias("of"), "judged_at", "judge", F.coalesce("judge_confidence", F.lit(0.0)).alias("judge_confidence"))
     within = (F.col("email_id") == F.col("of")) & (F.col("judged_at") >= F.col("ts")) & (F.col("judged_at") <= F.col("ts") + F.expr(f"interval {wait}"))
     both = triaged.where("email_id is not null").withWatermark("ts", late).join(said, within, "leftOuter")
-    judged = F.col("judge").isNotNull()
-    merged = V.merge_judge(F.col("raw_score"), F.col("judge"), F.col("judge_confidence"), p)
-    alone, alone_score = V.final_verdict(F.col("raw_score"), p)
-    return both.select(
-        *triaged.columns, "judge", "judge_confidence", F.when(judged, "judge").otherwise("deterministic").alias("decided_by"),
-        F.when(judged, merged).otherwise(alone).alias("final_verdict"), F.when(judged, V.clamp(F.col("raw_score"), merged, p)).otherwise(alone_score).alias("final_score"),
-    )
+    return both.select(*triaged.columns, "judge", "judge_confidence", *V.judged(p))
