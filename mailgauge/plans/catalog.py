@@ -169,6 +169,15 @@ def validate(spark, sf_dir):
     return t.select("email_id", _joined(V.issues(F.col("verdict"), F.col("risk_score").cast("string"), F.col("indicators"), F.to_json("cues"))).alias("issues"))
 
 
+def result_issues(spark, sf_dir):
+    """Results with parts broken by their number, and what is wrong with each."""
+    i = F.col("email_id")
+    verdict = F.when(i % 7 == 0, "odd").when(i % 7 == 1, " Phishing ").when(i % 7 == 2, F.lit(None)).otherwise(F.col("verdict"))
+    score = F.when(i % 5 == 0, "999").when(i % 5 == 1, "x").when(i % 5 == 2, F.lit(None)).when(i % 5 == 3, " 41.9 ").otherwise(F.col("risk_score").cast("string"))
+    said, evidence = F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("indicators")), F.when(i % 4 != 0, F.to_json("cues"))
+    return _triage(spark, sf_dir).select("email_id", _joined(V.issues(verdict, score, said, evidence)).alias("issues"))
+
+
 def confidence(spark, sf_dir):
     return _triage(spark, sf_dir).select("email_id", V.confidence_of(F.col("risk_score"), F.col("verdict"), F.lit(0.0), (F.col("email_id") % 3).cast("int")).alias("confidence"))
 
@@ -465,5 +474,5 @@ def balanced_sample(spark, sf_dir):
 
 QUERIES = {
     "url_extract": mail_urls,
-    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, triage_profiles, label_values, judge_join, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, close_matches, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
+    **{f.__name__: f for f in (url_parts, domain_intel, typosquat_join, url_signals, url_obfuscation, nlp_cues, highlights, header_signals, attachment_signals, triage, triage_summary, triage_profiles, label_values, judge_join, context_gates, fusion, judge_merge, evaluate, sampled_allow, evidence_top, evidence_ids, validate, result_issues, confidence, route_heuristic, redact, redact_urls, triage_decoded, triage_messages, html_features, web_signals, hidden_links, text_layers, message_parse, json_messages, json_paths, json_attachments, mime_parts, archive_reports, page_anchors, sql_tools, flag_sets, traffic_entropy, rate_spike, beacon_cv, gap_variation, port_scan, benign_traffic, fuzzy_match, close_matches, attachment_reports, attachment_bundle, attachment_enriched, fetch_policy, input_check, keyword_scan, stage_chain, score_bands, judge_gate, judge_context, evidence_refs, evidence_resolve, web_join, triage_web, run_metrics, balanced_sample)},
 }

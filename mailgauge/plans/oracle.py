@@ -395,7 +395,7 @@ b AS (SELECT page_id, pos::INTEGER AS pos, trim({unescaped("regexp_extract(a, 'h
 c AS (SELECT *, {_SHOWN} AS shown FROM b)
 SELECT page_id, pos, href, shown, len(list_filter(list_transform(regexp_extract_all(shown, {_URL}), lambda u: lower(regexp_extract(u, '//([^/?#]*)', 1))), lambda o: o <> '' AND o <> lower(regexp_extract(href, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)))) > 0 AS hides FROM c"""
 _FILE_MARKS = f"CASE WHEN attachment = '' THEN 1 ELSE 1 + CASE WHEN class IN ('high_risk', 'macro_risk') THEN 1 ELSE 0 END END"
-SQL["sql_tools"] = W + SIGNALS + "," + FILES + f""",
+SQL["sql_tools"] = W + SIGNALS + "," + FILES + rf""",
 paths AS (SELECT * FROM ({SQL["route_heuristic"]})),
 of_mail AS (SELECT email_id, count(*) AS n FROM signals GROUP BY email_id),
 gate AS (SELECT email_id, refused FROM ({SQL["fetch_policy"]}) WHERE pos = 0),
@@ -434,3 +434,10 @@ m AS (SELECT email_id, raw_score AS s, judge, conf, CASE WHEN judge IS NULL THEN
   WHEN raw_score < 30 AND judge = 'suspicious' AND conf >= 0.58 THEN 'suspicious' WHEN raw_score < 30 AND raw_score >= 20 AND conf < 0.58 THEN 'suspicious' WHEN raw_score < 30 THEN 'benign' ELSE judge END AS final_verdict, risk_score FROM triage LEFT JOIN v USING (email_id))
 SELECT email_id, s AS raw_score, judge, CASE WHEN judge IS NULL THEN 'deterministic' ELSE 'judge' END AS decided_by, final_verdict,
   CASE WHEN judge IS NULL THEN risk_score WHEN final_verdict = 'phishing' THEN greatest(35, s) WHEN final_verdict = 'suspicious' THEN greatest(30, least(34, s)) ELSE least(29, s) END AS final_score FROM m"""
+SQL["hidden_links"] = f"""SELECT DISTINCT page_id, href FROM ({SQL["page_anchors"]}) WHERE hides"""
+_CHAIN = "CASE WHEN n_urls > 0 OR present THEN 1 ELSE 0 END"
+SQL["validate"] = W + TRIAGE + f""" SELECT email_id, CASE WHEN verdict = 'phishing' AND raw_score = 0 AND {_CHAIN} = 0 THEN 'missing_indicators' ELSE '' END AS issues FROM triage"""
+_PHISH = "lower(trim(v)) = 'phishing'"
+SQL["result_issues"] = W + TRIAGE + f""", b AS (SELECT email_id, CASE email_id % 7 WHEN 0 THEN 'odd' WHEN 1 THEN ' Phishing ' WHEN 2 THEN '' ELSE verdict END AS v, CASE email_id % 5 WHEN 0 THEN 999 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 41 ELSE risk_score END AS n,
+   email_id % 3 = 0 OR (raw_score = 0 AND {_CHAIN} = 0) AS silent, email_id % 4 = 0 AS bare FROM triage)
+SELECT email_id, {named([("invalid_verdict", "lower(trim(v)) NOT IN ('benign', 'phishing', 'suspicious')"), ("invalid_risk_score_type", "n IS NULL"), ("invalid_risk_score_range", "coalesce(n, -1) NOT BETWEEN 0 AND 100"), ("missing_indicators", f"{_PHISH} AND silent"), ("missing_evidence", f"{_PHISH} AND bare")])} AS issues FROM b"""
