@@ -75,14 +75,16 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root): root is the smallest node reachable over ``edges`` (a, b); nodes without an edge are absent.
+    ``rows``: about how many nodes there are, if known, for a few files in place of many small ones.
 
     Alternates large-star and small-star steps until the edges stay as they are. A step is one
     aggregation with map-side combine, cut, and one join: both its sides then come from plain shuffles, so
     that Spark can split a hub's edges among tasks.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = cut(packed(e, rows) if rows else e)
     seen = _mark(e)
     while seen[0]:
         n = seen[0]

@@ -237,10 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, m: int =
     returned. An empty table gives an empty result.
     """
     own = cut(fingerprints(docs, width))
-    classes = cut(own.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")))
-    roots = components(links(classes, distance, m, bucket_bound))
+    n = own.count()
+    classes = cut(packed(own.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), n))
+    roots = components(links(classes, distance, m, bucket_bound), n)
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = own.join(named, "fp")
+    out = packed(own.join(named, "fp"), n)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
@@ -415,13 +416,13 @@ def near_texts(texts: DataFrame, docs: DataFrame, width: int, similarity: float,
             yield pa.array([jaccard(x.as_py(), y.as_py(), width) for x, y in zip(xs, ys, strict=True)], pa.float64())
 
     near = sides.where(F.arrow_udf(rate, "double")("x", "y") >= similarity).select("a", "b")
-    roots = components(links(classes, distance).unionAll(alike).unionAll(near))
+    roots = components(links(classes, distance).unionAll(alike).unionAll(near), n)
     rest = blocks(texts, roots, n)
     release(docs.sparkSession)
     late = cut(rest.join(bodies, "node").groupBy("band", "key", "a", "b").applyInArrow(_compare_block(width, similarity), "a long, b long"))
     if late.isEmpty():
         return roots
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(late))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(late), n)
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
