@@ -82,7 +82,7 @@ def highlights(spark, sf_dir):
 
 def header_signals(spark, sf_dir):
     m = P.barrier(mail(spark, sf_dir), h=H.header_signals(F.col("auth"), F.col("received"), F.col("sender"), F.col("reply_to")))
-    return m.select("email_id", "h.spf", "h.dkim", "h.dmarc", "h.dmarc_policy", "h.mismatch", _joined("h.received_patterns").alias("patterns"))
+    return m.select("email_id", "h.spf", "h.dkim", "h.dmarc", "h.dmarc_policy", "h.mismatch", _joined("h.received_patterns").alias("patterns"), F.round("h.confidence", 6).alias("confidence"))
 
 
 def attachment_signals(spark, sf_dir):

@@ -153,6 +153,8 @@ headers AS (SELECT *, {', '.join(f"{_AUTH(k)} AS {k}" for k in ('spf', 'dkim', '
    {_DOMAIN_OF('sender')} <> '' AND {_DOMAIN_OF('reply_to')} <> '' AND {_DOMAIN_OF('sender')} <> {_DOMAIN_OF('reply_to')} AS mismatch, regexp_extract(lower(auth), '\\bp=([a-z]+)\\b', 1) AS dmarc_policy FROM mail),
 heads AS (SELECT *, {named([("missing_received_headers", "received <> '' AND NOT hop"), ("private_ip_in_received_chain", f"hop AND regexp_matches(received, {q(_IP)})"), ("localhost_received_hop", "hop AND contains(lower(received), 'localhost')")])} AS patterns FROM headers)
 """
+_PASSED = " + ".join(f"CAST({k} IN ('pass', 'bestguesspass') AS INTEGER)" for k in ("spf", "dkim", "dmarc"))
+_FAILED = " + ".join(f"CAST({k} IN ('fail', 'softfail') AS INTEGER)" for k in ("spf", "dkim", "dmarc"))
 _SUFFIX = "lower(regexp_extract(attachment, '[^/.][^/]*(\\.[^./]+)$', 1))"
 _LOW_NAME = "trim(lower(attachment))"
 _KIND = f"(CASE WHEN {either(f'ends_with({_LOW_NAME}, {q(x)})' for x in L.HIGH_RISK)} THEN 'high_risk' WHEN {either(f'ends_with({_LOW_NAME}, {q(x)})' for x in L.MACROS)} THEN 'macro_risk' ELSE 'low_risk' END)"
@@ -199,7 +201,7 @@ SQL = {
     "url_signals": W + SIGNALS + " SELECT email_id, pos, url, brand, similarity, domain_risk, flags, login FROM signals",
     "nlp_cues": f"{W} mail AS ({MAIL_SQL}), {CUES} SELECT email_id, {', '.join(CUE_LISTS)}, subject_risk, keyword_hits, roles FROM cues",
     "highlights": f"{W} mail AS ({MAIL_SQL}), {CUES} SELECT email_id, array_to_string(highlights, '|') AS highlights FROM cues",
-    "header_signals": f"{W} mail AS ({MAIL_SQL}), {HEADERS} SELECT email_id, spf, dkim, dmarc, dmarc_policy, mismatch, patterns FROM heads",
+    "header_signals": f"{W} mail AS ({MAIL_SQL}), {HEADERS} SELECT email_id, spf, dkim, dmarc, dmarc_policy, mismatch, patterns, round(least(1.0::DOUBLE, 0.35::DOUBLE + 0.15::DOUBLE * ({_PASSED}) + 0.1::DOUBLE * ({_FAILED})), 6) AS confidence FROM heads",
     "attachment_signals": f"{W} mail AS ({MAIL_SQL}), {FILES} SELECT email_id, attachment, class, archive, program, macro, file_flags FROM files WHERE present",
     "triage": W + TRIAGE + " SELECT email_id, raw_score, risk_score, route, path, verdict, spam_score, email_label, text_component, url_component, domain_component, attachment_component FROM triage",
     "triage_summary": W + TRIAGE + " SELECT path, verdict, count(*) AS messages, sum(risk_score) / count(*) AS mean_risk FROM triage GROUP BY path, verdict",
