@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Outside these ranges the Unicode versions of the regex module and of the tokenizers library may differ on what a
 #: letter is; a text with other characters is split by the library's own pre-tokenizer. A test compares all characters.
 AGREED = r"\x00-ԯḀ-⁮₠-₿℀-⅏←-⯿　-ㄮ㐀-龥가-힣！-ﾟ\U0001F300-\U0001F64F"
-#: Pre-tokens of under 64 bytes, and pairs of tokens, that a worker keeps the answers of; when full, it starts anew.
-KEPT, PAIRS = 100_000, 500_000
+#: Pre-tokens of under SHORT bytes, and pairs of tokens, that a worker keeps the answers of. When full of pairs, it
+#: starts anew; when full of pre-tokens, it sets them aside and takes back those that come again until it is full again.
+KEPT, PAIRS, SHORT = 100_000, 500_000, 64
+#: Prefixes of such pre-tokens that a worker keeps the last tokens of; when full, it starts anew.
+PREFIXES = 1_000_000
+#: Steps of the automaton that a worker keeps.
+STEPS = 300_000
 #: Texts of more characters are split as an iterator, not into a list.
 LONG = 1 << 20
 #: Documents whose ids are in a worker's memory at once.
@@ -57,11 +64,26 @@ class SuffixAutomaton:
                     own[state] = below
                 else:
                     todo.append((below, self._extend(state, b)))
+        self.steps: dict[int, tuple] = {}
         self.ends: list[tuple[int, ...]] = [()] * len(self.next)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             up = self.ends[self.link[s]]
             self.ends[s] = (own[s], *up) if s in own else up
 
+    def step(self, state: int, byte: int) -> tuple[int, int, int, tuple[int, ...], tuple[int, ...]]:
+        """From ``state`` over ``byte``: the next state; how much then matches, 0 for one byte more; the next state's length; words that end there if all of it matches, else."""
+        at, matched = state, 0
+        while byte not in self.next[at]:
+            at = self.link[at]
+            if at < 0:
+                raise ValueError(f"byte {byte} isn't in the vocabulary")
+            matched = self.length[at] + 1
+        to = self.next[at][byte]
+        if len(self.steps) >= STEPS:
+            self.steps.clear()
+        got = self.steps[state << 8 | byte] = to, matched, self.length[to], self.ends[to], self.ends[self.link[to]]
+        return got
+
     def _extend(self, state: int, byte: int) -> int:
         """The new state of the string of ``state`` and one more byte, a path of the trie that no string before held."""
         new, p = self._state({}, self.length[state] + 1, 0), state
@@ -117,7 +139,7 @@ class Vocabulary:
                 raise ValueError(f"{path}: each piece must have one merge, after those of its parts")
             self.rank[pair], self.parts[made] = r, pair
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first token << 32 | second token
         sound = {i for i, b in self.bytes.items() if len(b) == 1}
         for made, (a, b) in self.parts.items():
             if a in sound and b in sound and self.crossing(a, b) == self.rank[a, b]:
@@ -155,14 +177,59 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of ``a`` and ``b`` together encode to these two tokens."""
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(a << 32 | b)
         if got is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.crossing(a, b) == _NEVER
+            got = self.pairs[a << 32 | b] = self.crossing(a, b) == _NEVER
         return got
 
 
+@lru_cache(maxsize=1)
+def _pattern() -> re.Pattern:
+    """PATTERN over the characters of AGREED, with its classes written out: the standard module searches these faster."""
+    agreed = "".join(regex.findall(f"[{AGREED}]", "".join(chr(o) for o in range(0x110000) if not 0xD800 <= o < 0xE000)))
+    written = lambda c: "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in _runs(regex.findall(c, agreed)))
+    space, letter, number = written(r"\s"), written(r"\p{L}"), written(r"\p{N}")
+    text = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
+    return re.compile(text.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+def _runs(chars: list[str]) -> list[list[str]]:
+    """Ascending characters, cut where one isn't the next of the one before."""
+    runs: list[list[str]] = []
+    for c in chars:
+        if runs and ord(c) == ord(runs[-1][-1]) + 1:
+            runs[-1].append(c)
+        else:
+            runs.append([c])
+    return runs
+
+
+class _Kept(dict):
+    """Answers by question; what isn't there is asked of ``answer``, which may keep it here."""
+
+    def __init__(self, answer: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.answer = answer
+
+    def __missing__(self, question: str) -> tuple[int, ...]:
+        return self.answer(question)
+
+
+class Prefixes:
+    """The prefixes of short pre-tokens met so far, a trie: of each its last token and where the automaton stands after it."""
+
+    def __init__(self):
+        self.below: dict[int, int] = {}  # by prefix and next byte
+        self.token, self.state, self.matched = [-1], [0], [0]
+
+    def clear(self) -> None:
+        self.below.clear()
+        for column in (self.token, self.state, self.matched):
+            del column[1:]
+
+
 class Codec:
     """Encodes texts as the tokenizers library does, and decodes ids."""
 
@@ -170,54 +237,75 @@ class Codec:
         self.vocabulary = v = Vocabulary(path)
         self.automaton = SuffixAutomaton((v.bytes[i], i) for i in v.sound)
         self.path = path
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = _pattern()
         self.other = regex.compile(f"[^{AGREED}]").search
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, v.added)) + ")").split if v.added else lambda t: [t]
         self.library = None
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept, self.aside = _Kept(self.pre_token), {}
+        self.prefixes = Prefixes()
+        self.decimals = {i: str(i) for i in v.bytes}
 
     def prefix_tokens(self, data: bytes) -> list[int]:
         """The last token of the encoding of each prefix of ``data``.
 
         An encoding cut after any token is the encoding of the bytes up to there. So a prefix's last token is the one
         among the tokens that end there that stands alone or is compatible with the last token before it; it is unique.
+        It depends on that prefix alone, so those of prefixes met before are looked up.
         """
-        following, link, length, ends = (self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.ends)
+        seen = self.prefixes
+        below, tokens, at, last = seen.below, seen.token, 0, []
+        for byte in data:
+            longer = below.get(at << 8 | byte)
+            if longer is None:
+                break
+            at = longer
+            last.append(tokens[at])
+        else:
+            return last
+        state, matched, keep = seen.state[at], seen.matched[at], len(data) < SHORT
+        if keep and len(below) + len(data) > PREFIXES:
+            seen.clear()
+            keep = False  # its shorter prefixes are gone
+        step, steps = self.automaton.step, self.automaton.steps.get
         sizes, known, compatible = self.vocabulary.sizes, self.vocabulary.pairs.get, self.vocabulary.compatible
-        last: list[int] = []
-        state = matched = 0
-        for n, byte in enumerate(data, 1):
-            while byte not in following[state]:
-                state = link[state]
-                if state < 0:
-                    raise ValueError(f"byte {byte} isn't in the vocabulary")
-                matched = length[state]
-            state = following[state][byte]
-            matched += 1
-            for token in ends[state if matched == length[state] else link[state]]:
+        for n, byte in enumerate(data[len(last) :], len(last) + 1):
+            state, reset, length, whole, part = steps(state << 8 | byte) or step(state, byte)
+            matched = reset or matched + 1
+            for token in whole if matched == length else part:
                 before = n - sizes[token]
                 if before:
-                    fits = known((last[before - 1], token))
+                    fits = known(last[before - 1] << 32 | token)
                     if not (compatible(last[before - 1], token) if fits is None else fits):
                         continue
                 last.append(token)
+                if keep:
+                    below[at << 8 | byte] = at = len(tokens)
+                    tokens.append(token)
+                    seen.state.append(state)
+                    seen.matched.append(matched)
                 break
         return last
 
     def pre_token(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token: back over the last tokens of its prefixes."""
         got = self.kept.get(word)
+        if got is not None:
+            return got
+        got, short = self.aside.get(word), True
         if got is None:
             data = word.encode()
             last, sizes, at, back = self.prefix_tokens(data), self.vocabulary.sizes, len(data), []
             while at:
-                back.append(last[at - 1])
-                at -= sizes[last[at - 1]]
-            got = tuple(reversed(back))
-            if len(data) < 64:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[word] = got
+                token = last[at - 1]
+                back.append(token)
+                at -= sizes[token]
+            back.reverse()
+            got, short = tuple(back), len(data) < SHORT
+        if short:
+            if len(self.kept) >= KEPT:
+                self.aside = dict(self.kept)
+                self.kept.clear()
+            self.kept[word] = got
         return got
 
     def pre_tokens(self, text: str) -> Iterable[str]:
@@ -231,19 +319,17 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        one, kept = self.pre_token, self.kept.get
         for k, part in enumerate(self.split_added(text)):
             if k % 2:
                 ids.append(self.vocabulary.added[part])
             else:
-                for word in self.pre_tokens(part):
-                    ids += kept(word) or one(word)
+                ids.extend(chain.from_iterable(map(self.kept.__getitem__, self.pre_tokens(part))))
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``; bytes that aren't UTF-8 become U+FFFD, and ids without a piece vanish."""
         known = self.vocabulary.bytes
-        return b"".join([known[i] for i in ids if i in known]).decode("utf-8", "replace")
+        return b"".join([b for b in map(known.get, ids) if b is not None]).decode("utf-8", "replace")
 
     def row(self, text: str, rows: dict[str, list]) -> None:
         """Appends what the fields of ``rows`` ask for about one text."""
@@ -255,7 +341,7 @@ class Codec:
             elif field == "n_tokens":
                 into.append(len(ids))
             elif field == "ids_sha256":
-                into.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                into.append(hashlib.sha256(",".join(map(self.decimals.__getitem__, ids)).encode()).hexdigest())
             else:
                 into.append(decoded if field == "decoded" else hashlib.sha256(decoded.encode()).hexdigest())
 

@@ -82,6 +82,28 @@ def test_long_runs_take_linear_time(codec, library):
         assert codec.encode(text) == ids_of(library, text)
 
 
+def test_known_prefixes_are_looked_up():
+    """Prefixes met before need neither the automaton nor pair tests; those of long runs aren't kept."""
+    c = prefix_bpe.Codec(PATH)
+    last = c.prefix_tokens(b" thonwhthinouor")
+    c.prefix_tokens(b"ab" * 5000)
+    kept = len(c.prefixes.below)
+    c.automaton = None
+    assert all(c.prefix_tokens(b" thonwhthinouor"[:n]) == last[:n] for n in range(16)) and kept == 15
+
+
+def test_small_memories(library, monkeypatch):
+    """Ids don't depend on how much a worker keeps, nor on what it met before."""
+    for name, n in (("KEPT", 5), ("PREFIXES", 60), ("STEPS", 20), ("PAIRS", 10)):
+        monkeypatch.setattr(prefix_bpe, name, n)
+    c, r = prefix_bpe.Codec(PATH), random.Random(11)
+    for _ in range(600):
+        text = " ".join("".join(r.choice(("th", "ing", "ou", "er", "é", "7", "'s", "=", "a")) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 6)))
+        assert c.encode(text) == ids_of(library, text), text
+        assert len(c.kept) <= 5 and len(c.aside) <= 5 and len(c.prefixes.below) <= 60 and len(c.prefixes.token) == len(c.prefixes.below) + 1
+        assert len(c.automaton.steps) <= 20 and len(c.vocabulary.pairs) <= 10
+
+
 def merged(data, ids, rank, made):
     """BPE by merging the first lowest pair until none is left."""
     out = [ids[bytes([b])] for b in data]
